@@ -15,6 +15,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberlog.functions.timestamps import utc_date
 from emberlog.operators.aggregate import aggregate_logs
@@ -73,8 +74,8 @@ class LogStore:
 
     def _commit(self, commit: Commit) -> None:
         folder = f"{self.root}/commits"
-        record = self.spark.createDataFrame([(json.dumps(asdict(commit)),)], "value STRING")
-        record.coalesce(1).write.mode("overwrite").text(f"{folder}/batch_id={commit.batch_id}")
+        record = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(asdict(commit))).alias("value"))
+        record.write.mode("overwrite").text(f"{folder}/batch_id={commit.batch_id}")
         for value in map(int, paths.partition_values(self.spark, folder, "batch_id")):
             if value <= commit.batch_id - KEPT_COMMITS:
                 paths.remove(self.spark, f"{folder}/batch_id={value}")
@@ -229,7 +230,7 @@ class LogStore:
         """Files hold consecutive ranges of the sort key, so their statistics prune
         time ranges, and a day or second that holds most rows still splits."""
         keys = SORT_KEYS[name]
-        columns = self.spark.createDataFrame([], TABLE_SCHEMAS[name]).columns
+        columns = StructType.fromDDL(TABLE_SCHEMAS[name]).names
         (
             rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .select(*columns)
