@@ -19,7 +19,7 @@ _ISO_PARTS = re.compile(
     r"(?P<tz>Z|[+-]\d{2}:\d{2})?)?)?",
     re.ASCII,
 )
-_MIDNIGHT_24 = r"T24:00(:00([.]0+)?)?(Z|[+-]\d{2}:\d{2})?$"
+_END_OF_DAY = r"T24:00(:00([.]0+)?)?(Z|[+-]\d{2}:\d{2})?$"
 
 RENDER_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 RENDER_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -52,25 +52,22 @@ def parse_instant(text: str) -> datetime | None:
         return None
 
 
-def instant(text: Column) -> Column:
-    """TIMESTAMP for an ISO-8601 string column, NULL for anything else.
+def instant_sql(text: str) -> str:
+    """TIMESTAMP for an ISO-8601 string expression, NULL for anything else.
 
-    A bare cast would also take 'today', '12:30' or padded text, and would
-    refuse a time without seconds that carries an offset.
+    A bare cast would also take 'today', '12:30' or padded text, and would refuse
+    24:00, a long fraction, and a time without seconds that carries an offset.
     """
-    # Digits beyond the sixth are dropped, as the cast does for a few of them.
-    short = F.when(F.length(text) > 32, F.regexp_replace(text, r"([.]\d{6})\d+", "$1")).otherwise(text)
-    with_seconds = F.when(
-        (F.length(short) > 10) & (F.substring(short, 17, 1) != ":"),
-        F.concat(F.substring(short, 1, 16), F.lit(":00"), F.substring(short, 17, 64)),
-    ).otherwise(short)
-    end_of_day = F.regexp_replace(with_seconds, "T24:", "T00:").try_cast("timestamp") + F.expr("INTERVAL 1 DAY")
-    return F.when(
-        text.rlike(ISO_8601),
-        F.when(
-            F.substring(text, 12, 2) == "24", F.when(text.rlike(_MIDNIGHT_24), end_of_day)
-        ).otherwise(with_seconds.try_cast("timestamp")),
-    )
+    return f"""CASE
+        WHEN NOT {text} RLIKE r'{ISO_8601}' THEN NULL
+        WHEN substr({text}, 12, 2) = '24' THEN CASE WHEN {text} RLIKE r'{_END_OF_DAY}' THEN
+            try_cast(concat(substr({text}, 1, 10), 'T00:00:00',
+                regexp_extract({text}, r'(Z|[+-]\\d\\d:\\d\\d)$', 1)) AS TIMESTAMP) + INTERVAL 1 DAY END
+        WHEN length({text}) > 32
+            THEN try_cast(regexp_replace({text}, r'([.]\\d{{6}})\\d+', r'$1') AS TIMESTAMP)
+        WHEN length({text}) > 10 AND substr({text}, 17, 1) <> ':'
+            THEN try_cast(concat(substr({text}, 1, 16), ':00', substr({text}, 17)) AS TIMESTAMP)
+        ELSE try_cast({text} AS TIMESTAMP) END"""
 
 
 def instant_literal(moment: datetime, like: DataType) -> Column:

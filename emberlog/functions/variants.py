@@ -1,115 +1,93 @@
-"""Type tests and exact text renderings of JSON values held as VARIANT."""
+"""Type tests and exact text renderings of JSON values held as VARIANT.
 
-from __future__ import annotations
+Each function takes and returns a SQL expression, so that a long expression is
+built as one text instead of one driver call per node.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def field(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
+def field(value: str, name: str) -> str:
+    return f"try_variant_get({value}, '$.{name}', 'variant')"
 
 
-def kind(value: Column) -> Column:
+def kind(value: str) -> str:
     """STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, VOID (JSON null), OBJECT<..>,
     ARRAY<..>; SQL NULL for a missing key."""
-    return F.schema_of_variant(value)
-
-
-def as_string(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def plain_double(value: Column) -> Column:
-    """A double without exponent or trailing zeros; NULL when it is not finite."""
-    digits_of = F.abs(value).cast("string")
-    mantissa = F.substring_index(digits_of, "E", 1)
-    exponent = F.when(
-        digits_of.contains("E"), F.substring_index(digits_of, "E", -1).try_cast("int")
-    ).otherwise(0)
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    digits = F.concat(whole, fraction)
-    point = F.length(whole) + exponent
-    magnitude = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, point, F.lit("0")))
-        .otherwise(
-            F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, F.length(digits)))
-        )
-    )
-    return F.when(
-        F.abs(value) < float("inf"),
-        F.when(value < 0, F.concat(F.lit("-"), magnitude)).otherwise(magnitude),
-    )
+    return f"schema_of_variant({value})"
 
 
-def scalar_text(value: Column) -> Column:
-    """Text of a string, number or boolean, as an attribute filter compares it."""
-    shape = kind(value)
+def as_string(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
+
+
+def members(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
+
+
+def plain_double(value: str) -> str:
+    """A JSON double without exponent or trailing zeros; NULL when it is not finite.
+
+    340 decimals reach the smallest double; the formatter pads its shortest
+    digits with zeros, which are cut off again.
+    """
+    number = f"try_variant_get({value}, '$', 'double')"
     return (
-        F.when(shape == "STRING", as_string(value))
-        .when(shape == "DOUBLE", plain_double(F.try_variant_get(value, "$", "double")))
-        .when(shape != "VOID", F.to_json(value))
+        f"CASE WHEN abs({number}) < double('Infinity') "
+        f"THEN regexp_replace(format_string('%.340f', {number} + 0.0D), r'[.]?0+$', '') END"
     )
 
 
-def scalar_json(value: Column) -> Column:
+def scalar_text(value: str) -> str:
+    """Text of a value as an attribute filter compares it; JSON null is NULL."""
+    return f"""CASE {kind(value)}
+        WHEN 'STRING' THEN {as_string(value)}
+        WHEN 'DOUBLE' THEN {plain_double(value)}
+        WHEN 'VOID' THEN NULL
+        ELSE to_json({value}) END"""
+
+
+def scalar_json(value: str) -> str:
     """JSON fragment of a string, number or boolean with numbers written plainly."""
-    return F.when(
-        kind(value) == "DOUBLE",
-        F.coalesce(plain_double(F.try_variant_get(value, "$", "double")), F.lit("null")),
-    ).otherwise(F.to_json(value))
+    return f"""CASE WHEN {kind(value)} = 'DOUBLE' THEN coalesce({plain_double(value)}, 'null')
+        ELSE to_json({value}) END"""
 
 
-def json_string(text: Column) -> Column:
+def json_string(text: str) -> str:
     """Quoted and escaped JSON string: a one-element JSON array without its brackets."""
-    wrapped = F.to_json(F.array(text))
-    return wrapped.substr(F.lit(2), F.length(wrapped) - 2)
+    wrapped = f"to_json(array({text}))"
+    return f"substr({wrapped}, 2, length({wrapped}) - 2)"
 
 
-def flat_object_json(value: Column, shape: Column) -> Column:
+def flat_object_json(value: str, shape: str) -> str:
     """Canonical JSON of a flat object; only exponent-form numbers need rebuilding."""
-    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    rebuilt = F.transform(
-        members, lambda m: F.concat(json_string(m["key"]), F.lit(":"), scalar_json(m["value"]))
-    )
-    return F.when(
-        shape.contains("DOUBLE"),
-        F.concat(F.lit("{"), F.array_join(rebuilt, ","), F.lit("}")),
-    ).otherwise(F.to_json(value))
+    pair = f"concat({json_string('m.key')}, ':', {scalar_json('m.value')})"
+    return f"""CASE WHEN contains({shape}, 'DOUBLE')
+        THEN concat('{{', array_join(transform(map_entries({members(value)}), m -> {pair}), ','), '}}')
+        ELSE to_json({value}) END"""
 
 
-def flat_object_text(value: Column, shape: Column) -> Column:
+def flat_object_text(value: str, shape: str) -> str:
     """MAP of attribute name to text. The plain cast is exact except for fractions
     and exponent forms, which it may write in scientific notation."""
-    exact = F.transform_values(
-        F.try_variant_get(value, "$", "map<string,variant>"), lambda _, v: scalar_text(v)
-    )
-    return F.when(shape.contains("DOUBLE") | shape.contains("DECIMAL"), exact).otherwise(
-        F.try_variant_get(value, "$", "map<string,string>")
-    )
+    return f"""CASE WHEN {shape} RLIKE 'DOUBLE|DECIMAL'
+        THEN transform_values({members(value)}, (k, v) -> {scalar_text('v')})
+        ELSE try_variant_get({value}, '$', 'map<string,string>') END"""
 
 
-def interpolated(value: Column) -> Column:
+def interpolated(value: str) -> str:
     """Any JSON value as it reads inside a message: missing keys are 'undefined',
     objects '[object Object]', arrays their comma-joined items."""
     shape = kind(value)
-    items = F.try_variant_get(value, "$", "array<variant>")
-
-    def item(v: Column) -> Column:
-        inner = kind(v)
-        return (
-            F.when(inner == "VOID", "")
-            .when(inner.startswith("OBJECT"), "[object Object]")
-            .when(inner.startswith("ARRAY"), F.regexp_replace(F.to_json(v), r'[\[\]"]', ""))
-            .otherwise(scalar_text(v))
-        )
-
-    return (
-        F.when(shape.isNull(), "undefined")
-        .when(shape == "VOID", "null")
-        .when(shape.startswith("OBJECT"), "[object Object]")
-        .when(shape.startswith("ARRAY"), F.array_join(F.transform(items, item), ","))
-        .otherwise(scalar_text(value))
-    )
+    item = f"""CASE
+        WHEN {kind('v')} = 'VOID' THEN ''
+        WHEN {kind('v')} LIKE 'OBJECT%' THEN '[object Object]'
+        WHEN {kind('v')} LIKE 'ARRAY%' THEN regexp_replace(to_json(v), r'[\\[\\]"]', '')
+        ELSE {scalar_text('v')} END"""
+    items = f"try_variant_get({value}, '$', 'array<variant>')"
+    return f"""CASE
+        WHEN {shape} IS NULL THEN 'undefined'
+        WHEN {shape} = 'VOID' THEN 'null'
+        WHEN {shape} LIKE 'OBJECT%' THEN '[object Object]'
+        WHEN {shape} LIKE 'ARRAY%' THEN array_join(transform({items}, v -> {item}), ',')
+        ELSE {scalar_text(value)} END"""

@@ -50,11 +50,11 @@ def attribute_equals(frame: DataFrame, attrs: Iterable[AttrFilter]) -> list[Colu
     """One literal top-level key compared as text; a missing key or null never matches."""
     if "attr_text" in frame.columns:
         return [F.col("attr_text")[F.lit(a.key)] == a.value for a in attrs]
-    parsed = F.try_parse_json("attributes")
-    # Nested values compare by their JSON text; keys hold no quote, so the
-    # bracketed path names exactly one key, dots included.
+    # The bracketed path names exactly one key, dots included; a key holds no quote.
     return [
-        V.scalar_text(F.try_variant_get(parsed, f"$['{a.key}']", "variant")) == a.value for a in attrs
+        F.expr(V.scalar_text(f"""try_variant_get(try_parse_json(attributes), "$['{a.key}']", 'variant')"""))
+        == a.value
+        for a in attrs
     ]
 
 

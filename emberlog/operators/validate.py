@@ -1,23 +1,26 @@
 """Request bodies to validated entries and per-request responses.
 
-Every step is a column expression on the request's own row, so parsing and
-validation need no shuffle; only the per-request summary groups, after a
-map-side combine that leaves one row per request.
+Every step is an expression on the request's own row, so parsing and validation
+need no shuffle; only the per-request summary groups, after a map-side combine
+that leaves one row per request.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import variants as V
-from emberlog.functions.timestamps import instant
+from emberlog.functions.timestamps import instant_sql
 from emberlog.schema import FUTURE_TOLERANCE, LEVELS, MAX_SERVICE_LENGTH
 
-MALFORMED_BODY = "Request body is not valid JSON"
-WRONG_SHAPE = 'Request body must be an object with a "logs" array'
 REQUEST_COLUMNS = ("request_id", "received_at", "request_number")
-EMPTY_BATCH = "Logs array cannot be empty"
+
+BODY_ERROR = """CASE
+    WHEN NOT coalesce(try_variant_get(doc, '$[1]', 'bigint') = xxhash64(body), false)
+        THEN 'Request body is not valid JSON'
+    WHEN entries IS NULL THEN 'Request body must be an object with a "logs" array'
+    WHEN size(entries) = 0 THEN 'Logs array cannot be empty' END"""
 
 
 def explode_requests(requests: DataFrame) -> DataFrame:
@@ -29,170 +32,96 @@ def explode_requests(requests: DataFrame) -> DataFrame:
     """
     # The JSON parser stops after the first value. Parsing the body as the first
     # item of an array that ends in the body's own hash makes trailing text show.
-    seal = F.xxhash64("body")
-    sealed = F.concat(F.lit("["), F.col("body"), F.lit(","), seal.cast("string"), F.lit("]"))
+    sealed = "concat('[', body, ',', xxhash64(body), ']')"
     parsed = (
         requests.withColumn("request_number", F.monotonically_increasing_id())
-        .withColumn("doc", F.try_parse_json(sealed))
-        .withColumn("entries", F.try_variant_get("doc", "$[0].logs", "array<variant>"))
-    )
-    well_formed = F.try_variant_get("doc", "$[1]", "bigint") == seal
-    error = (
-        F.when(~F.coalesce(well_formed, F.lit(False)), MALFORMED_BODY)
-        .when(F.col("entries").isNull(), WRONG_SHAPE)
-        .when(F.size("entries") == 0, EMPTY_BATCH)
-    )
-    raw = F.coalesce(
-        F.from_json("body", "logs ARRAY<STRING>").getField("logs"),
-        F.array().cast("array<string>"),
-    )
-    pairs = parsed.select(
-        *REQUEST_COLUMNS,
-        error.alias("error"),
-        F.arrays_zip("entries", raw.alias("raw")).alias("pairs"),
+        .selectExpr("*", f"try_parse_json({sealed}) AS doc")
+        .selectExpr("*", "try_variant_get(doc, '$[0].logs', 'array<variant>') AS entries")
     )
-    return pairs.select(
+    paired = parsed.selectExpr(
         *REQUEST_COLUMNS,
-        "error",
-        F.posexplode_outer(F.when(F.col("error").isNull(), F.col("pairs"))).alias("index", "pair"),
-    ).select(
-        *REQUEST_COLUMNS,
-        "error",
-        "index",
-        F.col("pair.entries").alias("entry"),
-        F.col("pair.raw").alias("raw"),
-    )
-
+        f"{BODY_ERROR} AS error",
+        "coalesce(from_json(body, 'logs ARRAY<STRING>').logs, array()) AS raw",
+        "entries AS entry",
+    ).selectExpr(*REQUEST_COLUMNS, "error", "CASE WHEN error IS NULL THEN arrays_zip(entry, raw) END AS pairs")
+    return paired.selectExpr(
+        *REQUEST_COLUMNS, "error", "posexplode_outer(pairs) AS (index, pair)"
+    ).selectExpr(*REQUEST_COLUMNS, "error", "index", "pair.entry", "pair.raw")
 
-def _is_nested(shape: Column) -> Column:
-    return shape.rlike("^(OBJECT|ARRAY|VOID)")
 
-
-def _first_bad_attribute(attributes: Column, raw: Column) -> Column:
+def _first_bad_attribute() -> str:
     """Name of the first attribute with a nested or null value, in property order:
     integer-like keys ascending, then the order written."""
-    bad = F.map_keys(
-        F.map_filter(
-            F.try_variant_get(attributes, "$", "map<string,variant>"),
-            lambda _, v: _is_nested(V.kind(v)),
-        )
-    )
-    written = F.array_distinct(
-        F.json_object_keys(F.from_json(raw, "attributes STRING").getField("attributes"))
-    )
-    named = F.filter(written, lambda k: F.array_contains(bad, k))
-    numbered = F.filter(
-        named,
-        lambda k: k.rlike("^(0|[1-9][0-9]{0,9})$") & (k.try_cast("bigint") < 4294967295),
-    )
-    lowest = F.array_min(F.transform(numbered, lambda k: k.try_cast("bigint")))
-    return F.coalesce(lowest.cast("string"), F.get(named, F.lit(0)), F.get(bad, F.lit(0)))
-
-
-def _has_null_character(column: str) -> Column:
-    return F.col(column).contains("\0")
+    bad = f"""map_keys(map_filter({V.members('v_attributes')},
+        (k, v) -> {V.kind('v')} RLIKE '^(OBJECT|ARRAY|VOID)'))"""
+    written = "array_distinct(json_object_keys(from_json(raw, 'attributes STRING').attributes))"
+    named = f"array_intersect({written}, {bad})"
+    numbered = f"""filter({named},
+        k -> k RLIKE '^(0|[1-9][0-9]{{0,9}})$' AND try_cast(k AS BIGINT) < 4294967295)"""
+    lowest = f"array_min(transform({numbered}, k -> try_cast(k AS BIGINT)))"
+    return f"coalesce(string({lowest}), get({named}, 0), get({bad}, 0))"
+
+
+def _reason() -> str:
+    """The first failing rule, NULL for an accepted entry. The last two rules reject
+    what the fixed column widths cannot hold, so such a row never fails its
+    neighbours."""
+    levels = ", ".join(f"'{level}'" for level in LEVELS)
+    tolerance = f"INTERVAL {int(FUTURE_TOLERANCE.total_seconds())} SECONDS"
+    return f"""CASE
+    WHEN error IS NOT NULL THEN NULL
+    WHEN v_timestamp IS NULL AND NOT coalesce({V.kind('entry')} RLIKE '^(OBJECT|ARRAY)', false)
+        THEN 'Entry must be an object'
+    WHEN coalesce(timestamp, '') = '' THEN 'Missing or invalid timestamp'
+    WHEN ts IS NULL THEN 'Timestamp must be a valid ISO 8601 string'
+    WHEN date_trunc('millisecond', ts) > date_trunc('millisecond', received_at) + {tolerance}
+        THEN 'Timestamp cannot be more than 5 minutes in the future'
+    WHEN NOT coalesce(level IN ({levels}), false)
+        THEN concat("Invalid level: '", {V.interpolated('v_level')}, "'")
+    WHEN coalesce(service, '') = '' THEN 'Service must be a non-empty string'
+    WHEN coalesce(message, '') = '' THEN 'Message must be a non-empty string'
+    WHEN attr_shape <> 'VOID' AND NOT has_attributes THEN 'Attributes must be a flat object'
+    WHEN bad_attribute IS NOT NULL
+        THEN concat("Attribute '", bad_attribute, "' has invalid type 'object'")
+    WHEN length(service) > {MAX_SERVICE_LENGTH} THEN 'Service exceeds {MAX_SERVICE_LENGTH} characters'
+    WHEN contains(service, char(0)) OR contains(message, char(0))
+        OR (contains(attributes, r'\\u0000') AND attributes RLIKE r'(?<!\\\\)(\\\\\\\\)*\\\\u0000')
+        THEN 'Text contains a null character' END"""
 
 
 def validate_entries(entries: DataFrame) -> DataFrame:
-    """Typed columns plus `reason`, NULL for an accepted entry.
-
-    The first failing rule names the reason. The last two rules reject what the
-    fixed column widths cannot hold, so such a row never fails its neighbours.
-    """
-    fields = entries.select(
-        *REQUEST_COLUMNS,
-        "error",
-        "index",
-        "entry",
-        "raw",
-        *[V.field(F.col("entry"), name).alias(f"v_{name}") for name in (
-            "timestamp", "level", "service", "message", "attributes")],
+    """Typed columns plus `reason`; the typed columns are filled for accepted entries."""
+    texts = ("timestamp", "level", "service", "message")
+    kept = (*REQUEST_COLUMNS, "error", "index")
+    fields = entries.selectExpr(
+        "*", *[f"{V.field('entry', name)} AS v_{name}" for name in (*texts, "attributes")]
     )
-    typed = fields.select(
-        "*",
-        *[
-            F.when(V.kind(F.col(f"v_{name}")) == "STRING", V.as_string(F.col(f"v_{name}"))).alias(name)
-            for name in ("timestamp", "level", "service", "message")
-        ],
-        V.kind(F.col("v_attributes")).alias("attr_shape"),
+    typed = fields.selectExpr(
+        *kept, "entry", "raw", "v_timestamp", "v_level", "v_attributes",
+        *[f"CASE WHEN {V.kind(f'v_{n}')} = 'STRING' THEN {V.as_string(f'v_{n}')} END AS {n}" for n in texts],
+        f"{V.kind('v_attributes')} AS attr_shape",
     )
-    timed = typed.withColumn("ts", instant(F.col("timestamp")))
-
-    shape = F.col("attr_shape")
-    has_attributes = shape.startswith("OBJECT")
     # The type text of the whole object rules most rows out cheaply; the exact
     # look at each value runs only where a nested type or null may be present.
-    bad_attribute = F.when(
-        shape.substr(F.lit(8), F.length(shape)).rlike(": (OBJECT<|ARRAY<|VOID)"),
-        _first_bad_attribute(F.col("v_attributes"), F.col("raw")),
-    )
-    written_attributes = F.when(
-        has_attributes, V.flat_object_json(F.col("v_attributes"), shape)
-    ).otherwise("{}")
-    checked = timed.withColumn("bad_attribute", F.when(has_attributes, bad_attribute)).withColumn(
-        "attributes", written_attributes
-    )
-
-    def milliseconds(ts: Column) -> Column:
-        return F.date_trunc("millisecond", ts)
-
-    tolerance = F.expr(f"INTERVAL {int(FUTURE_TOLERANCE.total_seconds())} SECONDS")
-    present = F.col("error").isNull()
-    reason = (
-        F.when(
-            F.col("v_timestamp").isNull()
-            & ~F.coalesce(V.kind(F.col("entry")).rlike("^(OBJECT|ARRAY)"), F.lit(False)),
-            "Entry must be an object",
-        )
-        .when(F.coalesce(F.col("timestamp"), F.lit("")) == "", "Missing or invalid timestamp")
-        .when(F.col("ts").isNull(), "Timestamp must be a valid ISO 8601 string")
-        .when(
-            milliseconds(F.col("ts")) > milliseconds(F.col("received_at")) + tolerance,
-            "Timestamp cannot be more than 5 minutes in the future",
-        )
-        .when(
-            ~F.coalesce(F.col("level").isin(*LEVELS), F.lit(False)),
-            F.concat(F.lit("Invalid level: '"), V.interpolated(F.col("v_level")), F.lit("'")),
-        )
-        .when(F.coalesce(F.col("service"), F.lit("")) == "", "Service must be a non-empty string")
-        .when(F.coalesce(F.col("message"), F.lit("")) == "", "Message must be a non-empty string")
-        .when(~(shape.isNull() | (shape == "VOID") | has_attributes), "Attributes must be a flat object")
-        .when(
-            F.col("bad_attribute").isNotNull(),
-            F.concat(F.lit("Attribute '"), F.col("bad_attribute"), F.lit("' has invalid type 'object'")),
-        )
-        .when(
-            F.length("service") > MAX_SERVICE_LENGTH,
-            f"Service exceeds {MAX_SERVICE_LENGTH} characters",
-        )
-        .when(
-            _has_null_character("service")
-            | _has_null_character("message")
-            | (
-                F.col("attributes").contains("\\u0000")
-                & F.col("attributes").rlike(r"(?<!\\)(\\\\)*\\u0000")
-            ),
-            "Text contains a null character",
-        )
-    )
-    judged = checked.withColumn("reason", F.when(present, reason))
-    accepted = present & F.col("reason").isNull()
-    return judged.select(
-        *REQUEST_COLUMNS,
-        "error",
-        "index",
+    checked = typed.selectExpr(
+        "*",
+        f"{instant_sql('timestamp')} AS ts",
+        "coalesce(attr_shape LIKE 'OBJECT%', false) AS has_attributes",
+        f"""CASE WHEN attr_shape LIKE 'OBJECT%' AND substr(attr_shape, 8) RLIKE ': (OBJECT<|ARRAY<|VOID)'
+            THEN {_first_bad_attribute()} END AS bad_attribute""",
+        f"""CASE WHEN attr_shape LIKE 'OBJECT%'
+            THEN {V.flat_object_json('v_attributes', 'attr_shape')} ELSE '{{}}' END AS attributes""",
+    )
+    judged = checked.selectExpr("*", f"{_reason()} AS reason").selectExpr(
+        "*", "error IS NULL AND reason IS NULL AS accepted"
+    )
+    return judged.selectExpr(
+        *kept,
         "reason",
-        F.when(accepted, F.col("ts")).alias("timestamp"),
-        F.when(accepted, F.col("level")).alias("level"),
-        F.when(accepted, F.col("service")).alias("service"),
-        F.when(accepted, F.col("message")).alias("message"),
-        F.when(accepted, F.col("attributes")).alias("attributes"),
-        F.when(
-            accepted,
-            F.when(has_attributes, V.flat_object_text(F.col("v_attributes"), shape)).otherwise(
-                F.create_map().cast("map<string,string>")
-            ),
-        ).alias("attr_text"),
+        "CASE WHEN accepted THEN ts END AS timestamp",
+        *[f"CASE WHEN accepted THEN {n} END AS {n}" for n in ("level", "service", "message", "attributes")],
+        f"""CASE WHEN accepted AND has_attributes THEN {V.flat_object_text('v_attributes', 'attr_shape')}
+            WHEN accepted THEN cast(map() AS MAP<STRING, STRING>) END AS attr_text""",
     )
 
 
@@ -206,21 +135,20 @@ def summarise_requests(entries: DataFrame) -> DataFrame:
 
     The collected list is bounded by one request body, which already is one cell.
     """
-    rejection = F.when(
-        F.col("reason").isNotNull(),
-        F.struct(F.col("index").cast("int").alias("index"), F.col("reason").alias("reason")),
-    )
-    grouped = entries.groupBy(*REQUEST_COLUMNS).agg(
-        F.max("error").alias("error"),
-        F.count_if(F.col("error").isNull() & F.col("reason").isNull()).cast("int").alias("accepted"),
-        F.array_sort(F.collect_list(rejection)).alias("rejected"),
-    )
-    status = F.when(F.col("error").isNotNull() | (F.col("accepted") == 0), 400).otherwise(200)
-    return grouped.select(
-        "request_id",
-        "received_at",
-        status.cast("int").alias("status"),
-        "accepted",
-        "rejected",
-        "error",
+    rejection = "CASE WHEN reason IS NOT NULL THEN struct(int(index) AS index, reason AS reason) END"
+    return (
+        entries.groupBy(*REQUEST_COLUMNS)
+        .agg(
+            F.max("error").alias("error"),
+            F.expr("int(count_if(error IS NULL AND reason IS NULL))").alias("accepted"),
+            F.expr(f"array_sort(collect_list({rejection}))").alias("rejected"),
+        )
+        .selectExpr(
+            "request_id",
+            "received_at",
+            "CASE WHEN error IS NOT NULL OR accepted = 0 THEN 400 ELSE 200 END AS status",
+            "accepted",
+            "rejected",
+            "error",
+        )
     )

@@ -38,7 +38,6 @@ KEPT_COMMITS = 20
 SORT_KEYS = {
     "logs": ("timestamp", "id"),
     "log_rollup_1s": ("bucket_start", "service", "level"),
-    "responses": ("received_at", "request_id"),
 }
 
 
@@ -229,14 +228,14 @@ class LogStore:
     def _write(self, name: str, rows: DataFrame, batch_id: int) -> None:
         """Files hold consecutive ranges of the sort key, so their statistics prune
         time ranges, and a day or second that holds most rows still splits."""
-        keys = SORT_KEYS[name]
-        columns = StructType.fromDDL(TABLE_SCHEMAS[name]).names
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
+            *StructType.fromDDL(TABLE_SCHEMAS[name]).names
+        )
+        if name in SORT_KEYS:
+            keys = SORT_KEYS[name]
+            rows = rows.repartitionByRange("day", *keys).sortWithinPartitions(*PARTITION_COLUMNS, *keys)
         (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .select(*columns)
-            .repartitionByRange("day", *keys)
-            .sortWithinPartitions(*PARTITION_COLUMNS, *keys)
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITION_COLUMNS)
             .parquet(f"{self.root}/{name}")
