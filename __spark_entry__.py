@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from emberlog import (
     LogStore,
     aggregate_logs,
-    configure,
     parse_aggregate_params,
     parse_search_params,
     scratch_dir,
@@ -25,7 +24,7 @@ from emberlog.operators.maintenance import compact, drop_expired, partition_name
 from emberlog.operators.rollup import merge_deltas, rollup_1s
 from emberlog.operators.search import cursor_column, rendered_logs
 from emberlog.plans.options import Cursor
-from emberlog.sources.samples import logs_from_events, request_bodies
+from emberlog.sources.samples import logs_from_events, read_events, request_bodies
 from emberlog.streaming.ingest import start_ingest, stream_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,7 +224,7 @@ def _ingested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractional attribute values through ingestion: plain text, no trailing zeros."""
-    events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    events = read_events(spark, sf_dir)
     entry = F.to_json(
         F.struct(
             F.lit("2024-01-01T00:00:00Z").alias("timestamp"),

@@ -50,12 +50,20 @@ def attribute_equals(frame: DataFrame, attrs: Iterable[AttrFilter]) -> list[Colu
     """One literal top-level key compared as text; a missing key or null never matches."""
     if "attr_text" in frame.columns:
         return [F.col("attr_text")[F.lit(a.key)] == a.value for a in attrs]
+    return [_may_hold(a.value) & (_parsed_text(a.key) == a.value) for a in attrs]
+
+
+def _parsed_text(key: str) -> Column:
     # The bracketed path names exactly one key, dots included; a key holds no quote.
-    return [
-        F.expr(V.scalar_text(f"""try_variant_get(try_parse_json(attributes), "$['{a.key}']", 'variant')"""))
-        == a.value
-        for a in attrs
-    ]
+    return F.expr(V.scalar_text(f"""try_variant_get(try_parse_json(attributes), "$['{key}']", 'variant')"""))
+
+
+def _may_hold(value: str) -> Column:
+    """Spares most rows the JSON parse: a scalar stands in the text as it is, unless
+    the text holds escapes or exponents. Nested values are written in many ways."""
+    if value.startswith(("{", "[")):
+        return F.lit(True)
+    return F.col("attributes").contains(value) | F.col("attributes").rlike(r"\\|[0-9][eE][-+0-9]")
 
 
 def before_cursor(frame: DataFrame, cursor: Cursor | None) -> list[Column]:

@@ -12,6 +12,9 @@ from emberlog.sources import paths
 from emberlog.sources.store import LogStore
 
 
+LOG_BATCHES_BEFORE_REWRITE = 50
+
+
 def partition_name(day: date) -> str:
     return f"logs_y{day.year:04d}m{day.month:02d}d{day.day:02d}"
 
@@ -36,20 +39,25 @@ def drop_expired(
     return [partition_name(day) for day in expired]
 
 
-def compact(store: LogStore, table: str, before: date) -> list[date]:
+def compact(store: LogStore, table: str, before: date, min_batches: int = 2) -> list[date]:
     """Rewrite each earlier day that holds several batches as one.
 
     Counters become one row per (second, service, level); logs become fewer,
     larger files. The rewrite is a batch of its own: readers switch to it when
     its commit record appears, and only then are the old files removed. Run it
-    between appends, as it takes the next batch number.
+    between appends, as it takes the next batch number. min_batches keeps a few
+    late rows from rewriting a whole day of logs.
     """
     last = store.last_commit()
+
+    def folder(day: date) -> str:
+        return f"{store.root}/{table}/day={day}"
+
     crowded = [
         day
         for day in store.days(table)
         if day < before
-        and len(paths.partition_values(store.spark, f"{store.root}/{table}/day={day}", "batch_id")) > 1
+        and len(paths.partition_values(store.spark, folder(day), "batch_id")) >= max(min_batches, 2)
     ]
     if not crowded:
         return []
@@ -57,17 +65,17 @@ def compact(store: LogStore, table: str, before: date) -> list[date]:
     if table == "log_rollup_1s":
         rows = merge_deltas(rows, "day")
     batch_id = last.batch_id + 1
-    store._discard(batch_id)
-    store._write(table, rows, batch_id)
+    staging = store._begin(batch_id)
+    store._write(table, rows, batch_id, sum(paths.size(store.spark, folder(day)) for day in crowded))
     kept_days = {day.isoformat() for day in store.days(table)}
     replaced = {d: b for d, b in last.compacted.get(table, {}).items() if d in kept_days}
     replaced.update({day.isoformat(): batch_id for day in crowded})
     store._commit(replace(last, batch_id=batch_id, compacted={**last.compacted, table: replaced}))
+    paths.remove(store.spark, staging)
     for day in crowded:
-        folder = f"{store.root}/{table}/day={day}"
-        for value in map(int, paths.partition_values(store.spark, folder, "batch_id")):
+        for value in map(int, paths.partition_values(store.spark, folder(day), "batch_id")):
             if value < batch_id:
-                paths.remove(store.spark, f"{folder}/batch_id={value}")
+                paths.remove(store.spark, f"{folder(day)}/batch_id={value}")
     return crowded
 
 
@@ -78,6 +86,7 @@ def run_maintenance(
     steps = {
         "dropped": lambda: drop_expired(store, now, retention_days),
         "compacted": lambda: compact(store, "log_rollup_1s", utc_date(now)),
+        "rewritten": lambda: compact(store, "logs", utc_date(now), LOG_BATCHES_BEFORE_REWRITE),
     }
     report: dict[str, object] = {"errors": {}}
     for name, step in steps.items():

@@ -26,6 +26,17 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     return sorted(name[len(prefix):] for name in names if name.startswith(prefix))
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path."""
+    target, fs = _open(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
+def make(spark: SparkSession, path: str) -> bool:
+    target, fs = _open(spark, path)
+    return fs.mkdirs(target)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     target, fs = _open(spark, path)
     return fs.delete(target, True)

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from emberlog.functions.timestamps import render_micros
 from emberlog.session import configure
 
+EVENTS_SCHEMA = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+)
 RECEIVED_AT = "2024-02-01T00:00:00Z"
 ENTRIES_PER_REQUEST = 40
 
 
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configure(spark).read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
 def logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    events = read_events(spark, sf_dir)
     kind = F.col("event_type")
     level = (
         F.when(kind == "error", "error").when(kind == "purchase", "warn").when(kind == "view", "debug")

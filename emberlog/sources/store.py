@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.util import inheritable_thread_target
 
 from emberlog.functions.timestamps import utc_date
 from emberlog.operators.aggregate import aggregate_logs
@@ -35,6 +37,8 @@ from emberlog.session import configure
 from emberlog.sources import paths
 
 KEPT_COMMITS = 20
+MICROSECOND = timedelta(microseconds=1)
+RANGE_BYTES = 128 * 1024 * 1024
 SORT_KEYS = {
     "logs": ("timestamp", "id"),
     "log_rollup_1s": ("bucket_start", "service", "level"),
@@ -111,7 +115,7 @@ class LogStore:
 
     def _between(self, name: str, commit: Commit, since: datetime | None, until: datetime | None) -> DataFrame:
         low = utc_date(since) if since else date.min
-        high = utc_date(until) if until else date.max
+        high = utc_date(until - MICROSECOND) if until else date.max
         return self._visible(name, commit, [d for d in self.days(name) if low <= d <= high])
 
     def logs(self) -> DataFrame:
@@ -183,9 +187,7 @@ class LogStore:
         if source is not None and version <= last.sources.get(source, -1):
             return last
         batch_id = last.batch_id + 1
-        staging = f"{self.root}/staging/batch_id={batch_id}"
-        if paths.exists(self.spark, staging):
-            self._discard(batch_id)
+        staging = self._begin(batch_id)
 
         # Parsing is the costly step and three outputs need it, so its result is
         # written once. The row number is stored with it and stays what it is
@@ -207,11 +209,17 @@ class LogStore:
             F.count_if(F.col("reason").isNotNull()).alias("rejected"),
         ).first()
         accepted = staged.where(F.col("timestamp").isNotNull()).withColumn("day", F.to_date("timestamp"))
-        logs = accepted.withColumn("id", F.lit(last.next_id) + task * size["stride"] + row)
-        self._write("logs", logs, batch_id)
-        self._write("log_rollup_1s", rollup_1s(accepted, "day"), batch_id)
-        responses = summarise_requests(staged)
-        self._write("responses", responses.withColumn("day", F.to_date("received_at")), batch_id)
+        outputs = {
+            "logs": accepted.withColumn("id", F.lit(last.next_id) + task * size["stride"] + row),
+            "log_rollup_1s": rollup_1s(accepted, "day"),
+            "responses": summarise_requests(staged).withColumn("day", F.to_date("received_at")),
+        }
+        # Independent jobs: the small ones fill executors the large one leaves idle.
+        with ThreadPoolExecutor(len(outputs)) as pool:
+            write = inheritable_thread_target(self.spark)(self._write)
+            written = paths.size(self.spark, staging)
+            for done in [pool.submit(write, name, rows, batch_id, written) for name, rows in outputs.items()]:
+                done.result()
 
         commit = replace(
             last,
@@ -225,7 +233,7 @@ class LogStore:
         paths.remove(self.spark, staging)
         return commit
 
-    def _write(self, name: str, rows: DataFrame, batch_id: int) -> None:
+    def _write(self, name: str, rows: DataFrame, batch_id: int, source_bytes: int) -> None:
         """Files hold consecutive ranges of the sort key, so their statistics prune
         time ranges, and a day or second that holds most rows still splits."""
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
@@ -233,16 +241,26 @@ class LogStore:
         )
         if name in SORT_KEYS:
             keys = SORT_KEYS[name]
-            rows = rows.repartitionByRange("day", *keys).sortWithinPartitions(*PARTITION_COLUMNS, *keys)
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITION_COLUMNS)
-            .parquet(f"{self.root}/{name}")
-        )
-
-    def _discard(self, batch_id: int) -> None:
-        """Remove what an unfinished attempt at this batch left behind."""
-        for name in TABLE_SCHEMAS:
-            for day in self.days(name):
-                paths.remove(self.spark, f"{self.root}/{name}/day={day}/batch_id={batch_id}")
+            rows = rows.repartitionByRange(*self._ranges(source_bytes), "day", *keys)
+            rows = rows.sortWithinPartitions(*PARTITION_COLUMNS, *keys)
+        rows.write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(f"{self.root}/{name}")
+
+    def _ranges(self, source_bytes: int) -> list[int]:
+        """A partition count only where the session's own would make files too large;
+        otherwise adaptive execution merges small partitions."""
+        needed = -(-source_bytes // RANGE_BYTES)
+        return [needed] if needed > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+    def _begin(self, batch_id: int) -> str:
+        """Folder that marks a batch as under way, until its commit removes it. One
+        already there is an unfinished attempt, whose partitions go first."""
+        folder = f"{self.root}/staging"
+        staging = f"{folder}/batch_id={batch_id}"
+        if paths.exists(self.spark, staging):
+            for name in TABLE_SCHEMAS:
+                for day in self.days(name):
+                    paths.remove(self.spark, f"{self.root}/{name}/day={day}/batch_id={batch_id}")
+        for value in paths.partition_values(self.spark, folder, "batch_id"):
+            paths.remove(self.spark, f"{folder}/batch_id={value}")
+        paths.make(self.spark, staging)
+        return staging
