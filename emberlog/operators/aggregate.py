@@ -79,7 +79,7 @@ def aggregate_logs(
     logs: DataFrame, options: AggregateOptions, rollup: DataFrame | None = None
 ) -> DataFrame:
     """Counters whenever they can answer exactly, raw rows otherwise."""
-    if rollup is not None and options.rollup_answers:
+    if rollup is not None and options.counted_by_rollup:
         return aggregate_rollup(logs, rollup, options)
     return aggregate_raw(logs, options)
 

@@ -83,16 +83,20 @@ def iterate_pages(logs: DataFrame, options: SearchOptions) -> Iterator[Page]:
         options = replace(options, cursor=decode_cursor(page.next_cursor))
 
 
-def newest_from_counters(rollup: DataFrame, options: SearchOptions, rows: int) -> datetime | None:
-    """A second at or after which at least `rows` matching log rows are known to lie.
-
-    Counters are exact per (second, service, level). Every counter stands for at
-    least one row, so the newest `rows` matching counters bound the scan from
-    below without dropping a row of the answer. None when there is no such bound:
-    message and attribute filters are not counted, or too few counters match.
+def newest_from_counters(
+    rollup: DataFrame, options: SearchOptions, rows: int
+) -> tuple[int, datetime | None]:
+    """How many of the newest `rows` matching counters exist, and the earliest second
+    among them.
+
+    Counters are exact per (second, service, level) and each stands for at least
+    one row. When all `rows` of them exist, at least that many matching rows lie at
+    or after that second, so it bounds a newest-first scan from below without
+    losing a row. Message and attribute filters are not counted.
     """
-    if options.q or options.attrs:
-        return None
+    if not options.counted_by_rollup:
+        return 0, None
+    # Only seconds that lie wholly before the end count.
     ends = [floor_second(m) for m in (options.until, options.cursor and options.cursor.timestamp) if m]
     since = ceil_second(options.since) if options.since else None
     newest = (
@@ -108,9 +112,9 @@ def newest_from_counters(rollup: DataFrame, options: SearchOptions, rows: int) -
     found = newest.agg(
         F.count("*").alias("n"), F.unix_micros(F.min("bucket_start").cast("timestamp")).alias("micros")
     ).first()
-    if found["n"] < rows:
-        return None
-    return datetime.fromtimestamp(found["micros"] // 1_000_000, timezone.utc)
+    if found["n"] == 0:
+        return 0, None
+    return found["n"], datetime.fromtimestamp(found["micros"] // 1_000_000, timezone.utc)
 
 
 def rendered_logs(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import base64
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from emberlog.functions.timestamps import parse_instant
 from emberlog.plans.errors import InvalidQueryError
@@ -52,6 +52,18 @@ class SearchOptions:
     limit: int | None = DEFAULT_LIMIT
     literal_q: bool = False
 
+    @property
+    def last_instant(self) -> datetime | None:
+        """Latest instant a match can have."""
+        ends = [self.until - timedelta(microseconds=1)] if self.until else []
+        ends += [self.cursor.timestamp] if self.cursor else []
+        return min(ends, default=None)
+
+    @property
+    def counted_by_rollup(self) -> bool:
+        """Counters hold neither message nor attributes."""
+        return not self.attrs and not self.q
+
 
 @dataclass(frozen=True)
 class AggregateOptions:
@@ -72,7 +84,7 @@ class AggregateOptions:
             raise InvalidQueryError('group_by must be either "service" or "level"')
 
     @property
-    def rollup_answers(self) -> bool:
+    def counted_by_rollup(self) -> bool:
         """Counters hold neither message nor attributes."""
         return not self.attrs and not self.q
 

@@ -9,7 +9,7 @@ again replaces it. One writer appends at a time.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timedelta
@@ -114,9 +114,13 @@ class LogStore:
         return conditions
 
     def _between(self, name: str, commit: Commit, since: datetime | None, until: datetime | None) -> DataFrame:
-        low = utc_date(since) if since else date.min
-        high = utc_date(until - MICROSECOND) if until else date.max
-        return self._visible(name, commit, [d for d in self.days(name) if low <= d <= high])
+        high = until - MICROSECOND if until else None
+        return self._visible(name, commit, self._days_between(name, since, high))
+
+    def _days_between(self, name: str, first: datetime | None, last: datetime | None) -> list[date]:
+        low = utc_date(first) if first else date.min
+        high = utc_date(last) if last else date.max
+        return [day for day in self.days(name) if low <= day <= high]
 
     def logs(self) -> DataFrame:
         return self.table("logs")
@@ -132,40 +136,44 @@ class LogStore:
     def search(self, options: SearchOptions) -> DataFrame:
         """search_logs over the store, with the scan bounded by the counters."""
         commit = self.last_commit()
-        logs = self._between("logs", commit, options.since, options.until)
-        return search_logs(self._bounded(logs, commit, options), options)
-
-    def _bounded(self, logs: DataFrame, commit: Commit, options: SearchOptions) -> DataFrame:
-        if options.limit is None:
-            return logs
-        counters = self._between("log_rollup_1s", commit, options.since, options.until)
-        newest = newest_from_counters(counters, options, options.limit)
-        return where_all(logs, time_range(logs, "timestamp", newest, None))
+        return search_logs(self._candidates(commit, options), options)
 
     def search_page(self, options: SearchOptions) -> Page:
-        """One page. Filters the counters cannot answer walk the days newest first,
-        doubling the span, and stop once the page is full: days do not overlap in
-        time, so rows of an older span all follow those already found."""
-        commit, wanted = self.last_commit(), options.limit + 1
-        if options.q or options.attrs:
-            rows = self._newest_days_first(commit, replace(options, limit=wanted))
-        else:
-            probe = replace(options, limit=wanted)
-            logs = self._between("logs", commit, options.since, options.until)
-            rows = probe_rows(self._bounded(logs, commit, probe), probe)
+        """One page. Filters the counters cannot answer walk the days newest first
+        and stop once the page is full: days do not overlap in time, so rows of an
+        older span all follow those already found."""
+        commit, probe = self.last_commit(), replace(options, limit=options.limit + 1)
+        if options.counted_by_rollup:
+            return as_page(probe_rows(self._candidates(commit, probe), probe), options.limit)
+        rows = []
+        for days in self._newest_days_first("logs", options):
+            missing = replace(probe, limit=probe.limit - len(rows))
+            rows += probe_rows(self._visible("logs", commit, days), missing)
+            if len(rows) == probe.limit:
+                break
         return as_page(rows, options.limit)
 
-    def _newest_days_first(self, commit: Commit, options: SearchOptions) -> list:
-        ends = [m for m in (options.until, options.cursor and options.cursor.timestamp) if m]
-        low = utc_date(options.since) if options.since else date.min
-        high = utc_date(min(ends)) if ends else date.max
-        days = [d for d in reversed(self.days("logs")) if low <= d <= high]
-        rows, span = [], 1
-        while days and len(rows) < options.limit:
-            logs = self._visible("logs", commit, days[:span])
-            rows += probe_rows(logs, replace(options, limit=options.limit - len(rows)))
+    def _candidates(self, commit: Commit, options: SearchOptions) -> DataFrame:
+        """Log rows that can be among the newest `limit` matches."""
+        since = options.since
+        if options.limit is not None and options.counted_by_rollup:
+            missing = options.limit
+            for days in self._newest_days_first("log_rollup_1s", options):
+                counters = self._visible("log_rollup_1s", commit, days)
+                found, second = newest_from_counters(counters, options, missing)
+                missing -= found
+                if missing == 0:
+                    since = max(second, since) if since else second
+                    break
+        logs = self._visible("logs", commit, self._days_between("logs", since, options.last_instant))
+        return where_all(logs, time_range(logs, "timestamp", since, None))
+
+    def _newest_days_first(self, name: str, options: SearchOptions) -> Iterator[list[date]]:
+        """Days a search may touch, in spans of 1, 2, 4, ... going back."""
+        days, span = self._days_between(name, options.since, options.last_instant)[::-1], 1
+        while days:
+            yield days[:span]
             days, span = days[span:], span * 2
-        return rows
 
     def aggregate(self, options: AggregateOptions, use_rollup: bool = True) -> DataFrame:
         commit = self.last_commit()

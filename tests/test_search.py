@@ -138,13 +138,14 @@ def test_counters_bound_the_newest_rows(spark):
             cursor=rng.choice([None, Cursor(utc(2024, 1, 1, 0, 0, 6, 1), 100)]),
             limit=rng.choice([1, 3, 5]),
         )
-        bound = newest_from_counters(rollup, options, options.limit)
+        found, bound = newest_from_counters(rollup, options, options.limit)
         full = search_logs(frame, options).collect()
-        if bound is not None:
+        if found == options.limit:
             since = max(m for m in (bound, options.since) if m)
             assert search_logs(frame, replace(options, since=since)).collect() == full
-    assert newest_from_counters(rollup, SearchOptions(q="m"), 1) is None
-    assert newest_from_counters(rollup, SearchOptions(), 10_000) is None
+    assert newest_from_counters(rollup, SearchOptions(q="m"), 1) == (0, None)
+    assert newest_from_counters(rollup, SearchOptions(service="none"), 1) == (0, None)
+    assert newest_from_counters(rollup, SearchOptions(), 10_000)[0] == rollup.count()
 
 
 def test_rendering(spark):
