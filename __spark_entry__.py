@@ -24,8 +24,9 @@ from emberlog.operators.maintenance import compact, drop_expired, partition_name
 from emberlog.operators.rollup import merge_deltas, rollup_1s
 from emberlog.operators.search import cursor_column, rendered_logs
 from emberlog.plans.options import Cursor
+from emberlog.sources.requests import read_requests, stream_requests
 from emberlog.sources.samples import logs_from_events, read_events, request_bodies
-from emberlog.streaming.ingest import start_ingest, stream_requests
+from emberlog.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOG_FIELDS = ("timestamp", "level", "service", "message", "attributes")
@@ -254,7 +255,7 @@ def _streamed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = stream_requests(spark, f"{base}/requests", max_files_per_trigger=2)
     start_ingest(stream, store, f"{base}/checkpoint", "requests").awaitTermination()
     replayed = store.last_commit().sources["requests"]
-    store.append(spark.read.parquet(f"{base}/requests"), "requests", replayed)
+    store.append(read_requests(spark, f"{base}/requests"), "requests", replayed)
     return _naive(merge_deltas(store.rollup()), "bucket_start")
 
 

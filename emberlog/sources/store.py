@@ -176,10 +176,14 @@ class LogStore:
             days, span = days[span:], span * 2
 
     def aggregate(self, options: AggregateOptions, use_rollup: bool = True) -> DataFrame:
+        """Buckets from the counters where they can answer, with raw rows read only on
+        the days that hold the two partial seconds."""
         commit = self.last_commit()
-        logs = self._between("logs", commit, options.since, options.until)
+        if not (use_rollup and options.counted_by_rollup):
+            return aggregate_logs(self._between("logs", commit, options.since, options.until), options)
+        ends = {utc_date(options.since), utc_date(options.until - MICROSECOND)}
         rollup = self._between("log_rollup_1s", commit, options.since, options.until)
-        return aggregate_logs(logs, options, rollup if use_rollup else None)
+        return aggregate_logs(self._visible("logs", commit, ends), options, rollup)
 
     # -- writing ------------------------------------------------------------
 

@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from emberlog.schema import REQUEST_SCHEMA
 from emberlog.sources.store import LogStore
 
 
-def stream_requests(
-    spark: SparkSession, path: str, file_format: str = "parquet", max_files_per_trigger: int | None = None
-) -> DataFrame:
-    """Files of (request_id, body, received_at) rows as a stream. The file limit
-    bounds a micro-batch; unread files simply wait."""
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.format(file_format).load(path)
-
-
-def request_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """One request body per text file; arrival is the file's modification time."""
-    reader = spark.readStream if streaming else spark.read
-    return (
-        reader.option("wholetext", True)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("request_id"),
-            F.col("value").alias("body"),
-            F.col("_metadata.file_modification_time").alias("received_at"),
-        )
-    )
-
-
 def start_ingest(
     requests: DataFrame,
     store: LogStore,
@@ -47,7 +20,8 @@ def start_ingest(
     A failed or repeated micro-batch is taken up again from the checkpoint and
     either skipped or rewritten whole. There is no watermark: late rows count in
     the second they belong to, whenever they come. Give a new checkpoint a new
-    source name. The default trigger commits everything queued, then stops.
+    source name. The default trigger commits everything queued, then stops; pass
+    {"processingTime": "10 seconds"} to keep going.
     """
 
     def append(batch: DataFrame, version: int) -> None:

@@ -5,7 +5,8 @@ from helpers import batch, good, requests
 from pyspark.sql import functions as F
 
 from emberlog import LogStore
-from emberlog.streaming.ingest import request_files, start_ingest, stream_requests
+from emberlog.sources.requests import request_files, stream_requests
+from emberlog.streaming.ingest import start_ingest
 
 
 def write_day(spark, folder, day):
