@@ -43,39 +43,37 @@ def compact(store: LogStore, table: str, before: date, min_batches: int = 2) ->
     """Rewrite each earlier day that holds several batches as one.
 
     Counters become one row per (second, service, level); logs become fewer,
-    larger files. The rewrite is a batch of its own: readers switch to it when
-    its commit record appears, and only then are the old files removed. Run it
-    between appends, as it takes the next batch number. min_batches keeps a few
-    late rows from rewriting a whole day of logs.
+    larger files. The rewrite is a batch of its own, and readers switch to it when
+    its commit record appears. The files it replaces stay until the next run, for
+    queries that are still reading them. Run it between appends, as it takes the
+    next batch number. min_batches keeps a few late rows from rewriting a whole
+    day of logs.
     """
-    last = store.last_commit()
-
-    def folder(day: date) -> str:
-        return f"{store.root}/{table}/day={day}"
-
-    crowded = [
-        day
-        for day in store.days(table)
-        if day < before
-        and len(paths.partition_values(store.spark, folder(day), "batch_id")) >= max(min_batches, 2)
-    ]
+    spark, last = store.spark, store.last_commit()
+    days = store.days(table)
+    replaced = {d: b for d, b in last.compacted.get(table, {}).items() if date.fromisoformat(d) in days}
+    crowded = []
+    for day in days:
+        folder, live = f"{store.root}/{table}/day={day}", 0
+        for value in map(int, paths.partition_values(spark, folder, "batch_id")):
+            if value < replaced.get(day.isoformat(), 0):
+                paths.remove(spark, f"{folder}/batch_id={value}")
+            elif value <= last.batch_id:
+                live += 1
+        if day < before and live >= max(min_batches, 2):
+            crowded.append(day)
     if not crowded:
         return []
-    rows = store._visible(table, last, crowded)
+    rows = store.table(table, crowded)
     if table == "log_rollup_1s":
         rows = merge_deltas(rows, "day")
     batch_id = last.batch_id + 1
-    staging = store._begin(batch_id)
-    store._write(table, rows, batch_id, sum(paths.size(store.spark, folder(day)) for day in crowded))
-    kept_days = {day.isoformat() for day in store.days(table)}
-    replaced = {d: b for d, b in last.compacted.get(table, {}).items() if d in kept_days}
+    staging = store.begin(batch_id)
+    size = sum(paths.size(spark, f"{store.root}/{table}/day={day}") for day in crowded)
+    store.write(table, rows, batch_id, size)
     replaced.update({day.isoformat(): batch_id for day in crowded})
-    store._commit(replace(last, batch_id=batch_id, compacted={**last.compacted, table: replaced}))
-    paths.remove(store.spark, staging)
-    for day in crowded:
-        for value in map(int, paths.partition_values(store.spark, folder(day), "batch_id")):
-            if value < batch_id:
-                paths.remove(store.spark, f"{folder(day)}/batch_id={value}")
+    store.commit(replace(last, batch_id=batch_id, compacted={**last.compacted, table: replaced}))
+    paths.remove(spark, staging)
     return crowded
 
 

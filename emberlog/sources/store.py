@@ -75,7 +75,7 @@ class LogStore:
                 return Commit(**json.loads(record["value"]))
         return Commit()
 
-    def _commit(self, commit: Commit) -> None:
+    def commit(self, commit: Commit) -> None:
         folder = f"{self.root}/commits"
         record = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(asdict(commit))).alias("value"))
         record.write.mode("overwrite").text(f"{folder}/batch_id={commit.batch_id}")
@@ -199,13 +199,17 @@ class LogStore:
         if source is not None and version <= last.sources.get(source, -1):
             return last
         batch_id = last.batch_id + 1
-        staging = self._begin(batch_id)
+        staging = self.begin(batch_id)
 
         # Parsing is the costly step and three outputs need it, so its result is
         # written once. The row number is stored with it and stays what it is
         # when a task runs again.
         numbered = validate_requests(
-            requests.select(F.col("request_id").cast("string"), "body", "received_at")
+            requests.selectExpr(
+                "string(request_id) AS request_id",
+                "body",
+                "coalesce(received_at, raise_error('received_at must not be null')) AS received_at",
+            )
         ).withColumn("row_number", F.monotonically_increasing_id())
         numbered.write.mode("overwrite").parquet(staging)
         staged = self.spark.read.schema(numbered.schema).parquet(staging)
@@ -228,7 +232,7 @@ class LogStore:
         }
         # Independent jobs: the small ones fill executors the large one leaves idle.
         with ThreadPoolExecutor(len(outputs)) as pool:
-            write = inheritable_thread_target(self.spark)(self._write)
+            write = inheritable_thread_target(self.spark)(self.write)
             written = paths.size(self.spark, staging)
             for done in [pool.submit(write, name, rows, batch_id, written) for name, rows in outputs.items()]:
                 done.result()
@@ -241,11 +245,11 @@ class LogStore:
             accepted=last.accepted + size["accepted"],
             rejected=last.rejected + size["rejected"],
         )
-        self._commit(commit)
+        self.commit(commit)
         paths.remove(self.spark, staging)
         return commit
 
-    def _write(self, name: str, rows: DataFrame, batch_id: int, source_bytes: int) -> None:
+    def write(self, name: str, rows: DataFrame, batch_id: int, source_bytes: int) -> None:
         """Files hold consecutive ranges of the sort key, so their statistics prune
         time ranges, and a day or second that holds most rows still splits."""
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
@@ -263,7 +267,7 @@ class LogStore:
         needed = -(-source_bytes // RANGE_BYTES)
         return [needed] if needed > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
 
-    def _begin(self, batch_id: int) -> str:
+    def begin(self, batch_id: int) -> str:
         """Folder that marks a batch as under way, until its commit removes it. One
         already there is an unfinished attempt, whose partitions go first."""
         folder = f"{self.root}/staging"

@@ -59,7 +59,7 @@ def test_failed_batch_is_taken_up_again(spark, tmp_path, monkeypatch):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(LogStore, "_commit", refuse)
+        m.setattr(LogStore, "commit", refuse)
         with pytest.raises(Exception, match="lost"):
             run(spark, folder, store, checkpoint)
     assert store.logs().count() == 0
