@@ -58,11 +58,14 @@ def _dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _new_store(spark: SparkSession, sf_dir: str, defects: bool = False, batches: int = 1) -> LogStore:
     """A store holding every event, its requests dealt out over the batches."""
-    store = LogStore(spark, scratch_dir(spark, "store"))
+    base = scratch_dir(spark, "store")
+    store = LogStore(spark, f"{base}/store")
     requests = request_bodies(spark, sf_dir, defects)
+    if batches > 1:
+        requests.write.parquet(f"{base}/requests")
+        requests = read_requests(spark, f"{base}/requests")
     for n in range(batches):
-        part = F.col("request_id").cast("bigint") % batches == n
-        store.append(requests.where(part) if batches > 1 else requests)
+        store.append(requests.where(F.col("request_id").cast("bigint") % batches == n))
     return store
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import datetime, timedelta
 from functools import reduce
@@ -50,12 +51,20 @@ def attribute_equals(frame: DataFrame, attrs: Iterable[AttrFilter]) -> list[Colu
     """One literal top-level key compared as text; a missing key or null never matches."""
     if "attr_text" in frame.columns:
         return [F.col("attr_text")[F.lit(a.key)] == a.value for a in attrs]
-    return [_may_hold(a.value) & (_parsed_text(a.key) == a.value) for a in attrs]
+    return [_may_hold(a.value) & _holds(a.key, a.value) for a in attrs]
 
 
-def _parsed_text(key: str) -> Column:
+def _holds(key: str, value: str) -> Column:
     # The bracketed path names exactly one key, dots included; a key holds no quote.
-    return F.expr(V.scalar_text(f"""try_variant_get(try_parse_json(attributes), "$['{key}']", 'variant')"""))
+    path = f"$['{key}']"
+    plain = F.get_json_object("attributes", path) == value
+    if not re.fullmatch(r"-?\d+([.]\d+)?", value):
+        return plain
+    # A fraction or exponent may be written in other digits than it compares by. The
+    # one-element array names the parsed value, so that it is parsed once.
+    parsed = f"""try_variant_get(try_parse_json(attributes), "{path}", 'variant')"""
+    exact = F.expr(f"get(transform(array({parsed}), v -> {V.scalar_text('v')}), 0)") == value
+    return F.when(F.col("attributes").rlike("[0-9][.eE]"), exact).otherwise(plain)
 
 
 def _may_hold(value: str) -> Column:

@@ -64,12 +64,17 @@ def attributes(spark, texts):
         ("k", "1000000000000000000000", [7]),
         ("gone", "", []),
         ("k", "", [8]),
+        ("k", "100", [10]),
+        ("k", "1.5", [11]),
+        (".", "x", [12]),
+        ("0", "y", [12]),
+        ("k", "é\"", [13]),
     ],
 )
 def test_attribute_filter(spark, key, value, expected):
     texts = [
         '{"user":{"id":"42"}}', '{"user.id":42}', '{"k":3}', '{"k":"3"}', '{"k":true}', '{"k":null}',
-        '{"k":0.0005}', '{"k":1000000000000000000000}', '{"k":""}', "{}",
+        '{"k":0.0005}', '{"k":1000000000000000000000}', '{"k":""}', "{}", '{"k":1E2}', '{"k":1.50}', '{".":"x","0":"y"}', '{"k":"\\u00e9\\""}',
     ]
     found = search_logs(attributes(spark, texts), SearchOptions(attrs=(AttrFilter(key, value),))).collect()
     assert sorted(r["id"] for r in found) == expected
