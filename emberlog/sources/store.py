@@ -38,6 +38,7 @@ from emberlog.sources import paths
 
 KEPT_COMMITS = 20
 MICROSECOND = timedelta(microseconds=1)
+SMALL_BATCH_BYTES = 1024 * 1024
 RANGE_BYTES = 128 * 1024 * 1024
 SORT_KEYS = {
     "logs": ("timestamp", "id"),
@@ -262,8 +263,11 @@ class LogStore:
         rows.write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(f"{self.root}/{name}")
 
     def _ranges(self, source_bytes: int) -> list[int]:
-        """A partition count only where the session's own would make files too large;
-        otherwise adaptive execution merges small partitions."""
+        """How many ranges to write: one for a small batch, which then makes one file
+        a day, and as many as its bytes need for one beyond the session's shuffle
+        partitions. In between adaptive execution merges small partitions."""
+        if source_bytes <= SMALL_BATCH_BYTES:
+            return [1]
         needed = -(-source_bytes // RANGE_BYTES)
         return [needed] if needed > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
 
