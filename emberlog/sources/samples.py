@@ -85,7 +85,8 @@ def request_bodies(spark: SparkSession, sf_dir: str, defects: bool = False) -> D
     """Requests of up to 40 consecutive entries: (request_id, body, received_at)."""
     logs = logs_from_events(spark, sf_dir)
     text = _with_defect(F.col("id") % 12) if defects else _entry(logs)
-    entries = logs.select((F.col("id") / ENTRIES_PER_REQUEST).cast("bigint").alias("request_id"), "id", text.alias("entry"))
+    request = F.expr(f"id div {ENTRIES_PER_REQUEST}")
+    entries = logs.select(request.alias("request_id"), "id", text.alias("entry"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "entry"))), lambda e: e["entry"])
     body = F.concat(F.lit('{"logs":['), F.array_join(ordered, ","), F.lit("]}"))
     return entries.groupBy("request_id").agg(body.alias("body")).select(

@@ -14,10 +14,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as registry  # noqa: E402
 
 
-def normal(value):
-    return tuple(sorted((str(k), str(v)) for k, v in value.items()))
-
-
 def compare(spark: SparkSession, connection, name: str, sf_dir: str) -> tuple[bool, str]:
     started = time.time()
     frame = registry.queries()[name](spark, sf_dir)

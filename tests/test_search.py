@@ -1,9 +1,9 @@
 import random
 from dataclasses import replace
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pytest
-from helpers import logs, random_logs, utc
+from helpers import logs, utc
 from pyspark.sql import functions as F
 
 from emberlog import AttrFilter, Cursor, SearchOptions, search_logs, search_page
