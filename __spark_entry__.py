@@ -28,6 +28,14 @@ from emberlog.sources.requests import read_requests, stream_requests
 from emberlog.sources.samples import logs_from_events, read_events, request_bodies
 from emberlog.streaming.ingest import start_ingest
 
+try:
+    import corpus_pipeline
+    from emberlog.llm import queries as llm
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("emberlog.llm", "corpus_pipeline")):
+        raise
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 LOG_FIELDS = ("timestamp", "level", "service", "message", "attributes")
 RANGE = {"since": "2024-01-03T04:05:06.7Z", "until": "2024-01-27T08:09:10.3Z"}
@@ -375,6 +383,8 @@ def queries() -> dict[str, Query]:
         found[f"agg_{bucket}"] = _aggregate({**RANGE, "bucket": bucket})
         for group in ("service", "level"):
             found[f"agg_{bucket}_by_{group}"] = _aggregate({**RANGE, "bucket": bucket, "group_by": group})
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return found
 
 
@@ -550,4 +560,8 @@ def oracle_sql() -> dict[str, str]:
         found[f"agg_{bucket}"] = _sql_aggregate(bucket)
         for group in ("service", "level"):
             found[f"agg_{bucket}_by_{group}"] = _sql_aggregate(bucket, group)
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
