@@ -7,12 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.decontaminate import find_benchmark, hit_words
 from emberlog.llm.neardup import near_duplicates
+from emberlog.llm.packing import pack_documents
+from emberlog.llm.tokenfiles import read_token_files, write_token_files
 from emberlog.llm.urls import UrlRule, judge_urls
+from emberlog.llm.warc import read_warc, write_warc
+from emberlog.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +57,33 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return pieces.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(
+        _table(spark, sf_dir, "documents"), scratch_dir(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return read_token_files(files).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_warc(_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    return read_warc(files, payloads=False).drop("payload", "uri")
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -60,7 +92,10 @@ def queries() -> dict[str, Query]:
     return {
         "op2_decontaminate": benchmark_hits,
         "op3_near_dedup": near_dedup,
+        "op5_pack": packed,
         "op8_url_filter": url_filter,
+        "op9_token_files": token_files,
+        "op10_warc": archived,
     }
 
 
@@ -131,9 +166,20 @@ FROM site LEFT JOIN by_host USING (page_id) LEFT JOIN by_glob USING (page_id)
 """
 
 
+_ARCHIVED = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+heads AS (SELECT html, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN heads USING (html)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": _BENCHMARK_HITS,
         "op3_near_dedup": _NEAR_DEDUP,
         "op8_url_filter": _URL_FILTER,
+        "op10_warc": _ARCHIVED,
     }
