@@ -11,9 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import fold
 from emberlog.llm.decontaminate import find_benchmark, hit_words
+from emberlog.llm.lm import score_texts
 from emberlog.llm.neardup import near_duplicates
 from emberlog.llm.packing import pack_documents
+from emberlog.llm.quality import score_quality, train_quality
 from emberlog.llm.tokenfiles import read_token_files, write_token_files
 from emberlog.llm.urls import UrlRule, judge_urls
 from emberlog.llm.warc import read_warc, write_warc
@@ -57,6 +60,13 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(documents, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
     return pieces.select(
@@ -84,6 +94,10 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(files, payloads=False).drop("payload", "uri")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -92,7 +106,9 @@ def queries() -> dict[str, Query]:
     return {
         "op2_decontaminate": benchmark_hits,
         "op3_near_dedup": near_dedup,
+        "op4_quality": quality,
         "op5_pack": packed,
+        "op6_lm_scores": lm_scores,
         "op8_url_filter": url_filter,
         "op9_token_files": token_files,
         "op10_warc": archived,
