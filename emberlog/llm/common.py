@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,14 @@ def cells(batch, name: str) -> list:
     if str(column.type) in ("string", "large_string"):
         return [value or b"" for value in column.cast("binary").to_pylist()]
     return column.to_pylist()
+
+
+class Shared:
+    """An object sent to every executor once. It travels with its class, so that executors need no
+    copy of this package."""
+
+    def __init__(self, context: SparkContext, value):
+        self._sent = context.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        return pickle.loads(self._sent.value)

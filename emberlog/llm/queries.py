@@ -11,8 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.ann import nearest_neighbours
 from emberlog.llm.common import fold
 from emberlog.llm.decontaminate import find_benchmark, hit_words
+from emberlog.llm.lines import dedup_lines
 from emberlog.llm.lm import score_texts
 from emberlog.llm.neardup import near_duplicates
 from emberlog.llm.packing import pack_documents
@@ -42,6 +44,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_benchmark(documents, _table(spark, sf_dir, "benchmark"))
@@ -98,17 +104,24 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_neighbours": neighbours,
         "op2_decontaminate": benchmark_hits,
         "op3_near_dedup": near_dedup,
         "op4_quality": quality,
         "op5_pack": packed,
         "op6_lm_scores": lm_scores,
+        "op7_line_dedup": line_dedup,
         "op8_url_filter": url_filter,
         "op9_token_files": token_files,
         "op10_warc": archived,
@@ -158,6 +171,34 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+_LINE_DEDUP = """
+WITH RECURSIVE lines AS (
+    SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+), full_lines AS (SELECT * FROM lines WHERE trim(line, ' ') <> ''),
+classes AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM full_lines)),
+sets AS (
+    SELECT id, list_distinct([substr(line, i, 9) FOR i IN range(1, length(line) + 1)
+        IF substr(line, i, 1) <> ' ' AND (i = 1 OR substr(line, i - 1, 1) = ' ')]) AS s FROM classes
+), grams AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+    SELECT a.id AS x, b.id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id
+    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (SELECT id, id AS r FROM classes UNION SELECT reach.id, y FROM reach JOIN links ON r = x),
+roots AS (SELECT id, min(r) AS component FROM reach GROUP BY id),
+ranked AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY component ORDER BY doc_id, pos) AS k
+    FROM full_lines JOIN classes USING (line) JOIN roots USING (id)
+), counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dropped FROM ranked GROUP BY doc_id),
+texts AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept
+    FROM lines LEFT JOIN ranked USING (doc_id, pos) WHERE coalesce(k, 1) = 1 GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+    CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS text_sha256
+FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN texts USING (doc_id)
+"""
+
 _SITE = f"""
     SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path, rest
@@ -196,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": _BENCHMARK_HITS,
         "op3_near_dedup": _NEAR_DEDUP,
+        "op7_line_dedup": _LINE_DEDUP,
         "op8_url_filter": _URL_FILTER,
         "op10_warc": _ARCHIVED,
     }
