@@ -6,42 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import cells
-from emberlog.llm.tokens import encoded, per_worker
+from emberlog.llm.tokens import encoded
 
 SEQUENCE_TOKENS = 2048
 BUCKETS, DIMENSIONS, BITS = 64, 4, 12
-WORDS_KEPT = 200_000
 BATCH_ROWS = 4096
 
 
-class _WordSlots(dict):
-    """Signed slot of a word in the hashed vector: bucket, or bucket + BUCKETS for minus."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word) % (2 * BUCKETS)
-        return found
-
-
-def projection() -> np.ndarray:
+def _projection() -> np.ndarray:
     """The fixed matrix from hashed vectors to the curve's space."""
     return np.random.default_rng(20240229).standard_normal((BUCKETS, DIMENSIONS))
 
 
-def document_point(text: bytes, slots: dict[bytes, int]) -> np.ndarray:
-    """Hashed bag of words (A-Z lower-cased), signed, of unit length, projected; zeros without words."""
-    found = text.lower().split()
-    counts = np.bincount(np.fromiter(map(slots.__getitem__, found), np.int64, len(found)), minlength=2 * BUCKETS)
+def document_point(text: bytes, matrix: np.ndarray) -> np.ndarray:
+    """Hashed bag of four-byte grams of the whole text (A-Z lower-cased), signed, of unit length,
+    projected; zeros for texts under four bytes."""
+    data = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    if len(data) < 4:
+        return np.zeros(DIMENSIONS)
+    grams = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+    slots = grams * np.uint32(2654435761) >> np.uint32(32 - (2 * BUCKETS).bit_length() + 1)
+    counts = np.bincount(slots, minlength=2 * BUCKETS)
     vector = counts[:BUCKETS] - counts[BUCKETS:]
     length = np.sqrt(float(vector @ vector))
-    return vector @ projection() / length if length else np.zeros(DIMENSIONS)
+    return vector @ matrix / length if length else np.zeros(DIMENSIONS)
 
 
 def grid(points: np.ndarray) -> np.ndarray:
@@ -80,9 +73,9 @@ def hilbert_keys(cells_: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _keyed(batches):
+    matrix = _projection()
     for batch in batches:
-        slots = per_worker(("word slots",), _WordSlots)
-        points = [document_point(text, slots) for text in cells(batch, "_text")]
+        points = [document_point(text, matrix) for text in cells(batch, "_text")]
         keys = hilbert_keys(grid(np.stack(points))) if points else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "_key"])
 
@@ -151,7 +144,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 1, size:
     """doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset: one row
     per piece of a document in a sequence of at most `size` tokens.
 
-    Documents get a key on a Hilbert curve through a projection of their hashed words and are
+    Documents get a key on a Hilbert curve through a projection of their hashed byte grams and are
     range-sorted by (key, id), so that equal keys spread over partitions; each partition is cut
     along the curve as a stream. All sequences are full but the last ones of a partition, whose
     lengths are powers of two, so that nothing is padded. A document's tokens are those of

@@ -9,12 +9,33 @@ import types
 from array import array
 from collections.abc import Callable, Iterator
 
-#: Text pieces whose ids a worker keeps, and the longest piece it keeps.
-PIECES_KEPT, PIECE_CHARS = 250_000, 48
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Text pieces whose ids a worker keeps (twice as many for a while), and the longest piece it keeps.
+PIECES_KEPT, PIECE_CHARS = 300_000, 40
 #: Characters of the texts encoded together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 6_000_000
 _LED = re.compile(r" (?<=\S )(?=\S)")
-_DROPPED = re.compile(r"[ \n]+")
+_HEAD = "\x02"
+#: Pieces of these characters alone are split here; the tokenizer's own patterns see any other.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed values of both tokenizers' patterns
+_SPLIT = {
+    "led": re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+"),
+    "dropped": re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^ {_LETTERS}0-9]+"),
+}
+_PROBES = ("The", " the", " it's,", "(x1)", "\u00c9t\u00e9 ", "a-b", " don't!!", "2024,", "\u00fcber.")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: printable ones themselves, the
+    others from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def per_worker(key: tuple, make: Callable):
@@ -29,9 +50,13 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers, the same as encoding each text in one piece.
 
     Texts are cut where the tokenizer cuts in any case, and the ids of the pieces are kept, as most
-    words come again and again. `cut` says where that is: "led" for tokenizers that give a space
-    to the word after it (cut before a single space between two other characters), "dropped" for
-    those that drop white space (cut at it), "whole" for any other.
+    words come again and again. `cut` says where that is:
+
+    - "led": a space belongs to the word after it. Cut before a single space and around a single
+      line end, where the characters on both sides are no white space. Texts with other white
+      space are cut at such spaces only.
+    - "dropped": white space is dropped. Cut at spaces and line ends.
+    - "whole": any other tokenizer; texts are not cut.
     """
 
     def __init__(self, path: str, cut: str):
@@ -40,31 +65,99 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = {"led": self._led, "dropped": _DROPPED.split, "whole": lambda text: [text]}[cut]
+        self.cut = cut
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        alphabet = byte_characters()
+        self.written = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x20, 0x100)}
+        self.split = _SPLIT.get(cut)
+        probes = [p for p in _PROBES if _PLAIN.fullmatch(p)]
+        if self.split and [self._plain(p) for p in probes] != self._whole(probes):
+            self.split = None  # another tokenizer than thought: use its own patterns throughout
 
-    @staticmethod
-    def _led(text: str) -> list[str]:
-        first, *rest = _LED.split(text)
-        return [first, *[" " + piece for piece in rest]]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _plain(self, piece: str) -> bytes:
+        """A piece of plain characters: its words go to the tokenizer's model one by one."""
+        found = []
+        for word in self.split.findall(piece if self.cut == "led" else piece.lower()):
+            ids = self.words.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word.translate(self.written))]).tobytes()
+                if len(word) <= PIECE_CHARS:
+                    self.words[word] = ids
+            found.append(ids)
+        if len(self.words) > PIECES_KEPT:
+            self.words = {}
+        return b"".join(found)
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Of new distinct pieces."""
+        plain = [self.split is not None and _PLAIN.fullmatch(piece) is not None for piece in pieces]
+        rest = iter(self._whole([piece for piece, p in zip(pieces, plain) if not p]))
+        return [self._plain(piece) if p else next(rest) for piece, p in zip(pieces, plain)]
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, known or new."""
+        found = [self.known.get(piece) for piece in pieces]
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        older = [k for k in missing if pieces[k] in self.older]
+        for k in older:
+            found[k] = self.known[pieces[k]] = self.older[pieces[k]]
+        new = [k for k in missing if found[k] is None]
+        for k, ids in zip(new, self._ids([pieces[k] for k in new])):
+            found[k] = ids
+            if len(pieces[k]) <= PIECE_CHARS:
+                self.known[pieces[k]] = ids
+        if len(self.known) > PIECES_KEPT:
+            self.known, self.older = {}, self.known
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(text) for text in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > PIECES_KEPT:
-            self.known.clear()
-            new = set().union(*cut)
-        pieces = sorted(new)
-        self.known.update(zip(pieces, self._encode(pieces)))
-        found = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in pieces:
-            if len(piece) > PIECE_CHARS:
-                del self.known[piece]
+        if self.cut == "whole":
+            return self._whole(texts)
+        joined = pa.array(texts, pa.large_string())
+        if self.cut == "led":
+            head = pa.scalar(_HEAD, pa.large_string())
+            joined = pc.binary_join_element_wise(head, pc.replace_substring(joined, "\n", f" \n {_HEAD}"), pa.scalar("", pa.large_string()))
+        else:
+            joined = pc.replace_substring(joined, "\n", " ")
+        lists = pc.split_pattern(joined, " ")
+        coded = lists.flatten().dictionary_encode()
+        at, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        pieces = coded.dictionary.to_pylist()
+        odd = np.zeros(len(pieces), bool)
+        if self.cut == "led":
+            for k, piece in enumerate(pieces):
+                bare = piece[1:] if piece[:1] == _HEAD else piece
+                odd[k] = piece != "\n" and (not bare or bare[0].isspace() or bare[-1].isspace() or _HEAD in bare)
+                pieces[k] = piece if piece == "\n" else bare if bare is not piece else " " + piece
+            pieces = [_HEAD if o else piece for o, piece in zip(odd, pieces)]
+        ids = self.lookup(pieces)
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        values = np.frombuffer(b"".join(ids), "<u4")
+        firsts = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        stops = np.cumsum(each)
+        tokens = values[np.repeat(firsts[at] - (stops - each), each) + np.arange(stops[-1] if len(stops) else 0)]
+        bounds = np.r_[0, stops][ends]
+        found = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        if odd.any():
+            apart = np.add.reduceat(np.r_[odd[at], False].astype(np.int64), ends[:-1]) * (np.diff(ends) > 0)
+            for k in np.flatnonzero(apart):
+                found[k] = self._spaced(texts[k])
         return found
 
+    def _spaced(self, text: str) -> bytes:
+        """A text with several kinds of white space together, or the head mark itself."""
+        first, *rest = _LED.split(text)
+        pieces = [first, *[" " + piece for piece in rest]]
+        distinct = list(dict.fromkeys(pieces))
+        ids = dict(zip(distinct, self.lookup(distinct)))
+        return b"".join(map(ids.__getitem__, pieces))
+
 
 def encoded(batches, path: str, cut: str, text_column: str = "_text") -> Iterator[tuple[dict, bytes]]:
     """Each row of Arrow batches as a dict without its text, and the text's ids; null text is empty."""
@@ -72,9 +165,9 @@ def encoded(batches, path: str, cut: str, text_column: str = "_text") -> Iterato
     for batch in batches:
         rows, texts, size = [], [], 0
         names = [n for n in batch.schema.names if n != text_column]
-        columns = [batch.column(n) for n in names]
+        columns = [batch.column(n).to_pylist() for n in names]
         for k, text in enumerate(batch.column(text_column)):
-            rows.append({n: c[k].as_py() for n, c in zip(names, columns)})
+            rows.append({n: c[k] for n, c in zip(names, columns)})
             texts.append(text.as_py() or "")
             size += len(texts[-1])
             if size >= GROUP_CHARS:
