@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from emberlog.llm.common import Shared, stored
+from emberlog.llm.common import Shared, sampled, stored
 
-#: Vectors that the tree is fitted on, those with the smallest hash of their id; all are indexed.
+#: Vectors that the tree is fitted on, about; all are indexed.
 SAMPLE = 20_000
 BRANCHES, LEAF_SAMPLE, ROUNDS = 8, 24, 8
 #: Queries whose true neighbours set the number of leaves to visit, and the recall they must reach.
@@ -214,7 +214,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
     """query_id, rank, vec_id, score: for each row that `is_query` holds for, its k nearest other rows by
     Euclidean distance in double precision, nearest first, ties to the smaller id.
 
-    The tree is fitted on at most SAMPLE vectors; every row is indexed under a leaf. Each query
+    The tree is fitted on about SAMPLE vectors; every row is indexed under a leaf. Each query
     visits leaves best bin first. How many is calibrated: CALIBRATION queries are compared with
     all rows, and visits widen until the leaves visited hold the `recall` share of their true
     neighbours (at the end, all leaves). Leaves are dealt in blocks of rows, and the queries of a
@@ -233,7 +233,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
     if size is None:
         return empty
     whole = whole.where(F.size("vector") == size["size"])
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
+    sample = sampled(whole, SAMPLE, "vec_id", "vector").orderBy("vec_id").select("vector").toArrow()
     tree = fit_tree(_matrix(sample.column("vector")))
     sent = Shared(spark.sparkContext, tree)
     index = stored(whole.mapInArrow(_indexer(sent), "vec_id bigint, vector array<double>, asked boolean, leaf bigint"), "vector-index")
@@ -267,7 +267,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
 def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """The least number of visits, of the widening steps, that reaches the recall on some queries."""
     spark = index.sparkSession
-    some = asked.orderBy(F.xxhash64("vec_id"), "query").limit(CALIBRATION).select("query", "vec_id", "vector").toArrow()
+    some = sampled(asked, CALIBRATION, "vec_id", "vector").select("query", "vec_id", "vector").toArrow()
     if not len(some):
         return FIRST_VISITS
     vectors = _matrix(some.column("vector"))

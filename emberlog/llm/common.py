@@ -34,6 +34,15 @@ def fold(id_column: str, modulus: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
 
+def sampled(frame: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """About `rows` rows, those with the smallest hashes of `columns`, or all of a smaller frame; at
+    most twice as many, should many rows share a hash. Nothing is sorted or sent to the driver."""
+    count = frame.count()
+    if count <= rows:
+        return frame
+    return frame.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int(rows / count * (1 << 40))).limit(2 * rows)
+
+
 def cells(batch, name: str) -> list:
     """A column of an Arrow batch as Python values, null strings as empty bytes."""
     column = batch.column(name)

@@ -185,6 +185,6 @@ def score_quality(documents: DataFrame, model: RuleModel, text_column: str = "te
     the place of columns so named. Native expressions, no shuffle; null and empty texts are scored
     by their statistics (all about 0), repeated rows alike."""
     kept = [c for c in documents.columns if c not in ("score", "predicted")]
-    frame, names = with_statistics(documents.select(*kept), text_column)
-    frame = frame.withColumn("score", model.score).drop(*names)
-    return frame.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    frame, _ = with_statistics(documents.select(F.struct(*kept).alias("_kept"), F.col(text_column).alias("_text")), "_text")
+    frame = frame.select("_kept", model.score.alias("_score"))
+    return frame.select("_kept.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

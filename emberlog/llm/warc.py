@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import sampled
 from emberlog.llm.tokenfiles import create
 
 LEVEL = 6
@@ -121,10 +122,10 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 
 def _sample(pages: DataFrame, date: str) -> list[bytes]:
-    """Up to SAMPLE_RECORDS records, those with the smallest hash, each from a payload of at most
+    """About SAMPLE_RECORDS records from all of the table, each from a payload of at most
     SAMPLE_RECORD_BYTES, until they have SAMPLE_BYTES."""
-    small = pages.where(F.octet_length("_html") <= SAMPLE_RECORD_BYTES)
-    rows = small.orderBy(F.xxhash64("_id", "_html"), "_id").limit(SAMPLE_RECORDS).select("_id", "_url", "_html").collect()
+    small = sampled(pages.where(F.octet_length("_html") <= SAMPLE_RECORD_BYTES), SAMPLE_RECORDS, "_id", "_html")
+    rows = sorted(small.select("_id", "_url", "_html").collect(), key=lambda r: (r["_id"] is None, r["_id"] or 0, r["_html"]))
     found, size = [], 0
     for row in rows:
         data = record(row["_id"], row["_url"], bytes(row["_html"]), None, date)
