@@ -18,8 +18,8 @@ SAMPLE = 20_000
 BRANCHES, LEAF_SAMPLE, ROUNDS = 8, 24, 8
 #: Queries whose true neighbours set the number of leaves to visit, and the recall they must reach.
 CALIBRATION, RECALL = 100, 0.97
-#: Vectors, and queries, of one task's unit of work.
-BLOCK, CHUNK = 4096, 2048
+#: Vectors, and queries, of one task's unit of work; queries of one routing task.
+BLOCK, CHUNK, ROUTED = 8192, 256, 64
 FIRST_VISITS, WIDEN = 4, 1.25
 
 
@@ -128,19 +128,35 @@ def _indexer(tree):
 
 def _best(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest, ties to the smaller id."""
-    if len(distances) > 4 * k:
-        near = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1])
-        return near[np.lexsort((ids[near], distances[near]))[:k]]
     return np.lexsort((ids, distances))[:k]
 
 
 _FOUND = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())])
+SCHEMA = "query bigint, vec_id bigint, score double, leaf bigint"
 
 
-def _nearest(queries, query_ids, query_rows, vectors, ids, leaves, k) -> pa.Table:
+def _nearest(queries, query_ids, query_rows, vectors, ids, leaves, k, visited=None) -> pa.Table:
+    """The k nearest of the rows to each query, or of those whose leaf is among its `visited` ones.
+
+    Products of matrices leave the rows that can be among them; their distances are then taken
+    from the differences.
+    """
     out: list[list] = [[], [], [], []]
-    for q, own, row in zip(queries, query_ids, query_rows):
+    lengths = (vectors * vectors).sum(axis=1)
+    rough = _squared(queries, vectors)
+    slack = 1e-9 * (lengths.max(initial=0) + (queries * queries).sum(axis=1).max(initial=0))
+    seen = np.zeros(int(leaves.max(initial=0)) + 1, bool)
+    for n, (q, own, row) in enumerate(zip(queries, query_ids, query_rows)):
         other = ids != own
+        if visited is not None:
+            mine = visited[n][visited[n] < len(seen)]
+            seen[mine] = True
+            other &= seen[leaves]
+            seen[mine] = False
+        other = np.flatnonzero(other)
+        if len(other) > k:
+            near = rough[n, other]
+            other = other[near <= np.partition(near, k - 1)[k - 1] + slack]
         d = np.sqrt(((vectors[other] - q) ** 2).sum(axis=1))
         best = _best(d, ids[other], k)
         out[0].append(np.full(len(best), row))
@@ -163,30 +179,48 @@ def _scan(known, k):
     return run
 
 
-def _router(tree, sizes, visits, k):
-    """(query, leaf) for the leaves each query visits: `visits` of them, and more until they hold k
-    rows besides its own."""
+def _router(tree, sizes, units, visits, k):
+    """(query, vec_id, vector, unit, leaves) for the leaves each query visits, by the unit they are
+    in: `visits` of them, and more until they hold k rows besides its own."""
+    schema = pa.schema(
+        [("query", pa.int64()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("unit", pa.int64()), ("leaves", pa.list_(pa.int64()))]
+    )
 
     def run(batches):
-        held, own = sizes.load(), tree.load()
+        held, unit_of, own = sizes.load(), units.load(), tree.load()
         for batch in batches:
-            rows, leaves = [], []
-            for row, vector in zip(batch.column("query").to_pylist(), _matrix(batch.column("vector")) if len(batch) else []):
+            found = []
+            for row, vector in zip(batch.to_pylist(), _matrix(batch.column("vector")) if len(batch) else []):
                 count = [0]
 
-                def enough(found, count=count):
-                    count[0] += held.get(found[-1], 0)
-                    return len(found) >= visits and count[0] > k
+                def enough(leaves, count=count):
+                    count[0] += held.get(leaves[-1], 0)
+                    return len(leaves) >= visits and count[0] > k
 
+                by_unit: dict[int, list[int]] = {}
                 for leaf in own.visits(vector, enough):
-                    if leaf in held:
-                        rows.append(row)
-                        leaves.append(leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(leaves, pa.int64())], ["query", "leaf"])
+                    if leaf in unit_of:
+                        by_unit.setdefault(unit_of[leaf], []).append(leaf)
+                found += [row | {"unit": unit, "leaves": leaves} for unit, leaves in by_unit.items()]
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return run
 
 
+def _units(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """Leaves in units of about BLOCK rows, neighbours in the tree together: unit of each leaf, rows
+    of each unit. A leaf beyond that is a unit of its own."""
+    unit_of: dict[int, int] = {}
+    rows: dict[int, int] = {}
+    unit = 0
+    for leaf in sorted(sizes):
+        if rows.get(unit, 0) and rows[unit] + sizes[leaf] > BLOCK:
+            unit += 1
+        unit_of[leaf] = unit
+        rows[unit] = rows.get(unit, 0) + sizes[leaf]
+    return unit_of, rows
+
+
 def _compare(k):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(queries) or not len(rows):
@@ -194,6 +228,7 @@ def _compare(k):
         return _nearest(
             _matrix(queries.column("vector")), queries.column("vec_id").to_numpy(), queries.column("query").to_numpy(),
             _matrix(rows.column("vector")), rows.column("vec_id").to_numpy(), rows.column("leaf").to_numpy(), k,
+            [np.array(leaves, np.int64) for leaves in queries.column("leaves").to_pylist()],
         )
 
     return run
@@ -217,8 +252,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
     The tree is fitted on about SAMPLE vectors; every row is indexed under a leaf. Each query
     visits leaves best bin first. How many is calibrated: CALIBRATION queries are compared with
     all rows, and visits widen until the leaves visited hold the `recall` share of their true
-    neighbours (at the end, all leaves). Leaves are dealt in blocks of rows, and the queries of a
-    leaf in chunks, so that a leaf with a third of all rows is many tasks.
+    neighbours (at the end, all leaves). Leaves are compared in units of about BLOCK rows,
+    a larger leaf in blocks, and the queries of a unit in chunks, so that a leaf with a third of
+    all rows is many tasks; each gives at most k rows per query.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
     components take no part, nor do null ids. A query finds no row with its own id; rows that
@@ -243,23 +279,28 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
     sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     visits = _calibrated(index, asked, tree, k, recall)
 
-    routed = asked.mapInArrow(_router(sent, Shared(spark.sparkContext, sizes), visits, k), "query bigint, leaf bigint")
+    unit_of, unit_rows = _units(sizes)
+    context = spark.sparkContext
+    route = _router(sent, Shared(context, sizes), Shared(context, unit_of), visits, k)
+    tasks = -(-max(asked.count(), 1) // ROUTED)
+    routed = asked.repartition(tasks, "query").select("query", "vec_id", "vector").mapInArrow(
+        route, "query bigint, vec_id bigint, vector array<double>, unit bigint, leaves array<bigint>"
+    )
     routed = stored(routed, "visits")
-    per_leaf = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    shape = spark.createDataFrame(
-        [(leaf, -(-n // BLOCK), -(-per_leaf.get(leaf, 0) // CHUNK)) for leaf, n in sizes.items()], "leaf bigint, blocks int, chunks int"
-    )  # one row per leaf, whose number the sample bounds
-    shape = F.broadcast(shape)
-    left = routed.join(shape, "leaf").join(asked, "query").select(
-        "query", "vec_id", "vector", "leaf",
+    per_unit = {r["unit"]: r["n"] for r in routed.groupBy("unit").agg(F.count("*").alias("n")).collect()}
+    # One row per leaf, whose number the sample bounds.
+    shape = [(leaf, unit, -(-unit_rows[unit] // BLOCK), -(-per_unit.get(unit, 0) // CHUNK)) for leaf, unit in unit_of.items()]
+    shape = spark.createDataFrame(shape, "leaf bigint, unit bigint, blocks int, chunks int")
+    left = routed.join(F.broadcast(shape.drop("leaf").distinct()), "unit").select(
+        "query", "vec_id", "vector", "unit", "leaves",
         F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"),
     )
-    right = index.join(shape, "leaf").where("chunks > 0").select(
-        "vec_id", "vector", "leaf",
-        F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"),
+    right = index.join(F.broadcast(shape), "leaf").where("chunks > 0").select(
+        "vec_id", "vector", "unit", "leaf",
+        F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"),
     )
-    keys = ("leaf", "block", "chunk")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare(k), "query bigint, vec_id bigint, score double, leaf bigint")
+    keys = ("unit", "block", "chunk")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare(k), SCHEMA)
     names = asked.select("query", F.col("vec_id").alias("query_id"))
     return _ranked(found, k).join(names, "query").select("query_id", "rank", "vec_id", "score")
 
@@ -273,7 +314,7 @@ def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall:
     vectors = _matrix(some.column("vector"))
     rows = some.column("query").to_numpy()
     known = Shared(spark.sparkContext, (rows, some.column("vec_id").to_numpy(), vectors))
-    scanned = index.select("vec_id", "vector", "leaf").mapInArrow(_scan(known, k), "query bigint, vec_id bigint, score double, leaf bigint")
+    scanned = index.select("vec_id", "vector", "leaf").mapInArrow(_scan(known, k), SCHEMA)
     truth: dict[int, list[int]] = {}
     for row in _ranked(scanned, k).select("query", "leaf").collect():
         truth.setdefault(row["query"], []).append(row["leaf"])
