@@ -38,12 +38,14 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def per_worker(key: tuple, make: Callable):
-    """One object per Python worker, which Spark reuses from task to task."""
+def per_worker(kind: str, key, make: Callable):
+    """One object of a kind per Python worker, which Spark reuses from task to task; another key
+    takes its place."""
     kept = sys.modules.setdefault("_emberlog_worker", types.ModuleType("_emberlog_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(kind, (None,))[0] != key:
+        kept.pop(kind, None)
+        kept[kind] = key, make()
+    return kept[kind][1]
 
 
 class Encoder:
@@ -161,7 +163,7 @@ class Encoder:
 
 def encoded(batches, path: str, cut: str, text_column: str = "_text") -> Iterator[tuple[dict, bytes]]:
     """Each row of Arrow batches as a dict without its text, and the text's ids; null text is empty."""
-    encoder = per_worker(("encoder", path, cut), lambda: Encoder(path, cut))
+    encoder = per_worker("encoder", (path, cut), lambda: Encoder(path, cut))
     for batch in batches:
         rows, texts, size = [], [], 0
         names = [n for n in batch.schema.names if n != text_column]
