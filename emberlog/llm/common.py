@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
-
-from pyspark import SparkContext, cloudpickle
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +50,17 @@ def cells(batch, name: str) -> list:
 
 
 class Shared:
-    """An object sent to every executor once. It travels with its class, so that executors need no
-    copy of this package."""
+    """An object sent to every executor once. Objects of this package go as their attributes, with
+    the class beside the function that uses them, so executors need no copy of the package and
+    hold one copy of the data."""
 
     def __init__(self, context: SparkContext, value):
-        self._sent = context.broadcast(cloudpickle.dumps(value))
+        self._kind = type(value) if type(value).__module__.startswith(__package__) else None
+        self._sent = context.broadcast(vars(value) if self._kind else value)
 
     def load(self):
-        return pickle.loads(self._sent.value)
+        if self._kind is None:
+            return self._sent.value
+        found = self._kind.__new__(self._kind)
+        found.__dict__.update(self._sent.value)
+        return found
