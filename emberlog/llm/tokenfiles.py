@@ -30,7 +30,7 @@ from emberlog.llm.tokens import encoded
 
 FRAME_TOKENS = 1 << 16
 FRAMES_PER_TASK = 64
-LEVEL = 3
+LEVEL = 1
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE = 0x184D2A50
 SEEK_TABLE = 0x184D2A5E

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Text pieces whose ids a worker keeps (twice as many for a while), and the longest piece it keeps.
 PIECES_KEPT, PIECE_CHARS = 300_000, 40
 #: Characters of the texts encoded together.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 12_000_000
 _LED = re.compile(r" (?<=\S )(?=\S)")
 _HEAD = "\x02"
 #: Pieces of these characters alone are split here; the tokenizer's own patterns see any other.
@@ -92,7 +92,7 @@ class Encoder:
                     self.words[word] = ids
             found.append(ids)
         if len(self.words) > PIECES_KEPT:
-            self.words = {}
+            self.words.clear()
         return b"".join(found)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -103,7 +103,7 @@ class Encoder:
 
     def lookup(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, known or new."""
-        found = [self.known.get(piece) for piece in pieces]
+        found = list(map(self.known.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
         older = [k for k in missing if pieces[k] in self.older]
         for k in older:
@@ -138,12 +138,14 @@ class Encoder:
                 pieces[k] = piece if piece == "\n" else bare if bare is not piece else " " + piece
             pieces = [_HEAD if o else piece for o, piece in zip(odd, pieces)]
         ids = self.lookup(pieces)
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         values = np.frombuffer(b"".join(ids), "<u4")
-        firsts = np.cumsum(sizes) - sizes
+        firsts = np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes[at]
-        stops = np.cumsum(each)
-        tokens = values[np.repeat(firsts[at] - (stops - each), each) + np.arange(stops[-1] if len(stops) else 0)]
+        stops = np.cumsum(each, dtype=np.int32)
+        where = np.repeat(firsts[at] - (stops - each), each)
+        where += np.arange(len(where), dtype=np.int32)
+        tokens = values[where]
         bounds = np.r_[0, stops][ends]
         found = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         if odd.any():
