@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -20,10 +20,11 @@ from emberlog import (
     validate_requests,
 )
 from emberlog.operators.aggregate import aggregate_raw, rendered_buckets
-from emberlog.operators.maintenance import compact, drop_expired, partition_name, run_maintenance
+from emberlog.operators.maintenance import compact, drop_expired, partition_name_column, run_maintenance
 from emberlog.operators.rollup import merge_deltas, rollup_1s
-from emberlog.operators.search import cursor_column, rendered_logs
+from emberlog.operators.search import Page, cursor_column, iterate_pages, rendered_logs
 from emberlog.plans.options import Cursor
+from emberlog.schema import LOG_COLUMNS
 from emberlog.sources.requests import read_requests, stream_requests
 from emberlog.sources.samples import logs_from_events, read_events, request_bodies
 from emberlog.streaming.ingest import start_ingest
@@ -104,27 +105,28 @@ def _search(params: dict[str, str], all_rows: bool = True, source=logs_from_even
     return run
 
 
-def _pages(count: int) -> Query:
-    """The first pages of a search, each continuing after the last row of the one before."""
+def _paged(spark: SparkSession, pages: Iterator[Page], source: DataFrame) -> DataFrame:
+    """All pages, each written as it comes, with its number."""
+    path = scratch_dir(spark, "pages")
+    schema = source.select(*LOG_COLUMNS).schema.add("page", "integer")
+    for number, page in enumerate(pages):
+        rows = [(*row, number) for row in page.rows]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = _ties(spark, sf_dir)
-        options = parse_search_params({"level": "info", "limit": "250"})
-        pages = []
-        for _ in range(count):
-            page = search_logs(logs, options)
-            pages.append(page)
-            last = page.orderBy("timestamp", "id").first()
-            if last is None:
-                break
-            at = last["timestamp"].replace(tzinfo=timezone.utc)
-            options = replace(options, cursor=Cursor(at, last["id"]))
-        result = pages[0]
-        for page in pages[1:]:
-            result = result.unionAll(page)
-        return result
 
-    return run
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search page by page, each continuing at the cursor of the one before."""
+    logs = _ties(spark, sf_dir)
+    return _paged(spark, iterate_pages(logs, parse_search_params({"level": "info", "limit": "1000"})), logs)
+
+
+def _store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over stored logs, with a filter that counters do not answer."""
+    store = _store(spark, sf_dir)
+    pages = store.iterate_pages(parse_search_params({"service": "svc-3", "q": "view", "limit": "1000"}))
+    found = _paged(spark, pages, store.logs())
+    return _naive(found.select(*LOG_FIELDS, "page"), "timestamp")
 
 
 def _cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +150,9 @@ def _store_search(params: dict[str, str], all_rows: bool = False) -> Query:
 # -- aggregation ------------------------------------------------------------
 
 
-def _aggregate(params: dict[str, str], rollup: bool = False) -> Query:
+def _aggregate(params: dict[str, str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = logs_from_events(spark, sf_dir)
-        options = parse_aggregate_params(params)
-        return aggregate_logs(logs, options, rollup_1s(logs) if rollup else None)
+        return aggregate_logs(logs_from_events(spark, sf_dir), parse_aggregate_params(params))
 
     return run
 
@@ -270,6 +270,24 @@ def _streamed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(merge_deltas(store.rollup()), "bucket_start")
 
 
+def _edge_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps of UTC year 0 and 10000 beside good ones, through ingestion."""
+    events = read_events(spark, sf_dir)
+    moments = ["0000-06-01T00:00:00Z", "0001-01-01T00:00:00+05:00", "9999-12-31T23:59:59-01:00", "0001-01-01T05:00:00+05:00", "2024-01-01"]
+    moment = F.element_at(F.array(*map(F.lit, moments)), (F.col("event_id") % len(moments) + 1).cast("int"))
+    entry = F.to_json(F.struct(moment.alias("timestamp"), F.lit("info").alias("level"), F.lit("svc").alias("service"), F.col("event_type").alias("message")))
+    requests = events.select(
+        F.col("event_id").cast("string").alias("request_id"),
+        F.concat(F.lit('{"logs":['), entry, F.lit("]}")).alias("body"),
+        F.lit("2024-02-01T00:00:00Z").cast("timestamp").alias("received_at"),
+    )
+    store = LogStore(spark, f"{scratch_dir(spark, 'years')}/store")
+    store.append(requests)
+    stored = store.logs().groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+    refused = store.responses().where("status = 400").select(F.col("rejected")[0]["reason"].alias("day"))
+    return stored.unionAll(refused.groupBy("day").agg(F.count("*").alias("rows")))
+
+
 # -- maintenance ------------------------------------------------------------
 
 
@@ -293,9 +311,8 @@ def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name and size of each daily partition."""
     store = _store(spark, sf_dir)
-    names = spark.createDataFrame([(d, partition_name(d)) for d in store.days("logs")], "day DATE, partition STRING")
     counts = store.logs().groupBy("day").agg(F.count("*").alias("rows"))
-    return counts.join(F.broadcast(names), "day").select("partition", "rows")
+    return counts.select(partition_name_column(F.col("day")).alias("partition"), "rows")
 
 
 def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +357,8 @@ def queries() -> dict[str, Query]:
         "search_keyset_page": _search({**KEYSET, "limit": "10"}, all_rows=False),
         "search_keyset_rest": _search(KEYSET, source=_ties),
         "search_tie_break": _search({"service": "svc-3"}, source=_ties),
-        "search_pages": _pages(4),
+        "search_pages": _pages,
+        "store_search_pages": _store_pages,
         "search_cursors": _cursors,
         "search_rendered": _rendered,
         "store_search_latest": _store_search({"limit": "1000"}),
@@ -353,11 +371,11 @@ def queries() -> dict[str, Query]:
         ),
         "agg_filtered": _aggregate({**RANGE, "bucket": "1h", "service": "svc-2", "level": "error"}),
         "agg_rendered": _agg_rendered,
-        "agg_rollup_unaligned": _aggregate({**RANGE, "bucket": "1h"}, rollup=True),
-        "agg_rollup_by_service": _aggregate({**RANGE, "bucket": "1d", "group_by": "service"}, rollup=True),
-        "agg_rollup_by_level": _aggregate({**RANGE, "bucket": "5m", "group_by": "level"}, rollup=True),
-        "agg_rollup_filtered": _aggregate(
-            {**RANGE, "bucket": "1m", "service": "svc-2", "level": "error"}, rollup=True
+        "agg_rollup_unaligned": _store_aggregate({**RANGE, "bucket": "1h"}),
+        "agg_rollup_by_service": _store_aggregate({**RANGE, "bucket": "1d", "group_by": "service"}),
+        "agg_rollup_by_level": _store_aggregate({**RANGE, "bucket": "5m", "group_by": "level"}),
+        "agg_rollup_filtered": _store_aggregate(
+            {**RANGE, "bucket": "1m", "service": "svc-2", "level": "error"}
         ),
         "store_agg_by_service": _store_aggregate({**RANGE, "bucket": "1h", "group_by": "service"}),
         "store_agg_by_level": _store_aggregate({**RANGE, "bucket": "1m", "group_by": "level"}),
@@ -371,6 +389,7 @@ def queries() -> dict[str, Query]:
         "ingest_responses": _ingested_responses,
         "ingest_rollup": _ingested_rollup,
         "ingest_numbers": _numbers,
+        "ingest_edge_years": _edge_years,
         "stream_rollup": _streamed_rollup,
         "retention_kept": _retained("logs"),
         "retention_rollup_kept": _retained("log_rollup_1s"),
@@ -451,7 +470,7 @@ def _sql_aggregate(bucket: str, group: str | None = None, where: str = _IN_RANGE
     start = (start or "{}").format(binned)
     key = group or "CAST(NULL AS VARCHAR)"
     return (
-        f'SELECT {start} AS start, {key} AS "group", CAST(count(*) AS INTEGER) AS count '
+        f'SELECT {start} AS start, {key} AS "group", count(*) AS count '
         f"FROM {_LOGS} WHERE {where} GROUP BY ALL"
     )
 
@@ -498,7 +517,14 @@ def oracle_sql() -> dict[str, str]:
             "(\"timestamp\", id) < (TIMESTAMP '2024-01-16 01:03:34.557814', 5000)", source=_TIES
         ),
         "search_tie_break": _sql_search("service = 'svc-3'", source=_TIES),
-        "search_pages": _sql_search("level = 'info'", 1000, source=_TIES),
+        "search_pages": (
+            f"SELECT {_ROW}, CAST((row_number() OVER ({_NEWEST}) - 1) // 1000 AS INTEGER) AS page "
+            f"FROM {_TIES} WHERE level = 'info'"
+        ),
+        "store_search_pages": (
+            f"SELECT {_STORED_FIELDS}, CAST((row_number() OVER (ORDER BY \"timestamp\" DESC) - 1) // 1000 AS INTEGER) AS page "
+            f"FROM {_STORED} WHERE service = 'svc-3' AND message ILIKE '%view%'"
+        ),
         "search_cursors": (
             "SELECT event_id AS id, to_base64(encode(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z|' || event_id)) "
             "AS cursor FROM events"
@@ -553,6 +579,8 @@ def oracle_sql() -> dict[str, str]:
             "WHERE ts < TIMESTAMP '2024-01-24'"
         ),
         "partition_names": "SELECT strftime(ts, 'logs_y%Ym%md%d') AS partition, count(*) AS rows FROM events GROUP BY ALL",
+        "ingest_edge_years": """SELECT CASE WHEN event_id % 5 = 3 THEN '0001-01-01' WHEN event_id % 5 = 4 THEN '2024-01-01'
+            ELSE 'Timestamp must be a valid ISO 8601 string' END AS day, count(*) AS rows FROM events GROUP BY ALL""",
         "compact_rollup": _sql_rollup(_LOGS),
         "compact_logs": _sql_stored(),
     }

@@ -21,6 +21,10 @@ _ISO_PARTS = re.compile(
 )
 _END_OF_DAY = r"T24:00(:00([.]0+)?)?(Z|[+-]\d{2}:\d{2})?$"
 
+# The instants a Python datetime holds, for both parsers: UTC years 1 to 9999.
+_FIRST, _LAST = "0001-01-01T00:00:00Z", "9999-12-31T23:59:59.999999Z"
+MICROSECOND = timedelta(microseconds=1)
+
 RENDER_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 RENDER_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -34,9 +38,12 @@ def parse_instant(text: str) -> datetime | None:
     hour, minute, second = int(part["h"] or 0), int(part["mi"] or 0), int(part["s"] or 0)
     micros = int((part["f"] or "0")[:6].ljust(6, "0"))
     next_day = hour == 24 and minute == second == 0 and not int(part["f"] or 0)
+    # The calendar repeats every 400 years. Away from the ends of what a datetime holds, an
+    # offset cannot leave it; whether the UTC year is 1 to 9999 shows on the way back.
+    away = 400 if int(part["y"]) < 5000 else -400
     try:
         moment = datetime(
-            int(part["y"]), int(part["mo"]), int(part["d"] or 1),
+            int(part["y"]) + away, int(part["mo"]), int(part["d"] or 1),
             0 if next_day else hour, minute, second, micros, timezone.utc,
         )
         moment += timedelta(days=int(next_day))
@@ -47,18 +54,20 @@ def parse_instant(text: str) -> datetime | None:
                 return None
             offset = timedelta(hours=offset_hours, minutes=offset_minutes)
             moment += -offset if zone[0] == "+" else offset
-        return moment
-    except (ValueError, OverflowError):
+        return moment.replace(year=moment.year - away)
+    except ValueError:
         return None
 
 
 def instant_sql(text: str) -> str:
-    """TIMESTAMP for an ISO-8601 string expression, NULL for anything else.
+    """TIMESTAMP for an ISO-8601 string expression, NULL for anything else and for instants
+    whose UTC year is not 1 to 9999.
 
     A bare cast would also take 'today', '12:30' or padded text, and would refuse
     24:00, a long fraction, and a time without seconds that carries an offset.
     """
-    return f"""CASE
+    within = f"t -> CASE WHEN t BETWEEN timestamp'{_FIRST}' AND timestamp'{_LAST}' THEN t END"
+    parsed = f"""CASE
         WHEN NOT {text} RLIKE r'{ISO_8601}' THEN NULL
         WHEN substr({text}, 12, 2) = '24' THEN CASE WHEN {text} RLIKE r'{_END_OF_DAY}' THEN
             try_cast(concat(substr({text}, 1, 10), 'T00:00:00',
@@ -68,6 +77,8 @@ def instant_sql(text: str) -> str:
         WHEN length({text}) > 10 AND substr({text}, 17, 1) <> ':'
             THEN try_cast(concat(substr({text}, 1, 16), ':00', substr({text}, 17)) AS TIMESTAMP)
         ELSE try_cast({text} AS TIMESTAMP) END"""
+    # The one-element array names the parsed value, so that it is parsed once.
+    return f"get(transform(array({parsed}), {within}), 0)"
 
 
 def instant_literal(moment: datetime, like: DataType) -> Column:
@@ -78,6 +89,12 @@ def instant_literal(moment: datetime, like: DataType) -> Column:
     return F.lit(text + "Z").cast("timestamp")
 
 
+def last_before(moment: datetime) -> datetime:
+    """The last microsecond before a moment; the first instant there is stays."""
+    first = datetime.min.replace(tzinfo=timezone.utc)
+    return max(moment, first + MICROSECOND) - MICROSECOND
+
+
 def floor_second(moment: datetime) -> datetime:
     return moment.replace(microsecond=0)
 

@@ -33,7 +33,7 @@ def _group(options: AggregateOptions) -> Column:
 
 def _count_by_bucket(rows: DataFrame, ts: str, count: Column, options: AggregateOptions) -> DataFrame:
     keys = [_bin(ts, options)] + ([_group(options)] if options.group_by else [])
-    counted = rows.groupBy(*keys).agg(count.cast("int").alias("count"))
+    counted = rows.groupBy(*keys).agg(count.alias("count"))
     if not options.group_by:
         return counted.select("start", _group(options), "count").orderBy("start")
     return counted.select("start", "group", "count").orderBy("start", "group")

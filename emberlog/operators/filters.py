@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from datetime import datetime, timedelta
+from datetime import datetime
 from functools import reduce
 from operator import and_
 
@@ -13,10 +12,15 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import variants as V
 from emberlog.functions.text import contains_pattern
-from emberlog.functions.timestamps import instant_literal, utc_date
+from emberlog.functions.timestamps import instant_literal, last_before, utc_date
 from emberlog.plans.options import AttrFilter, Cursor
 
 
+def _day(moment: datetime) -> Column:
+    """Its UTC day; from text, as a date of year 1 does not pass to the JVM otherwise."""
+    return F.lit(utc_date(moment).isoformat()).cast("date")
+
+
 def time_range(
     frame: DataFrame, column: str, since: datetime | None, until: datetime | None
 ) -> list[Column]:
@@ -30,11 +34,11 @@ def time_range(
     if since is not None:
         conditions.append(F.col(column) >= instant_literal(since, like))
         if by_day:
-            conditions.append(F.col("day") >= F.lit(utc_date(since)))
+            conditions.append(F.col("day") >= _day(since))
     if until is not None:
         conditions.append(F.col(column) < instant_literal(until, like))
         if by_day:
-            conditions.append(F.col("day") <= F.lit(utc_date(until - timedelta(microseconds=1))))
+            conditions.append(F.col("day") <= _day(last_before(until)))
     return conditions
 
 
@@ -55,16 +59,15 @@ def attribute_equals(frame: DataFrame, attrs: Iterable[AttrFilter]) -> list[Colu
 
 
 def _holds(key: str, value: str) -> Column:
+    """Compared as text; of a repeated key the last value counts, as in stored logs."""
     # The bracketed path names exactly one key, dots included; a key holds no quote.
     path = f"$['{key}']"
-    plain = F.get_json_object("attributes", path) == value
-    if not re.fullmatch(r"-?\d+([.]\d+)?", value):
-        return plain
-    # A fraction or exponent may be written in other digits than it compares by. The
-    # one-element array names the parsed value, so that it is parsed once.
     parsed = f"""try_variant_get(try_parse_json(attributes), "{path}", 'variant')"""
-    exact = F.expr(f"get(transform(array({parsed}), v -> {V.scalar_text('v')}), 0)") == value
-    return F.when(F.col("attributes").rlike("[0-9][.eE]"), exact).otherwise(plain)
+    if not value.startswith(("{", "[")):
+        # A number may be written in other digits than it compares by. The one-element
+        # array names the parsed value, so that it is parsed once.
+        return F.expr(f"get(transform(array({parsed}), v -> {V.scalar_text('v')}), 0)") == value
+    return F.get_json_object("attributes", path) == value
 
 
 def _may_hold(value: str) -> Column:
@@ -85,7 +88,7 @@ def before_cursor(frame: DataFrame, cursor: Cursor | None) -> list[Column]:
         (F.col("timestamp") < at) | (F.col("id") < F.lit(cursor.id)),
     ]
     if "day" in frame.columns:
-        conditions.append(F.col("day") <= F.lit(utc_date(cursor.timestamp)))
+        conditions.append(F.col("day") <= _day(cursor.timestamp))
     return conditions
 
 

@@ -5,20 +5,24 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from emberlog.functions.timestamps import utc_date
 from emberlog.operators.rollup import merge_deltas
 from emberlog.schema import DEFAULT_RETENTION_DAYS, TABLE_SCHEMAS
 from emberlog.sources import paths
-from emberlog.sources.store import LogStore
-
-
-LOG_BATCHES_BEFORE_REWRITE = 50
+from emberlog.sources.store import Commit, LogStore
 
 
 def partition_name(day: date) -> str:
     return f"logs_y{day.year:04d}m{day.month:02d}d{day.day:02d}"
 
 
+def partition_name_column(day: Column) -> Column:
+    return F.concat(F.lit("logs_"), F.date_format(day, "'y'yyyy'm'MM'd'dd"))
+
+
 def cutoff_day(now: datetime, retention_days: int = DEFAULT_RETENTION_DAYS) -> date:
     """First UTC day that is kept."""
     return utc_date(now - timedelta(days=retention_days))
@@ -27,64 +31,74 @@ def cutoff_day(now: datetime, retention_days: int = DEFAULT_RETENTION_DAYS) -> d
 def drop_expired(
     store: LogStore, now: datetime, retention_days: int = DEFAULT_RETENTION_DAYS
 ) -> list[str]:
-    """Remove whole days before the cutoff from every table; counters go with the
-    rows they count. Returns the names of the dropped log partitions, ascending."""
-    cutoff = cutoff_day(now, retention_days)
-    expired = [day for day in store.days("logs") if day < cutoff]
-    # Counters last: until then a range they answer is never short of its rows.
-    for table in TABLE_SCHEMAS:
-        for day in store.days(table):
-            if day < cutoff:
-                paths.remove(store.spark, f"{store.root}/{table}/day={day}")
+    """Take whole days before the cutoff out of every table; counters go with the rows
+    they count. Returns the names of the dropped log partitions, ascending.
+
+    The cutoff is recorded, and new readers keep to it. Folders go one run later,
+    for queries that are still reading them.
+    """
+    cutoff, last = cutoff_day(now, retention_days), store.last_commit()
+    if last.cutoff is not None:
+        for table in TABLE_SCHEMAS:
+            for day in store.folders(table):
+                if day.isoformat() < last.cutoff:
+                    paths.remove(store.spark, f"{store.root}/{table}/day={day}")
+    expired = [day for day in store.days("logs", last) if day < cutoff]
+    if any(day < cutoff for table in TABLE_SCHEMAS for day in store.days(table, last)):
+        store.commit(lambda state: replace(state, cutoff=max(state.cutoff or "", cutoff.isoformat())))
     return [partition_name(day) for day in expired]
 
 
-def compact(store: LogStore, table: str, before: date, min_batches: int = 2) -> list[date]:
+def compact(store: LogStore, table: str, before: date) -> list[date]:
     """Rewrite each earlier day that holds several batches as one.
 
-    Counters become one row per (second, service, level); logs become fewer,
-    larger files. The rewrite is a batch of its own, and readers switch to it when
-    its commit record appears. The files it replaces stay until the next run, for
-    queries that are still reading them. Run it between appends, as it takes the
-    next batch number. min_batches keeps a few late rows from rewriting a whole
-    day of logs.
+    Counters become one row per (second, service, level); other tables fewer, larger
+    files. The rewrite is a batch of its own, and readers switch to it when its
+    commit record appears; batches that others commit meanwhile stay as they are.
+    The files it replaces stay until the next run, for queries that are still
+    reading them. A day that another run has rewritten meanwhile is left to it.
     """
     spark, last = store.spark, store.last_commit()
-    days = store.days(table)
-    replaced = {d: b for d, b in last.compacted.get(table, {}).items() if date.fromisoformat(d) in days}
-    crowded = []
-    for day in days:
-        folder, live = f"{store.root}/{table}/day={day}", 0
+    for day in last.compacted.get(table, {}):
+        folder = f"{store.root}/{table}/day={day}"
         for value in map(int, paths.partition_values(spark, folder, "batch_id")):
-            if value < replaced.get(day.isoformat(), 0):
+            if last.replaced(table, day, value):
                 paths.remove(spark, f"{folder}/batch_id={value}")
-            elif value <= last.batch_id:
-                live += 1
-        if day < before and live >= max(min_batches, 2):
-            crowded.append(day)
+    days = [day for day in store.days(table, last) if day < before]
+    held = store._visible(table, last, days).groupBy("day").agg(F.count_distinct("batch_id").alias("batches"))
+    crowded = sorted(row["day"] for row in held.where("batches > 1").collect())
     if not crowded:
         return []
-    rows = store.table(table, crowded)
+    rows = store._visible(table, last, crowded)
     if table == "log_rollup_1s":
         rows = merge_deltas(rows, "day")
-    batch_id = last.batch_id + 1
-    staging = store.begin(batch_id)
-    size = sum(paths.size(spark, f"{store.root}/{table}/day={day}") for day in crowded)
-    store.write(table, rows, batch_id, size)
-    replaced.update({day.isoformat(): batch_id for day in crowded})
-    store.commit(replace(last, batch_id=batch_id, compacted={**last.compacted, table: replaced}))
-    paths.remove(spark, staging)
-    return crowded
+    batch_id, _ = store.reserve()
+    store.write(table, rows, batch_id)
+
+    def swap(state: Commit) -> Commit | None:
+        known, now = last.compacted.get(table, {}), state.compacted.get(table, {})
+        if any(known.get(day.isoformat()) != now.get(day.isoformat()) for day in crowded):
+            return None
+        entry = {"upto": last.batch_id, "late": last.missing}
+        live = {d: e for d, e in now.items() if state.cutoff is None or d >= state.cutoff}
+        entries = {**live, **{day.isoformat(): entry for day in crowded}}
+        return replace(state.with_batch(batch_id), compacted={**state.compacted, table: entries})
+
+    return crowded if store.commit(swap) else []
 
 
 def run_maintenance(
     store: LogStore, now: datetime, retention_days: int = DEFAULT_RETENTION_DAYS
 ) -> dict[str, object]:
-    """One pass, safe to repeat. A failing step is reported and does not stop the next."""
+    """One pass, safe to repeat and to run beside ingestion. A failing step is reported
+    and does not stop the next. Counters are merged up to today, the day most queries ask
+    for; rows and responses of a day are rewritten once it is over."""
+    today = utc_date(now)
     steps = {
         "dropped": lambda: drop_expired(store, now, retention_days),
-        "compacted": lambda: compact(store, "log_rollup_1s", utc_date(now)),
-        "rewritten": lambda: compact(store, "logs", utc_date(now), LOG_BATCHES_BEFORE_REWRITE),
+        "compacted": lambda: compact(store, "log_rollup_1s", today + timedelta(days=1)),
+        "rewritten": lambda: compact(store, "logs", today),
+        "responses": lambda: compact(store, "responses", today),
     }
     report: dict[str, object] = {"errors": {}}
     for name, step in steps.items():

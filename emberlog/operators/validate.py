@@ -23,12 +23,18 @@ BODY_ERROR = """CASE
     WHEN size(entries) = 0 THEN 'Logs array cannot be empty' END"""
 
 
+# The type text of a whole object rules most out cheaply; a nested type or null may be present.
+_NESTED = "coalesce({0} LIKE 'OBJECT%' AND substr({0}, 8) RLIKE ': (OBJECT<|ARRAY<|VOID)', false)"
+
+
 def explode_requests(requests: DataFrame) -> DataFrame:
     """One row per entry of `{"logs": [...]}`, with its 0-based position.
 
     A body that holds no entries keeps a single row carrying `error`. `entry` is
-    the typed value; `raw` is the same entry as text, whose key order the typed
-    value does not keep. `request_number` tells requests apart that share an id.
+    the typed value and `attr_shape` the type of its attributes; `raw` is the same
+    entry as text, whose key order the typed value does not keep. Only the name of a
+    bad attribute asks for that order, so bodies without one are not parsed again.
+    `request_number` tells requests apart that share an id.
     """
     # The JSON parser stops after the first value. Parsing the body as the first
     # item of an array that ends in the body's own hash makes trailing text show.
@@ -37,16 +43,19 @@ def explode_requests(requests: DataFrame) -> DataFrame:
         requests.withColumn("request_number", F.monotonically_increasing_id())
         .selectExpr("*", f"try_parse_json({sealed}) AS doc")
         .selectExpr("*", "try_variant_get(doc, '$[0].logs', 'array<variant>') AS entries")
+        .selectExpr("*", f"transform(entries, e -> {V.kind(V.field('e', 'attributes'))}) AS shapes")
     )
     paired = parsed.selectExpr(
         *REQUEST_COLUMNS,
         f"{BODY_ERROR} AS error",
-        "coalesce(from_json(body, 'logs ARRAY<STRING>').logs, array()) AS raw",
+        f"""CASE WHEN exists(shapes, s -> {_NESTED.format('s')})
+            THEN coalesce(from_json(body, 'logs ARRAY<STRING>').logs, array()) ELSE array() END AS raw""",
         "entries AS entry",
-    ).selectExpr(*REQUEST_COLUMNS, "error", "CASE WHEN error IS NULL THEN arrays_zip(entry, raw) END AS pairs")
+        "shapes AS attr_shape",
+    ).selectExpr(*REQUEST_COLUMNS, "error", "CASE WHEN error IS NULL THEN arrays_zip(entry, raw, attr_shape) END AS pairs")
     return paired.selectExpr(
         *REQUEST_COLUMNS, "error", "posexplode_outer(pairs) AS (index, pair)"
-    ).selectExpr(*REQUEST_COLUMNS, "error", "index", "pair.entry", "pair.raw")
+    ).selectExpr(*REQUEST_COLUMNS, "error", "index", "pair.entry", "pair.raw", "pair.attr_shape")
 
 
 def _first_bad_attribute() -> str:
@@ -97,18 +106,15 @@ def validate_entries(entries: DataFrame) -> DataFrame:
         "*", *[f"{V.field('entry', name)} AS v_{name}" for name in (*texts, "attributes")]
     )
     typed = fields.selectExpr(
-        *kept, "entry", "raw", "v_timestamp", "v_level", "v_attributes",
+        *kept, "entry", "raw", "v_timestamp", "v_level", "v_attributes", "attr_shape",
         *[f"CASE WHEN {V.kind(f'v_{n}')} = 'STRING' THEN {V.as_string(f'v_{n}')} END AS {n}" for n in texts],
-        f"{V.kind('v_attributes')} AS attr_shape",
     )
-    # The type text of the whole object rules most rows out cheaply; the exact
-    # look at each value runs only where a nested type or null may be present.
+    # The exact look at each value runs only where a nested type or null may be present.
     checked = typed.selectExpr(
         "*",
         f"{instant_sql('timestamp')} AS ts",
         "coalesce(attr_shape LIKE 'OBJECT%', false) AS has_attributes",
-        f"""CASE WHEN attr_shape LIKE 'OBJECT%' AND substr(attr_shape, 8) RLIKE ': (OBJECT<|ARRAY<|VOID)'
-            THEN {_first_bad_attribute()} END AS bad_attribute""",
+        f"CASE WHEN {_NESTED.format('attr_shape')} THEN {_first_bad_attribute()} END AS bad_attribute",
         f"""CASE WHEN attr_shape LIKE 'OBJECT%'
             THEN {V.flat_object_json('v_attributes', 'attr_shape')} ELSE '{{}}' END AS attributes""",
     )

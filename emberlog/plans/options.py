@@ -6,9 +6,9 @@ import base64
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
-from emberlog.functions.timestamps import parse_instant
+from emberlog.functions.timestamps import last_before, parse_instant
 from emberlog.plans.errors import InvalidQueryError
 from emberlog.schema import BUCKETS, DEFAULT_LIMIT, LEVELS, MAX_LIMIT
 
@@ -55,7 +55,7 @@ class SearchOptions:
     @property
     def last_instant(self) -> datetime | None:
         """Latest instant a match can have."""
-        ends = [self.until - timedelta(microseconds=1)] if self.until else []
+        ends = [last_before(self.until)] if self.until else []
         ends += [self.cursor.timestamp] if self.cursor else []
         return min(ends, default=None)
 

@@ -1,102 +1,154 @@
 """The stored tables: logs, their 1-second counters, and per-request responses.
 
 All three are Parquet, partitioned by (day, batch_id). A batch becomes visible in
-all of them at once, when its commit record exists: readers keep to the batches
-the newest record names, so a half-written batch is never seen and writing it
-again replaces it. One writer appends at a time.
+all of them at once, when a commit record names it: readers keep to the batches
+the newest record knows, so a half-written batch is never seen.
+
+Several writers may work at a time. Batch numbers and id ranges are reserved, and
+commit records put in place, by creating a file that must not exist; whoever comes
+second reads the newer record and tries again.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, time, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.util import inheritable_thread_target
 
-from emberlog.functions.timestamps import utc_date
+from emberlog.functions.timestamps import last_before, utc_date
 from emberlog.operators.aggregate import aggregate_logs
 from emberlog.operators.filters import time_range, where_all
 from emberlog.operators.search import (
     Page,
     as_page,
+    matching_logs,
     newest_from_counters,
     probe_rows,
     search_logs,
 )
 from emberlog.operators.validate import summarise_requests, validate_requests
 from emberlog.operators.rollup import rollup_1s
-from emberlog.plans.options import AggregateOptions, SearchOptions
+from emberlog.plans.options import AggregateOptions, SearchOptions, decode_cursor
 from emberlog.schema import PARTITION_COLUMNS, TABLE_SCHEMAS
 from emberlog.session import configure
 from emberlog.sources import paths
 
-KEPT_COMMITS = 20
-MICROSECOND = timedelta(microseconds=1)
-SMALL_BATCH_BYTES = 1024 * 1024
-RANGE_BYTES = 128 * 1024 * 1024
+KEPT_RECORDS = 100
 SORT_KEYS = {
     "logs": ("timestamp", "id"),
     "log_rollup_1s": ("bucket_start", "service", "level"),
+    "responses": ("received_at",),
 }
 
 
 @dataclass(frozen=True)
 class Commit:
-    """State of the store after a batch. Each record is complete, so only the
-    newest is read. `sources` holds the last version taken from each named input;
-    `compacted` maps table to day to the batch that replaced all earlier ones."""
+    """State of the store. Each record is complete, so only the newest is read.
+
+    Batches up to `batch_id` are visible, but for the `missing` ones, which other
+    writers have reserved or given up. `sources` holds the last version taken from
+    each named input. `compacted` maps table to day to what a rewrite replaced:
+    batches up to `upto`, but for those `late` then. Days before `cutoff` are gone.
+    """
 
+    version: int = -1
     batch_id: int = -1
-    next_id: int = 1
+    missing: list[int] = field(default_factory=list)
     sources: dict[str, int] = field(default_factory=dict)
-    compacted: dict[str, dict[str, int]] = field(default_factory=dict)
+    compacted: dict[str, dict[str, dict]] = field(default_factory=dict)
+    cutoff: str | None = None
     accepted: int = 0
     rejected: int = 0
 
+    def with_batch(self, batch_id: int) -> Commit:
+        top = max(self.batch_id, batch_id)
+        missing = {*self.missing, *range(self.batch_id + 1, top)} - {batch_id}
+        return replace(self, batch_id=top, missing=sorted(missing))
+
+    def replaced(self, table: str, day: str, batch_id: int) -> bool:
+        """Whether a rewrite of the day holds this batch's rows."""
+        entry = self.compacted.get(table, {}).get(day)
+        return entry is not None and batch_id <= entry["upto"] and batch_id not in entry["late"]
+
 
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = configure(spark)
         self.root = root.rstrip("/")
 
-    # -- commit record ------------------------------------------------------
+    # -- records ------------------------------------------------------------
+
+    def _newest(self, kind: str) -> dict:
+        """The newest record of a chain; {} before the first."""
+        folder = f"{self.root}/{kind}"
+        while found := paths.names(self.spark, folder):
+            text = paths.read(self.spark, f"{folder}/{found[-1]}")
+            if text is not None:  # else others have moved far on meanwhile
+                return json.loads(text)
+        return {}
+
+    def _publish(self, kind: str, record: dict) -> bool:
+        folder = f"{self.root}/{kind}"
+        if not paths.publish(self.spark, folder, f"{record['version']:012d}.json", json.dumps(record)):
+            return False
+        for name in paths.names(self.spark, folder)[:-KEPT_RECORDS]:
+            paths.remove(self.spark, f"{folder}/{name}")
+        return True
 
     def last_commit(self) -> Commit:
-        folder = f"{self.root}/commits"
-        for value in sorted(map(int, paths.partition_values(self.spark, folder, "batch_id")), reverse=True):
-            # A folder without a row is a commit that was cut off; it never happened.
-            record = self.spark.read.schema("value STRING").text(f"{folder}/batch_id={value}").first()
-            if record is not None:
-                return Commit(**json.loads(record["value"]))
-        return Commit()
-
-    def commit(self, commit: Commit) -> None:
-        folder = f"{self.root}/commits"
-        record = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(asdict(commit))).alias("value"))
-        record.write.mode("overwrite").text(f"{folder}/batch_id={commit.batch_id}")
-        for value in map(int, paths.partition_values(self.spark, folder, "batch_id")):
-            if value <= commit.batch_id - KEPT_COMMITS:
-                paths.remove(self.spark, f"{folder}/batch_id={value}")
+        return Commit(**self._newest("commits"))
+
+    def commit(self, change: Callable[[Commit], Commit | None]) -> Commit | None:
+        """Apply a change to the newest state and make it visible; where another
+        writer was faster, again to that one's. A change to None is given up."""
+        while True:
+            last = self.last_commit()
+            changed = change(last)
+            if changed is None:
+                return None
+            record = replace(changed, version=last.version + 1)
+            if self._publish("commits", asdict(record)):
+                return record
+
+    def reserve(self, ids: int = 0) -> tuple[int, int]:
+        """A batch number no other writer has, and the first of so many ids."""
+        while True:
+            last = self._newest("reservations") or {"version": -1, "next_id": 1}
+            record = {"version": last["version"] + 1, "next_id": last["next_id"] + ids}
+            if self._publish("reservations", record):
+                return record["version"], last["next_id"]
 
     # -- reading ------------------------------------------------------------
 
-    def days(self, table: str) -> list[date]:
+    def folders(self, table: str) -> list[date]:
+        """UTC days with a folder, ascending; those past retention too."""
+        found = []
+        for value in paths.partition_values(self.spark, f"{self.root}/{table}", "day"):
+            try:
+                found.append(date.fromisoformat(value))
+            except ValueError:  # not a folder of this library
+                continue
+        return sorted(found)
+
+    def days(self, table: str, commit: Commit | None = None) -> list[date]:
         """UTC days with a partition, ascending."""
-        folder = f"{self.root}/{table}"
-        return [date.fromisoformat(v) for v in paths.partition_values(self.spark, folder, "day")]
+        cutoff = (commit or self.last_commit()).cutoff
+        return [day for day in self.folders(table) if cutoff is None or day.isoformat() >= cutoff]
 
     def table(self, name: str, days: Iterable[date] | None = None) -> DataFrame:
         """Committed rows. Naming days keeps the file listing to those partitions."""
         return self._visible(name, self.last_commit(), days)
 
     def _visible(self, name: str, commit: Commit, days: Iterable[date] | None = None) -> DataFrame:
-        present = self.days(name)
+        present = self.days(name, commit)
         chosen = present if days is None else sorted(set(days) & set(present))
         reader = self.spark.read.schema(TABLE_SCHEMAS[name]).option("basePath", f"{self.root}/{name}")
         if not chosen:
@@ -106,22 +158,29 @@ class LogStore:
 
     @staticmethod
     def _live(name: str, commit: Commit, days: list[date]) -> list[Column]:
-        conditions = [F.col("batch_id") <= commit.batch_id]
-        since = {d: b for d, b in commit.compacted.get(name, {}).items() if date.fromisoformat(d) in days}
-        if since:
-            pairs = [F.lit(x) for d, b in since.items() for x in (d, b)]
-            replaced_before = F.create_map(*pairs)[F.col("day").cast("string")]
-            conditions.append(F.col("batch_id") >= F.coalesce(replaced_before, F.lit(0)))
+        batch = F.col("batch_id")
+        conditions = [batch <= commit.batch_id]
+        if commit.missing:
+            conditions.append(~batch.isin(commit.missing))
+        rewritten = {d: e for d, e in commit.compacted.get(name, {}).items() if date.fromisoformat(d) in set(days)}
+        if rewritten:
+            day = F.col("day").cast("string")
+            upto = F.create_map(*[F.lit(x) for d, e in rewritten.items() for x in (d, e["upto"])])[day]
+            live = batch > F.coalesce(upto, F.lit(-1))
+            for d, entry in rewritten.items():
+                if entry["late"]:
+                    live = live | ((day == d) & batch.isin(entry["late"]))
+            conditions.append(live)
         return conditions
 
     def _between(self, name: str, commit: Commit, since: datetime | None, until: datetime | None) -> DataFrame:
-        high = until - MICROSECOND if until else None
-        return self._visible(name, commit, self._days_between(name, since, high))
+        high = last_before(until) if until else None
+        return self._visible(name, commit, self._days_between(name, commit, since, high))
 
-    def _days_between(self, name: str, first: datetime | None, last: datetime | None) -> list[date]:
+    def _days_between(self, name: str, commit: Commit, first: datetime | None, last: datetime | None) -> list[date]:
         low = utc_date(first) if first else date.min
         high = utc_date(last) if last else date.max
-        return [day for day in self.days(name) if low <= day <= high]
+        return [day for day in self.days(name, commit) if low <= day <= high]
 
     def logs(self) -> DataFrame:
         return self.table("logs")
@@ -147,31 +206,55 @@ class LogStore:
         if options.counted_by_rollup:
             return as_page(probe_rows(self._candidates(commit, probe), probe), options.limit)
         rows = []
-        for days in self._newest_days_first("logs", options):
+        for days in self._newest_days_first("logs", commit, options):
             missing = replace(probe, limit=probe.limit - len(rows))
             rows += probe_rows(self._visible("logs", commit, days), missing)
             if len(rows) == probe.limit:
                 break
         return as_page(rows, options.limit)
 
+    def iterate_pages(self, options: SearchOptions) -> Iterator[Page]:
+        """Pages from the newest on, following the cursor until it is null."""
+        while True:
+            page = self.search_page(options)
+            yield page
+            if page.next_cursor is None:
+                return
+            options = replace(options, cursor=decode_cursor(page.next_cursor))
+
+    def create_views(self, prefix: str = "") -> list[str]:
+        """Temporary views over the committed rows of each table, by its name."""
+        for name in TABLE_SCHEMAS:
+            self.table(name).createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in TABLE_SCHEMAS]
+
     def _candidates(self, commit: Commit, options: SearchOptions) -> DataFrame:
         """Log rows that can be among the newest `limit` matches."""
         since = options.since
         if options.limit is not None and options.counted_by_rollup:
             missing = options.limit
-            for days in self._newest_days_first("log_rollup_1s", options):
+            for days in self._newest_days_first("log_rollup_1s", commit, options):
                 counters = self._visible("log_rollup_1s", commit, days)
                 found, second = newest_from_counters(counters, options, missing)
                 missing -= found
                 if missing == 0:
                     since = max(second, since) if since else second
                     break
-        logs = self._visible("logs", commit, self._days_between("logs", since, options.last_instant))
+        elif options.limit is not None:
+            # Nothing counts these; days newest first until enough rows are found.
+            missing = options.limit
+            for days in self._newest_days_first("logs", commit, options):
+                missing -= matching_logs(self._visible("logs", commit, days), options).limit(missing).count()
+                if missing == 0:
+                    first = datetime.combine(days[-1], time.min, timezone.utc)
+                    since = max(first, since) if since else first
+                    break
+        logs = self._visible("logs", commit, self._days_between("logs", commit, since, options.last_instant))
         return where_all(logs, time_range(logs, "timestamp", since, None))
 
-    def _newest_days_first(self, name: str, options: SearchOptions) -> Iterator[list[date]]:
+    def _newest_days_first(self, name: str, commit: Commit, options: SearchOptions) -> Iterator[list[date]]:
         """Days a search may touch, in spans of 1, 2, 4, ... going back."""
-        days, span = self._days_between(name, options.since, options.last_instant)[::-1], 1
+        days, span = self._days_between(name, commit, options.since, options.last_instant)[::-1], 1
         while days:
             yield days[:span]
             days, span = days[span:], span * 2
@@ -182,7 +265,7 @@ class LogStore:
         commit = self.last_commit()
         if not (use_rollup and options.counted_by_rollup):
             return aggregate_logs(self._between("logs", commit, options.since, options.until), options)
-        ends = {utc_date(options.since), utc_date(options.until - MICROSECOND)}
+        ends = {utc_date(options.since), utc_date(last_before(options.until))}
         rollup = self._between("log_rollup_1s", commit, options.since, options.until)
         return aggregate_logs(self._visible("logs", commit, ends), options, rollup)
 
@@ -196,15 +279,18 @@ class LogStore:
         received_at comes with the data: the time check then gives the same
         verdict on a replay.
         """
+        def taken(commit: Commit) -> bool:
+            return source is not None and version <= commit.sources.get(source, -1)
+
         last = self.last_commit()
-        if source is not None and version <= last.sources.get(source, -1):
+        if taken(last):
             return last
-        batch_id = last.batch_id + 1
-        staging = self.begin(batch_id)
 
         # Parsing is the costly step and three outputs need it, so its result is
         # written once. The row number is stored with it and stays what it is
-        # when a task runs again.
+        # when a task runs again: it counts from task << 33. Ids use the widest
+        # task as stride: unique, rising with the position in a request, gaps allowed.
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
         numbered = validate_requests(
             requests.selectExpr(
                 "string(request_id) AS request_id",
@@ -212,75 +298,55 @@ class LogStore:
                 "coalesce(received_at, raise_error('received_at must not be null')) AS received_at",
             )
         ).withColumn("row_number", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.schema(numbered.schema).parquet(staging)
-
-        # row_number counts from task << 33. Ids use the widest task as stride:
-        # unique, rising with the position in a request, gaps allowed, and one
-        # aggregate instead of a table of per-task offsets.
         task, row = F.shiftright("row_number", 33), F.col("row_number").bitwiseAND((1 << 33) - 1)
-        size = staged.agg(
+        seen = Observation()
+        observed = numbered.observe(
+            seen,
             F.coalesce(F.max(task) + 1, F.lit(0)).alias("tasks"),
             F.coalesce(F.max(row) + 1, F.lit(0)).alias("stride"),
             F.count_if(F.col("timestamp").isNotNull()).alias("accepted"),
             F.count_if(F.col("reason").isNotNull()).alias("rejected"),
-        ).first()
+        )
+        observed.write.parquet(staging)
+        size = seen.get
+        staged = self.spark.read.schema(numbered.schema).parquet(staging)
+        batch_id, first_id = self.reserve(size["tasks"] * size["stride"])
         accepted = staged.where(F.col("timestamp").isNotNull()).withColumn("day", F.to_date("timestamp"))
         outputs = {
-            "logs": accepted.withColumn("id", F.lit(last.next_id) + task * size["stride"] + row),
+            "logs": accepted.withColumn("id", F.lit(first_id) + task * size["stride"] + row),
             "log_rollup_1s": rollup_1s(accepted, "day"),
             "responses": summarise_requests(staged).withColumn("day", F.to_date("received_at")),
         }
         # Independent jobs: the small ones fill executors the large one leaves idle.
         with ThreadPoolExecutor(len(outputs)) as pool:
             write = inheritable_thread_target(self.spark)(self.write)
-            written = paths.size(self.spark, staging)
-            for done in [pool.submit(write, name, rows, batch_id, written) for name, rows in outputs.items()]:
+            for done in [pool.submit(write, name, rows, batch_id) for name, rows in outputs.items()]:
                 done.result()
 
-        commit = replace(
-            last,
-            batch_id=batch_id,
-            next_id=last.next_id + size["tasks"] * size["stride"],
-            sources=last.sources if source is None else {**last.sources, source: version},
-            accepted=last.accepted + size["accepted"],
-            rejected=last.rejected + size["rejected"],
-        )
-        self.commit(commit)
+        def add(state: Commit) -> Commit | None:
+            if taken(state):
+                return None
+            return replace(
+                state.with_batch(batch_id),
+                sources=state.sources if source is None else {**state.sources, source: version},
+                accepted=state.accepted + size["accepted"],
+                rejected=state.rejected + size["rejected"],
+            )
+
+        commit = self.commit(add)
         paths.remove(self.spark, staging)
-        return commit
+        return commit or self.last_commit()
 
-    def write(self, name: str, rows: DataFrame, batch_id: int, source_bytes: int) -> None:
-        """Files hold consecutive ranges of the sort key, so their statistics prune
-        time ranges, and a day or second that holds most rows still splits."""
+    def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        """Rows are dealt out by day and hour and sorted within, so that file statistics
+        prune time ranges. Adaptive execution merges small hours and splits an hour,
+        or a single second, that holds most rows."""
+        keys = SORT_KEYS[name]
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
-            *StructType.fromDDL(TABLE_SCHEMAS[name]).names
+            *StructType.fromDDL(TABLE_SCHEMAS[name]).names, F.date_trunc("hour", keys[0]).alias("_hour")
         )
-        if name in SORT_KEYS:
-            keys = SORT_KEYS[name]
-            rows = rows.repartitionByRange(*self._ranges(source_bytes), "day", *keys)
-            rows = rows.sortWithinPartitions(*PARTITION_COLUMNS, *keys)
-        rows.write.mode("append").partitionBy(*PARTITION_COLUMNS).parquet(f"{self.root}/{name}")
-
-    def _ranges(self, source_bytes: int) -> list[int]:
-        """How many ranges to write: one for a small batch, which then makes one file
-        a day, and as many as its bytes need for one beyond the session's shuffle
-        partitions. In between adaptive execution merges small partitions."""
-        if source_bytes <= SMALL_BATCH_BYTES:
-            return [1]
-        needed = -(-source_bytes // RANGE_BYTES)
-        return [needed] if needed > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
-
-    def begin(self, batch_id: int) -> str:
-        """Folder that marks a batch as under way, until its commit removes it. One
-        already there is an unfinished attempt, whose partitions go first."""
-        folder = f"{self.root}/staging"
-        staging = f"{folder}/batch_id={batch_id}"
-        if paths.exists(self.spark, staging):
-            for name in TABLE_SCHEMAS:
-                for day in self.days(name):
-                    paths.remove(self.spark, f"{self.root}/{name}/day={day}/batch_id={batch_id}")
-        for value in paths.partition_values(self.spark, folder, "batch_id"):
-            paths.remove(self.spark, f"{folder}/batch_id={value}")
-        paths.make(self.spark, staging)
-        return staging
+        rows = rows.hint("rebalance", "day", "_hour").sortWithinPartitions(*PARTITION_COLUMNS, *keys)
+        # This mode replaces the partitions written and no others, here none, as the batch number is
+        # new. Unlike plain appends it keeps a job's files apart from those of other writers.
+        output = rows.drop("_hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        output.partitionBy(*PARTITION_COLUMNS).parquet(f"{self.root}/{name}")

@@ -90,15 +90,23 @@ def test_message_and_attribute_filters_read_raw_rows(spark):
     assert result(aggregate_logs(frame, AggregateOptions(**base), empty)) == []
 
 
-def test_counts_are_ints_and_combine_before_the_shuffle(spark):
+def test_counts_are_longs_and_combine_before_the_shuffle(spark):
     frame = logs(spark, [(1, datetime(2024, 1, 1), "info", "a", "m", "{}")])
     options = AggregateOptions(utc(2024, 1, 1), utc(2024, 1, 2), "1h", group_by="service")
     found = aggregate_raw(frame, options)
-    assert dict(found.dtypes) == {"start": "timestamp_ntz", "group": "string", "count": "int"}
+    assert dict(found.dtypes) == {"start": "timestamp_ntz", "group": "string", "count": "bigint"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2
 
 
+def test_counts_beyond_an_int(spark):
+    hour = datetime(2024, 1, 1, 5)
+    rollup = spark.createDataFrame([(hour, "a", "info", 2_000_000_000), (hour, "b", "info", 2_000_000_000)], "bucket_start TIMESTAMP_NTZ, service STRING, level STRING, count BIGINT")
+    options = AggregateOptions(utc(2024, 1, 1), utc(2024, 1, 2), "1d")
+    (row,) = aggregate_rollup(logs(spark, []), rollup, options).collect()
+    assert row["count"] == 4_000_000_000
+
+
 def test_options_refuse_unknown_values():
     with pytest.raises(InvalidQueryError):
         AggregateOptions(utc(2024, 1, 1), utc(2024, 1, 2), "constructor")

@@ -157,3 +157,10 @@ def test_rendering(spark):
     frame = logs(spark, [(5, datetime(2024, 1, 2, 3, 4, 5, 678901), "info", "s", "m", '{"a":1}')])
     (row,) = rendered_logs(frame).collect()
     assert tuple(row) == ("5", "2024-01-02T03:04:05.678Z", "info", "s", "m", '{"a":1}')
+
+
+def test_the_last_of_repeated_attribute_keys_counts(spark):
+    frame = logs(spark, [(1, datetime(2024, 1, 1), "info", "a", "m", '{"k":"a","k":"b"}'), (2, datetime(2024, 1, 1), "info", "a", "m", '{"k":1,"k":2}')])
+    for value, ids in (("a", []), ("b", [1]), ("1", []), ("2", [2])):
+        found = search_logs(frame, SearchOptions(attrs=(AttrFilter("k", value),))).collect()
+        assert [r["id"] for r in found] == ids

@@ -7,7 +7,7 @@ import re
 from helpers import RECEIVED, batch, requests
 
 from emberlog import summarise_requests, validate_requests
-from emberlog.functions.timestamps import parse_instant
+from emberlog.functions.timestamps import instant_sql, parse_instant
 
 MISSING = object()
 TIMES = [
@@ -113,3 +113,20 @@ def test_random_entries(spark):
         assert [tuple(x) for x in r["rejected"]] == rejected
         assert r["accepted"] == len(expected) - len(rejected)
         assert r["status"] == (200 if r["accepted"] else 400)
+
+
+def test_both_instant_parsers_agree(spark):
+    rng = random.Random(11)
+    days = ["0000-01-01", "0000-12-31", "0001-01-01", "9999-12-31", "1900-02-29", "2024-02-29", "0000-06", "9999-12", "10000-01-01", "1582-10-10"]
+    times = ["", "T00:00", "T00:00:00", "T24:00", "T24:00:00.0", "T23:59:59.999999", "T23:59:59.9999999", "T23:59", "T12:00:60"]
+    zones = ["", "Z", "+05:00", "-05:00", "+18:00", "-18:00", "+18:01", "+00:60"]
+    texts = sorted({rng.choice(days) + rng.choice(times) + rng.choice(zones) for _ in range(600)})
+    frame = spark.createDataFrame([(t,) for t in texts], "t STRING").selectExpr("t", f"CAST({instant_sql('t')} AS STRING) AS at")
+    for text, at in frame.collect():
+        expected = parse_instant(text)
+        found = at and (at if "." in at else at + ".0")
+        if expected is None:
+            assert at is None, text
+        else:
+            assert found and found.split(".")[0] == expected.strftime("%Y-%m-%d %H:%M:%S").rjust(19, "0"), (text, at, expected)
+            assert int(found.split(".")[1].ljust(6, "0")) == expected.microsecond
