@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 #: Text pieces whose ids a worker keeps (twice as many for a while), and the longest piece it keeps.
 PIECES_KEPT, PIECE_CHARS = 300_000, 40
-#: Characters of the texts encoded together.
-GROUP_CHARS = 12_000_000
+#: Bytes of the texts encoded together; a longer one is a group of its own.
+GROUP_BYTES = 14 << 20
 _LED = re.compile(r" (?<=\S )(?=\S)")
 _HEAD = "\x02"
 #: Pieces of these characters alone are split here; the tokenizer's own patterns see any other.
@@ -105,22 +105,23 @@ class Encoder:
         """Ids of distinct pieces, known or new."""
         found = list(map(self.known.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        older = [k for k in missing if pieces[k] in self.older]
-        for k in older:
-            found[k] = self.known[pieces[k]] = self.older[pieces[k]]
-        new = [k for k in missing if found[k] is None]
-        for k, ids in zip(new, self._ids([pieces[k] for k in new])):
-            found[k] = ids
-            if len(pieces[k]) <= PIECE_CHARS:
-                self.known[pieces[k]] = ids
-        if len(self.known) > PIECES_KEPT:
-            self.known, self.older = {}, self.known
+        if missing:
+            names = [pieces[k] for k in missing]
+            ids = list(map(self.older.get, names))
+            new = iter(self._ids([name for name, known in zip(names, ids) if known is None]))
+            ids = [next(new) if known is None else known for known in ids]
+            for k, one in zip(missing, ids):
+                found[k] = one
+            self.known.update((name, one) for name, one in zip(names, ids) if len(name) <= PIECE_CHARS)
+            if len(self.known) > PIECES_KEPT:
+                self.known, self.older = {}, self.known
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Of a large_string array without nulls."""
         if self.cut == "whole":
-            return self._whole(texts)
-        joined = pa.array(texts, pa.large_string())
+            return self._whole(texts.to_pylist())
+        joined = texts
         if self.cut == "led":
             head = pa.scalar(_HEAD, pa.large_string())
             joined = pc.binary_join_element_wise(head, pc.replace_substring(joined, "\n", f" \n {_HEAD}"), pa.scalar("", pa.large_string()))
@@ -151,7 +152,7 @@ class Encoder:
         if odd.any():
             apart = np.add.reduceat(np.r_[odd[at], False].astype(np.int64), ends[:-1]) * (np.diff(ends) > 0)
             for k in np.flatnonzero(apart):
-                found[k] = self._spaced(texts[k])
+                found[k] = self._spaced(texts[int(k)].as_py())
         return found
 
     def _spaced(self, text: str) -> bytes:
@@ -167,15 +168,13 @@ def encoded(batches, path: str, cut: str, text_column: str = "_text") -> Iterato
     """Each row of Arrow batches as a dict without its text, and the text's ids; null text is empty."""
     encoder = per_worker("encoder", (path, cut), lambda: Encoder(path, cut))
     for batch in batches:
-        rows, texts, size = [], [], 0
         names = [n for n in batch.schema.names if n != text_column]
-        columns = [batch.column(n).to_pylist() for n in names]
-        for k, text in enumerate(batch.column(text_column)):
-            rows.append({n: c[k] for n, c in zip(names, columns)})
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size >= GROUP_CHARS:
-                yield from zip(rows, encoder.encode(texts))
-                rows, texts, size = [], [], 0
-        if rows:
-            yield from zip(rows, encoder.encode(texts))
+        rows = batch.select(names).to_pylist()
+        texts = batch.column(text_column).cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        first = 0
+        while first < len(rows):
+            start = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, start + GROUP_BYTES)))
+            yield from zip(rows[first:last], encoder.encode(texts.slice(first, last - first)))
+            first = last
