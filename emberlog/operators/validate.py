@@ -72,7 +72,7 @@ def _first_bad_attribute() -> str:
 
 
 def _reason() -> str:
-    """The first failing rule, NULL for an accepted entry. The last two rules reject
+    """The first failing rule, NULL for an accepted entry. Its texts are fixed values. The last two rules reject
     what the fixed column widths cannot hold, so such a row never fails its
     neighbours."""
     levels = ", ".join(f"'{level}'" for level in LEVELS)

@@ -12,6 +12,8 @@ from emberlog.functions.timestamps import last_before, parse_instant
 from emberlog.plans.errors import InvalidQueryError
 from emberlog.schema import BUCKETS, DEFAULT_LIMIT, LEVELS, MAX_LIMIT
 
+# The texts of the errors in this module, which clients match on.
+
 ATTRIBUTE_PREFIX = "attr."
 GROUPINGS = ("service", "level")
 _ATTRIBUTE_KEY = re.compile(r"[a-zA-Z0-9_.-]+")
