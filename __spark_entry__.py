@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -270,6 +271,22 @@ def _streamed_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(merge_deltas(store.rollup()), "bucket_start")
 
 
+def _two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feeds into one store, the second batch of each while the other's is under way, one replayed."""
+    store = LogStore(spark, f"{scratch_dir(spark, 'two')}/store")
+    requests = request_bodies(spark, sf_dir)
+    number = F.col("request_id").cast("bigint") % 4
+
+    def feed(name: str, first: int) -> None:
+        for version in (0, 1, 1):
+            LogStore(spark, store.root).append(requests.where(number == first + 2 * version), name, version)
+
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(feed, "left", 0), pool.submit(feed, "right", 1)]:
+            done.result()
+    return _naive(store.logs().select(*LOG_FIELDS), "timestamp")
+
+
 def _edge_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamps of UTC year 0 and 10000 beside good ones, through ingestion."""
     events = read_events(spark, sf_dir)
@@ -389,6 +406,7 @@ def queries() -> dict[str, Query]:
         "ingest_responses": _ingested_responses,
         "ingest_rollup": _ingested_rollup,
         "ingest_numbers": _numbers,
+        "ingest_two_sources": _two_sources,
         "ingest_edge_years": _edge_years,
         "stream_rollup": _streamed_rollup,
         "retention_kept": _retained("logs"),
@@ -579,6 +597,7 @@ def oracle_sql() -> dict[str, str]:
             "WHERE ts < TIMESTAMP '2024-01-24'"
         ),
         "partition_names": "SELECT strftime(ts, 'logs_y%Ym%md%d') AS partition, count(*) AS rows FROM events GROUP BY ALL",
+        "ingest_two_sources": _sql_stored(),
         "ingest_edge_years": """SELECT CASE WHEN event_id % 5 = 3 THEN '0001-01-01' WHEN event_id % 5 = 4 THEN '2024-01-01'
             ELSE 'Timestamp must be a valid ISO 8601 string' END AS day, count(*) AS rows FROM events GROUP BY ALL""",
         "compact_rollup": _sql_rollup(_LOGS),
