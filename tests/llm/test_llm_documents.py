@@ -150,6 +150,16 @@ def test_registers_estimate_similarity():
         assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 3 / math.sqrt(BANDS * ROWS) + 0.03
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of 7 to 10 words and the same with one word more: each pair is linked, at J 0.8 to 0.875."""
+    rows = []
+    for k in range(1500):
+        text = " ".join(f"w{k}x{j}" for j in range(7 + k % 4))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} more")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert [r[0] for r in found.where("component_id <> doc_id - doc_id % 2").select("doc_id").collect()] == []
+
+
 # -- lines ------------------------------------------------------------------------
 
 
