@@ -238,6 +238,14 @@ def test_pipeline_stages(spark):
     assert packed.where("n = m").count() == packed.count() == last.count()
 
 
+def test_pipeline_near_copies_by_five_words(spark):
+    """43 words and the same with one changed: J 0.82 by four words, 0.77 by five; two more words hold J 0.95 by either."""
+    words = [f"word{k}" for k in range(43)]
+    texts = [words, [*words[:20], "changed", *words[21:]], [*words, "two", "more"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    assert sorted(r[0] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 1]
+
+
 def test_run_gives_the_stages_rows(spark):
     sf = "/root/testdata/sf0.001"
     found = corpus_pipeline.run(spark, sf)
