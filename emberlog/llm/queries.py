@@ -105,7 +105,8 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The query's SQL defines its shingles by word starts.
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_starts=True)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -195,6 +195,15 @@ def test_lines(spark, documents, rows):
     assert dedup_lines(llm_cases.none(spark)).count() == 0
 
 
+def test_lines_without_spaces(spark):
+    """Lines that begin alike and have no spaces stay; one long line and the same with a changed end are copies."""
+    alike = ["https://www.a.org/x", "https://wiki.b.net/y", "2026-07-20T00:00:01Z", "2026-07-20T11:59:59.25Z", "日本語のテキストです。これは一つ目。", "日本語のテキストです。別の話になる。"]
+    long = "https://www.a.org/" + "".join(chr(97 + k * k % 26) + str(k) for k in range(60))
+    rows = [(k, line) for k, line in enumerate([*alike, long, f"{long}z", "𝒳𝒴 short", "𝒳𝒴 shor"])]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert [r[0] for r in found.where("n_dropped > 0").collect()] == [7]
+
+
 # -- tokens -------------------------------------------------------------------------
 
 
