@@ -195,6 +195,19 @@ def test_lines(spark, documents, rows):
     assert dedup_lines(llm_cases.none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("word_starts", [True, False])
+def test_lines_of_large_buckets(spark, word_starts):
+    """400 lines of one template, below 0.8 to each other, and a copy of each with one small change."""
+    rng = np.random.default_rng(2)
+    frame = "all rights reserved by the owner of these pages see the terms of use and ask"
+    rows = []
+    for k in range(400):
+        own = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(8))
+        rows += [(2 * k, f"{frame} {own}"), (2 * k + 1, f"{frame} {own} q")]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), word_starts=word_starts)
+    assert [r[0] for r in found.where("n_dropped <> doc_id % 2").collect()] == []
+
+
 def test_lines_without_spaces(spark):
     """Lines that begin alike and have no spaces stay; one long line and the same with a changed end are copies."""
     alike = ["https://www.a.org/x", "https://wiki.b.net/y", "2026-07-20T00:00:01Z", "2026-07-20T11:59:59.25Z", "日本語のテキストです。これは一つ目。", "日本語のテキストです。別の話になる。"]
