@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.alignment import align_tokens
 from emberlog.llm.ann import nearest_neighbours
 from emberlog.llm.common import fold
 from emberlog.llm.decontaminate import find_benchmark, hit_words
@@ -19,7 +20,9 @@ from emberlog.llm.lm import score_texts
 from emberlog.llm.neardup import near_duplicates
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import score_quality, train_quality
+from emberlog.llm.sitetree import extract_articles
 from emberlog.llm.tokenfiles import read_token_files, write_token_files
+from emberlog.llm.trie import prefix_trie, rebuilt
 from emberlog.llm.urls import UrlRule, judge_urls
 from emberlog.llm.warc import read_warc, write_warc
 from emberlog.session import scratch_dir
@@ -114,6 +117,20 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return prefix_trie(rebuilt(conversations), conversations).drop("id", "parent")
+
+
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return align_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_neighbours": neighbours,
@@ -126,6 +143,9 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": url_filter,
         "op9_token_files": token_files,
         "op10_warc": archived,
+        "op11_conversation_trie": conversation_trie,
+        "op12_token_alignment": aligned_tokens,
+        "op13_page_articles": page_articles,
     }
 
 
@@ -234,6 +254,55 @@ FROM p LEFT JOIN heads USING (html)
 """
 
 
+# crc32 by its table of 256 values, which the first part computes.
+_CONVERSATION_TRIE = """
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY b) AS crc FROM (
+        SELECT b, list_reduce([b::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(3988292384::UBIGINT, a >> 1) ELSE a >> 1 END) AS c
+        FROM range(256) t(b))
+), turns AS (
+    SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), shares AS (
+    SELECT conv_id, s, xor(list_reduce(list_concat([4294967295::UBIGINT], [ord(x)::UBIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+        lambda a, x: xor(crc[(xor(a, x) & 255)::BIGINT + 1], a >> 8)), 4294967295::UBIGINT) % 9 AS h
+    FROM turns, crc_table
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.s[1:h], []), c.s[h + 1:]) AS s FROM shares c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 5
+), members AS (
+    SELECT conv_id, d, md5(s[1:d]::VARCHAR) AS id, CASE WHEN d > 0 THEN md5(s[1:d - 1]::VARCHAR) END AS up, d = len(s) AS ended,
+        CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS size
+    FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT d, id, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+    FROM members GROUP BY d, id
+), childs AS (SELECT d - 1 AS d, up AS id, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN childs USING (d, id)),
+above AS (
+    SELECT d, id, up, n_children, (n_convs - 1) * size AS saved, d AS at_d, id AS at_id FROM full_nodes
+    UNION ALL SELECT a.d, a.id, n.up, a.n_children, a.saved, n.d, n.id FROM above a JOIN nodes n ON n.d = a.at_d - 1 AND n.id = a.up
+), sums AS (
+    SELECT at_d AS d, at_id AS id, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums USING (d, id) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.id = n.up
+"""
+
+# The article element of each page as the tables write it: blocks are h1 and p.
+_PAGE_ARTICLES = r"""
+WITH articles AS (
+    SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>')) AS block,
+        generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>'), 1) AS place
+    FROM pages
+), blocks AS (
+    SELECT page_id, url, place, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(block, '<br>', ' '), '<[^>]*>', '', 'g'),
+        '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM articles
+), texts AS (SELECT page_id, string_agg(line, chr(10) ORDER BY place) AS text FROM blocks WHERE line <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages LEFT JOIN texts USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": _BENCHMARK_HITS,
@@ -241,4 +310,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": _LINE_DEDUP,
         "op8_url_filter": _URL_FILTER,
         "op10_warc": _ARCHIVED,
+        "op11_conversation_trie": _CONVERSATION_TRIE,
+        "op13_page_articles": _PAGE_ARTICLES,
     }
