@@ -59,14 +59,21 @@ class Encoder:
       space are cut at such spaces only.
     - "dropped": white space is dropped. Cut at spaces and line ends.
     - "whole": any other tokenizer; texts are not cut.
+
+    Strings of the file's special tokens within a text become those tokens, as the library has it,
+    or are plain text with `special=False`.
     """
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, special: bool = True):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added and special else None
+        if any(set(content) & set(" \n") for content in added):
+            cut = "whole"
         self.cut = cut
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -97,7 +104,10 @@ class Encoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Of new distinct pieces."""
-        plain = [self.split is not None and _PLAIN.fullmatch(piece) is not None for piece in pieces]
+        plain = [
+            self.split is not None and _PLAIN.fullmatch(piece) is not None and not (self.added and self.added.search(piece))
+            for piece in pieces
+        ]
         rest = iter(self._whole([piece for piece, p in zip(pieces, plain) if not p]))
         return [self._plain(piece) if p else next(rest) for piece, p in zip(pieces, plain)]
 
@@ -149,14 +159,16 @@ class Encoder:
         tokens = values[where]
         bounds = np.r_[0, stops][ends]
         found = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        if odd.any():
-            apart = np.add.reduceat(np.r_[odd[at], False].astype(np.int64), ends[:-1]) * (np.diff(ends) > 0)
+        if self.cut == "led":
+            # Texts that hold the head mark themselves, and those with odd white space.
+            apart = pc.match_substring(texts, _HEAD).to_numpy(zero_copy_only=False).astype(np.int64)
+            apart += np.add.reduceat(np.r_[odd[at], False].astype(np.int64), ends[:-1]) * (np.diff(ends) > 0)
             for k in np.flatnonzero(apart):
                 found[k] = self._spaced(texts[int(k)].as_py())
         return found
 
     def _spaced(self, text: str) -> bytes:
-        """A text with several kinds of white space together, or the head mark itself."""
+        """A text with several kinds of white space together, or with the head mark in it."""
         first, *rest = _LED.split(text)
         pieces = [first, *[" " + piece for piece in rest]]
         distinct = list(dict.fromkeys(pieces))
