@@ -100,32 +100,31 @@ class ContextTree:
             split = np.bincount(up, log_weighted[d + 1], size) + log_kt(rest0, rest1)
             log_weighted[d] = np.logaddexp(kt, split) - np.log(2)
             stop[d] = np.exp(kt - np.log(2) - log_weighted[d])
-            other[d] = (rest1 + 0.5) / (rest0 + rest1 + 1)
-        # From the root down: what shorter contexts give to a one, and the weight left for longer ones.
+            other[d] = (rest0 + 0.5) / (rest0 + rest1 + 1), (rest1 + 0.5) / (rest0 + rest1 + 1)
+        # From the root down, for both outcomes apart, so that neither is a difference of large numbers:
+        # what shorter contexts give to a one and to a zero, and the weight left for longer ones.
         self.keys = [keys for keys, _, _ in nodes]
-        self.done: list[np.ndarray] = []  # probability of a one in a context that ends here
-        self.given: list[np.ndarray] = []  # what is passed on to longer contexts: sum and weight left
-        self.left: list[np.ndarray] = []
+        self.done: list[np.ndarray] = []  # chance of a one in a context that ends here, or minus that of a zero if that is smaller
+        self.given: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # passed on to longer contexts
         for d, (keys, zeros, ones) in enumerate(nodes):
             if d:
                 up = _find(nodes[d - 1][0], keys & _mask(d))
-                given, left = self.given[-1][up], self.left[-1][up]
+                one, zero, left = (x[up] for x in last)
             else:
-                given, left = np.zeros(len(keys)), np.ones(len(keys))
-            kt = (ones + 0.5) / (zeros + ones + 1)
+                one, zero, left = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
+            total = zeros + ones + 1
             if d == self.depth:
-                self.done.append(given + left * kt)
-                self.given.append(given)
-                self.left.append(left)
+                last = one, zero, left
+                ends = one + left * (ones + 0.5) / total, zero + left * (zeros + 0.5) / total
             else:
-                given = given + left * stop[d] * kt
+                one = one + left * stop[d] * (ones + 0.5) / total
+                zero = zero + left * stop[d] * (zeros + 0.5) / total
                 left = left * (1 - stop[d])
-                self.done.append(given + left * other[d])
-                self.given.append(given)
-                self.left.append(left)
-
-        # Half the memory for what is only looked up from here on.
-        self.done, self.given, self.left = ([x.astype(np.float32) for x in part] for part in (self.done, self.given, self.left))
+                last = one, zero, left
+                ends = one + left * other[d][1], zero + left * other[d][0]
+            # Half the memory for what is only looked up from here on.
+            self.done.append(np.where(ends[0] <= ends[1], ends[0], -ends[1]).astype(np.float32))
+            self.given.append(tuple(x.astype(np.float32) for x in last))
 
     @staticmethod
     def _decisions(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +154,7 @@ class ContextTree:
         byte = codes & np.uint64(255)
         for bit in range(8):
             prefix = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
-            chance = np.full(len(codes), 0.5, np.float32)  # a decision no context has seen
+            chance = np.full((2, len(codes)), 0.5)  # of a zero and a one; a decision no context has seen
             todo = np.arange(len(codes))
             for d in range(self.depth, -1, -1):
                 rows = todo[reach[todo] >= d]
@@ -165,11 +164,14 @@ class ContextTree:
                 at = _find(self.keys[d], key)
                 hit, at = rows[at >= 0], at[at >= 0]
                 ends = reach[hit] == d
+                rare = self.done[d][at].astype(float)
+                one, zero, left = (x[at].astype(float) for x in self.given[d])
                 # A longer kept context without this decision gives it one half.
-                chance[hit] = np.where(ends, self.done[d][at], self.given[d][at] + self.left[d][at] * 0.5)
+                chance[0, hit] = np.where(ends, np.where(rare < 0, -rare, 1 - rare), zero + left * 0.5)
+                chance[1, hit] = np.where(ends, np.where(rare < 0, 1 + rare, rare), one + left * 0.5)
                 found = np.zeros(len(codes), bool)
                 found[hit] = True
                 todo = todo[~found[todo]]
             one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(one, chance, 1 - chance).astype(float))
+            total += np.log10(np.where(one, chance[1], chance[0]))
         return total
