@@ -166,7 +166,8 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc
     """Fits on labelled rows whose crc32(id as text) modulo `held_out_folds` is not 0.
 
     At most SAMPLE_PER_CLASS rows per label reach the driver, as statistics; the share of each
-    label is counted over all labelled rows of those folds. Rows without id or label take no part.
+    label is counted over all labelled rows of those folds. Rows without id or label take no part;
+    of documents with one id, one counts.
     """
     known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_y"))
     known = known.where((fold("_id", held_out_folds) != 0) & F.col("_y").isin(0, 1)).distinct()
@@ -174,7 +175,9 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc
     picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
     texts = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     chosen, names = with_statistics(texts.join(F.broadcast(picked[0].unionAll(picked[1])), "_id"), "_text")
-    rows = sorted(tuple(r) for r in chosen.select("_id", "_y", *names).collect())[: 4 * SAMPLE_PER_CLASS]
+    # Documents that repeat an id are one row, so no more reach the driver than labels were picked.
+    chosen = chosen.groupBy("_id", "_y").agg(F.min(F.struct(*names)).alias("_values")).select("_id", "_y", "_values.*")
+    rows = sorted(tuple(r) for r in chosen.select("_id", "_y", *names).collect())
     values = np.array([r[2:] for r in rows], float).reshape(-1, len(names))
     share = counts.get(1, 0) / max(sum(counts.values()), 1) if counts else 0.5
     return fit_rules(values, np.array([r[1] for r in rows], float), names, share)
