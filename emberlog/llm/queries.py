@@ -108,8 +108,7 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's SQL defines its shingles by word starts.
-    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_starts=True)
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -199,13 +198,21 @@ WITH RECURSIVE lines AS (
 ), full_lines AS (SELECT * FROM lines WHERE trim(line, ' ') <> ''),
 classes AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM full_lines)),
 sets AS (
-    SELECT id, list_distinct([substr(line, i, 9) FOR i IN range(1, length(line) + 1)
-        IF substr(line, i, 1) <> ' ' AND (i = 1 OR substr(line, i - 1, 1) = ' ')]) AS s FROM classes
+    SELECT id, list_distinct([substr(line, i, 9) FOR i IN range(1, greatest(length(line) - 8, 1) + 1)]) AS s FROM classes
 ), grams AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
-links AS (
-    SELECT a.id AS x, b.id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id
-    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
-), reach AS (SELECT id, id AS r FROM classes UNION SELECT reach.id, y FROM reach JOIN links ON r = x),
+-- With shingles in one order, rare ones first, two similar sets meet in the first fifth of each.
+often AS (SELECT g, row_number() OVER (ORDER BY count(*), g) AS place FROM grams GROUP BY g HAVING count(*) > 1),
+firsts AS (
+    SELECT id, n, g FROM (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY coalesce(place, 0), g) AS k FROM grams LEFT JOIN often USING (g))
+    WHERE k <= n - (80 * n + 99) // 100 + 1
+), candidates AS (
+    SELECT DISTINCT a.id AS x, b.id AS y FROM firsts a JOIN firsts b ON a.g = b.g AND a.id < b.id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS (
+    SELECT x, y FROM (
+        SELECT x, y, len(a.s) AS n, len(b.s) AS m, len(list_intersect(a.s, b.s)) AS common FROM candidates JOIN sets a ON a.id = x JOIN sets b ON b.id = y
+    ) WHERE 100 * common >= 80 * (n + m - common)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT id, id AS r FROM classes UNION SELECT reach.id, y FROM reach JOIN both_ways ON r = x),
 roots AS (SELECT id, min(r) AS component FROM reach GROUP BY id),
 ranked AS (
     SELECT doc_id, pos, row_number() OVER (PARTITION BY component ORDER BY doc_id, pos) AS k

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,16 +12,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from emberlog.llm import lines
 from emberlog.llm.ctw import ContextTree, counted, gram_codes, log_kt, prepared
 from emberlog.llm.decontaminate import WuManber, find_benchmark, hit_words, words
 from emberlog.llm.lines import dedup_lines
 from emberlog.llm.lm import score_texts
 from emberlog.llm.neardup import BANDS, ROWS, estimated_jaccard, near_duplicates, registers
 from emberlog.llm.packing import cut, hilbert_keys, pack_documents
-from emberlog.llm.quality import score_quality, train_quality
+from emberlog.llm.quality import score_quality, train_quality, with_statistics
 from emberlog.llm.tokenfiles import TokenFileReader, read_token_files, write_token_files
 from emberlog.llm.tokens import Encoder
 from emberlog.session import scratch_dir
@@ -165,7 +168,7 @@ def test_near_duplicates_of_short_texts(spark):
 
 def plain_lines(rows):
     def shingles(line):
-        return {line[i : i + 9] for i in range(len(line)) if line[i] != " " and (i == 0 or line[i - 1] == " ")}
+        return {line[i : i + 9] for i in range(max(len(line) - 8, 1))}
 
     order = sorted({(d is None, d or 0, t) for d, t in rows if t is not None})
     places = [(last, d, t, p, line) for last, d, t in order for p, line in enumerate(t.split("\n")) if line.strip(" ")]
@@ -195,8 +198,7 @@ def test_lines(spark, documents, rows):
     assert dedup_lines(llm_cases.none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("word_starts", [True, False])
-def test_lines_of_large_buckets(spark, word_starts):
+def test_lines_of_large_buckets(spark):
     """400 lines of one template, below 0.8 to each other, and a copy of each with one small change."""
     rng = np.random.default_rng(2)
     frame = "all rights reserved by the owner of these pages see the terms of use and ask"
@@ -204,7 +206,7 @@ def test_lines_of_large_buckets(spark, word_starts):
     for k in range(400):
         own = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(8))
         rows += [(2 * k, f"{frame} {own}"), (2 * k + 1, f"{frame} {own} q")]
-    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), word_starts=word_starts)
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
     assert [r[0] for r in found.where("n_dropped <> doc_id % 2").collect()] == []
 
 
@@ -217,6 +219,58 @@ def test_lines_without_spaces(spark):
     assert [r[0] for r in found.where("n_dropped > 0").collect()] == [7]
 
 
+def test_near_copies_of_many_lines(spark):
+    """Lines of all lengths, with and without spaces, each with copies changed at random places."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(500):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60))]
+        line = rng.choice([" ", " ", " ", "", "日"]).join(words)
+        for _ in range(rng.randrange(1, 4)):
+            rows.append((len(rows), line))
+            at = rng.randrange(len(line) + 1)
+            line = line[:at] + rng.choice(["", "x", " yy", "zzz "]) + line[at + rng.randrange(3) :]
+    rng.shuffle(rows)
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    got = sorted(tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_dropped").collect())
+    want = sorted(plain_lines(rows))
+    assert sum(r[3] for r in want) > 200 and got == want
+
+
+def test_a_bucket_of_several_groups(spark):
+    """Hundreds of near copies of one line, and of another that shares most of its bands."""
+    rng = random.Random(4)
+    base = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(1000)}" for _ in range(80))
+    half = base[: len(base) // 2] + " ".join(f"z{rng.randrange(1000)}" for _ in range(40))
+    rows = []
+    for k in range(600):
+        line = (base, half)[k % 2]
+        at = rng.randrange(len(line) - 5)
+        rows.append((k, line[:at] + f"#{k}" + line[at + 2 :]))
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert sorted(r[0] for r in found.where("n_dropped = 0").collect()) == [0, 1]
+
+
+def test_lines_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LONG_CHARS", 700)
+    rng = random.Random(6)
+    spaced = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900))
+    solid = "".join(rng.choice("abcdefghijkl") for _ in range(3000))
+    rows = [(0, spaced), (1, f"{spaced[:3000]}changed{spaced[3100:]}"), (2, spaced[:4000]), (3, solid), (4, solid + "end"), (5, solid[:1500]), (6, spaced)]
+    rows += [(7, solid[:703]), (8, solid[:700])]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert sorted(tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_dropped").collect()) == sorted(plain_lines(rows))
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(8)
+    solid = "".join(rng.choice("abcdefghijkl") for _ in range(3_000_000))
+    words = " ".join(solid[k : k + 7] for k in range(0, 2_000_000, 7))
+    rows = [(0, solid), (1, solid + "q"), (2, words), (3, words[:-5]), (4, "x" * 3_000_000)]
+    found = dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert sorted(r[0] for r in found.where("n_dropped = 1").collect()) == [1, 3]
+
+
 # -- tokens -------------------------------------------------------------------------
 
 
@@ -314,6 +368,48 @@ def test_quality(spark):
     assert right[0] > 0.97 and right[1] > 50
 
 
+def plain_statistics(text):
+    text = text or ""
+    words, lines_ = re.split(r"[ \t-\r]+", text.strip(" ")), text.split("\n")
+    chars, count = max(len(text), 1), max(len(words), 1)
+    found = {
+        "chars": math.log1p(len(text)), "words": math.log1p(len(words)), "lines": math.log1p(len(lines_)), "word_chars": len(text) / count,
+        "line_chars": math.log1p(len(text) / len(lines_)),
+        "distinct_words": len(set(words)) / count, "distinct_lines": len(set(lines_)) / len(lines_),
+        "repeated_words": sum(a == b for a, b in zip(words, words[1:])) / count,
+    }
+    classes = {"upper": r"\p{Lu}", "digits": r"\p{N}", "symbols": r"[^\p{L}\p{N} \t-\r]"}
+    found |= {name: len(regex.findall(pattern, text)) / chars for name, pattern in classes.items()}
+    runs = {"symbol_runs": r"[^\p{L}\p{N} \t-\r]{2,}", "lone_symbols": r"(?<=[ \t-\r])[^\p{L}\p{N} \t-\r]+(?=[ \t-\r])"}
+    return found | {name: len(regex.findall(pattern, text)) / count for name, pattern in runs.items()}
+
+
+def test_quality_columns_against_rules_held_in_numpy(spark, documents, rows):
+    """Statistics, rules and scores of the compiled columns equal those of plain code."""
+    tables = [spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels")]
+    model = train_quality(*tables)
+    assert model.rules
+    every = rows + [(r["doc_id"], r["text"]) for r in tables[0].collect()]
+    frame = spark.createDataFrame(list(enumerate(t for _, t in every)), "doc_id BIGINT, text STRING")
+    names = [f"_s_{n}" for n in plain_statistics("")]
+    values = np.array([list(plain_statistics(t).values()) for _, t in every])
+    got = {r["doc_id"]: r for r in with_statistics(frame, "text")[0].collect()}
+    assert np.allclose([[got[k][n] for n in names] for k in range(len(every))], values, rtol=1e-12)
+    total = model.intercept + sum(weight * rule.holds(values, names) for rule, weight in model.rules)
+    scored = {r["doc_id"]: r for r in score_quality(frame, model).collect()}
+    assert np.allclose([scored[k]["score"] for k in range(len(every))], 1 / (1 + np.exp(-total)), rtol=1e-9)
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in scored.values())
+
+
+def test_quality_sample_with_a_repeated_id(spark):
+    """Rows that share a sampled id count once."""
+    rows = [(1, f"copy {k}") for k in range(500)] + [(k, "Some clean prose of a few words.") for k in range(2, 60)] + [(k, "### $$$ %%%") for k in range(60, 120)]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(1, 120)], "doc_id BIGINT, quality INT")
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    once = frame.groupBy("doc_id").agg(F.min("text").alias("text"))
+    assert len(train_quality(frame, labels).rules) == len(train_quality(once, labels).rules) > 0
+
+
 def test_quality_edges(spark, documents):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (3, 1)], "doc_id BIGINT, quality INT")
     model = train_quality(documents, labels)
@@ -391,6 +487,72 @@ def test_context_tree_against_plain_weighting():
             assert got[byte] == pytest.approx(p, rel=1e-4)
 
 
+def test_decisions_that_always_went_one_way():
+    """At any counts, probabilities stay above zero and add up to one, in the tree's precision."""
+    codes, counts = counted(gram_codes([b"ququququququ\n"], 2))
+    for scale in (1, 10**6, 10**8, 10**12):
+        tree = ContextTree([counted(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts * scale) for d in range(3)])
+        every = np.array([0x7175 << 8 | b for b in range(256)], np.uint64)
+        logs = tree.log10(every)
+        assert np.isfinite(logs).all() and (10**logs).sum() == pytest.approx(1, abs=1e-5)
+        assert logs[0x61] < -math.log10(scale) and logs[0x61] > -8 * (math.log10(scale) + 2)
+
+
+def test_counts_of_contexts_left_out_are_in_the_tree():
+    """A context that is not kept passes its counts to the "other" child of the one it extends."""
+    codes, counts = counted(gram_codes([b"abracadabra\n", b"abacab\n", b"xyxzxy\n"], 2))
+    levels = [counted(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts) for d in range(3)]
+    keep = [np.ones(len(levels[0][0]), bool), *[(levels[d][0] >> np.uint64(8) & np.uint64(255)) == 0x61 for d in (1, 2)]]
+    tree = ContextTree([(c[k], n[k]) for (c, n), k in zip(levels, keep)])
+    decisions, kept = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for d, ((level, numbers), k) in enumerate(zip(levels, keep)):
+        for code, n, held in zip(level.tolist(), numbers.tolist(), k.tolist()):
+            for bit in range(8):
+                byte, key = code & 255, (d, code >> 8, 1 << bit | (code & 255) >> 8 - bit)
+                decisions[key][byte >> 7 - bit & 1] += n
+                if held:
+                    kept[key][byte >> 7 - bit & 1] += n
+
+    def kt(pair):
+        return math.exp(float(log_kt(np.array([float(pair[0])]), np.array([float(pair[1])]))[0]))
+
+    def parts(d, context, prefix):
+        below = [c for e, c, p in kept if e == d + 1 and p == prefix and c & (1 << 8 * d) - 1 == context]
+        rest = [decisions[d, context, prefix][x] - sum(kept[d + 1, c, prefix][x] for c in below) for x in (0, 1)]
+        return below, rest
+
+    def weighted(d, context, prefix):
+        own = kt(kept[d, context, prefix])
+        if d == 2:
+            return own
+        below, rest = parts(d, context, prefix)
+        return 0.5 * own + 0.5 * kt(rest) * math.prod(weighted(d + 1, c, prefix) for c in below)
+
+    def chance(d, context, prefix):
+        here = context & (1 << 8 * d) - 1
+        zeros, ones = kept[d, here, prefix]
+        if d == 2:
+            return (ones + 0.5) / (zeros + ones + 1)
+        longer = context & (1 << 8 * (d + 1)) - 1
+        stop = 0.5 * kt((zeros, ones)) / weighted(d, here, prefix)
+        own = (ones + 0.5) / (zeros + ones + 1)
+        if not any(e == d + 1 and c == longer for e, c, _ in list(kept)):
+            rest = parts(d, here, prefix)[1]
+            return stop * own + (1 - stop) * (rest[1] + 0.5) / (sum(rest) + 1)
+        return stop * own + (1 - stop) * (chance(d + 1, context, prefix) if (d + 1, longer, prefix) in kept else 0.5)
+
+    for context in (0x6161, 0x6261, 0x7861, 0x6178):
+        got = 10 ** tree.log10(np.array([context << 8 | b for b in range(256)], np.uint64))
+        assert got.sum() == pytest.approx(1, abs=1e-5)
+        for byte in (0x61, 0x62, 0x78, 0x7A):
+            p = 1.0
+            for bit in range(8):
+                prefix = 1 << bit | byte >> 8 - bit
+                one = chance(0, context, prefix) if (0, 0, prefix) in kept else 0.5
+                p *= one if byte >> 7 - bit & 1 else 1 - one
+            assert got[byte] == pytest.approx(p, rel=1e-4)
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark):
     found = score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     sums = found.select(F.sum("score"), F.sum("base_score")).first()
