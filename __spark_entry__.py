@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timezone
@@ -23,7 +23,7 @@ from emberlog import (
 from emberlog.operators.aggregate import aggregate_raw, rendered_buckets
 from emberlog.operators.maintenance import compact, drop_expired, partition_name_column, run_maintenance
 from emberlog.operators.rollup import merge_deltas, rollup_1s
-from emberlog.operators.search import Page, cursor_column, iterate_pages, rendered_logs
+from emberlog.operators.search import cursor_column, page_starts, paged_logs, rendered_logs
 from emberlog.plans.options import Cursor
 from emberlog.schema import LOG_COLUMNS
 from emberlog.sources.requests import read_requests, stream_requests
@@ -33,9 +33,7 @@ from emberlog.streaming.ingest import start_ingest
 try:
     import corpus_pipeline
     from emberlog.llm import queries as llm
-except ModuleNotFoundError as error:
-    if not (error.name or "").startswith(("emberlog.llm", "corpus_pipeline")):
-        raise
+except ImportError:  # the subpackage or one of the libraries it needs is not there
     corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,30 +104,36 @@ def _search(params: dict[str, str], all_rows: bool = True, source=logs_from_even
     return run
 
 
-def _paged(spark: SparkSession, pages: Iterator[Page], source: DataFrame) -> DataFrame:
-    """All pages, each written as it comes, with its number."""
-    path = scratch_dir(spark, "pages")
-    schema = source.select(*LOG_COLUMNS).schema.add("page", "integer")
-    for number, page in enumerate(pages):
-        rows = [(*row, number) for row in page.rows]
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+PAGED = parse_search_params({"level": "info", "limit": "1000"})
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole search page by page, each continuing at the cursor of the one before."""
-    logs = _ties(spark, sf_dir)
-    return _paged(spark, iterate_pages(logs, parse_search_params({"level": "info", "limit": "1000"})), logs)
+    """A whole search with the number of each row's page."""
+    return paged_logs(_ties(spark, sf_dir), PAGED).select(*LOG_COLUMNS, "page")
+
+
+def _page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cursors that open the pages of the same search."""
+    return page_starts(paged_logs(_ties(spark, sf_dir), PAGED), PAGED.limit)
 
 
 def _store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over stored logs, with a filter that counters do not answer."""
-    store = _store(spark, sf_dir)
-    pages = store.iterate_pages(parse_search_params({"service": "svc-3", "q": "view", "limit": "1000"}))
-    found = _paged(spark, pages, store.logs())
+    """Pages over stored logs, with a filter that counters do not answer."""
+    found = _store(spark, sf_dir).pages(parse_search_params({"service": "svc-3", "q": "view", "limit": "1000"}))
     return _naive(found.select(*LOG_FIELDS, "page"), "timestamp")
 
 
+def _day_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and counters per day as three batches and a compaction left them in the commit record,
+    beside those that the tables hold."""
+    store = _new_store(spark, sf_dir, batches=3)
+    compact(store, "log_rollup_1s", RETENTION_NOW.date())
+    recorded = [(day, *size) for day, size in store.last_commit().stats.items()]
+    recorded = spark.createDataFrame(recorded, "day STRING, rows BIGINT, counters BIGINT")
+    held = store.logs().groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("stored_rows"))
+    return recorded.join(held, "day", "full")
+
+
 def _cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = logs_from_events(spark, sf_dir)
     return logs.select("id", cursor_column(F.col("timestamp"), F.col("id")).alias("cursor"))
@@ -158,9 +162,9 @@ def _aggregate(params: dict[str, str]) -> Query:
     return run
 
 
-def _store_aggregate(params: dict[str, str]) -> Query:
+def _store_aggregate(params: dict[str, str], use_rollup: bool | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _naive(_store(spark, sf_dir).aggregate(parse_aggregate_params(params)), "start")
+        return _naive(_store(spark, sf_dir).aggregate(parse_aggregate_params(params), use_rollup), "start")
 
     return run
 
@@ -375,6 +379,8 @@ def queries() -> dict[str, Query]:
         "search_keyset_rest": _search(KEYSET, source=_ties),
         "search_tie_break": _search({"service": "svc-3"}, source=_ties),
         "search_pages": _pages,
+        "search_page_starts": _page_starts,
+        "store_day_sizes": _day_sizes,
         "store_search_pages": _store_pages,
         "search_cursors": _cursors,
         "search_rendered": _rendered,
@@ -388,11 +394,11 @@ def queries() -> dict[str, Query]:
         ),
         "agg_filtered": _aggregate({**RANGE, "bucket": "1h", "service": "svc-2", "level": "error"}),
         "agg_rendered": _agg_rendered,
-        "agg_rollup_unaligned": _store_aggregate({**RANGE, "bucket": "1h"}),
-        "agg_rollup_by_service": _store_aggregate({**RANGE, "bucket": "1d", "group_by": "service"}),
-        "agg_rollup_by_level": _store_aggregate({**RANGE, "bucket": "5m", "group_by": "level"}),
+        "agg_rollup_unaligned": _store_aggregate({**RANGE, "bucket": "1h"}, use_rollup=True),
+        "agg_rollup_by_service": _store_aggregate({**RANGE, "bucket": "1d", "group_by": "service"}, use_rollup=True),
+        "agg_rollup_by_level": _store_aggregate({**RANGE, "bucket": "5m", "group_by": "level"}, use_rollup=True),
         "agg_rollup_filtered": _store_aggregate(
-            {**RANGE, "bucket": "1m", "service": "svc-2", "level": "error"}
+            {**RANGE, "bucket": "1m", "service": "svc-2", "level": "error"}, use_rollup=True
         ),
         "store_agg_by_service": _store_aggregate({**RANGE, "bucket": "1h", "group_by": "service"}),
         "store_agg_by_level": _store_aggregate({**RANGE, "bucket": "1m", "group_by": "level"}),
@@ -539,6 +545,17 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {_ROW}, CAST((row_number() OVER ({_NEWEST}) - 1) // 1000 AS INTEGER) AS page "
             f"FROM {_TIES} WHERE level = 'info'"
         ),
+        "search_page_starts": (
+            "SELECT CAST(n // 1000 AS INTEGER) AS page, "
+            "to_base64(encode(strftime(before_ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z|' || before_id)) AS cursor FROM ("
+            f"SELECT row_number() OVER ({_NEWEST}) - 1 AS n, lag(\"timestamp\") OVER ({_NEWEST}) AS before_ts, "
+            f"lag(id) OVER ({_NEWEST}) AS before_id FROM {_TIES} WHERE level = 'info') WHERE n % 1000 = 0"
+        ),
+        "store_day_sizes": (
+            "SELECT strftime(\"timestamp\", '%Y-%m-%d') AS day, count(*) AS rows, "
+            "count(DISTINCT (date_trunc('second', \"timestamp\"), service, level)) AS counters, count(*) AS stored_rows "
+            f"FROM {_STORED} GROUP BY ALL"
+        ),
         "store_search_pages": (
             f"SELECT {_STORED_FIELDS}, CAST((row_number() OVER (ORDER BY \"timestamp\" DESC) - 1) // 1000 AS INTEGER) AS page "
             f"FROM {_STORED} WHERE service = 'svc-3' AND message ILIKE '%view%'"

@@ -45,7 +45,12 @@ def drop_expired(
                     paths.remove(store.spark, f"{store.root}/{table}/day={day}")
     expired = [day for day in store.days("logs", last) if day < cutoff]
     if any(day < cutoff for table in TABLE_SCHEMAS for day in store.days(table, last)):
-        store.commit(lambda state: replace(state, cutoff=max(state.cutoff or "", cutoff.isoformat())))
+        def cut(state: Commit) -> Commit:
+            first = max(state.cutoff or "", cutoff.isoformat())
+            kept = state.stats and {day: size for day, size in state.stats.items() if day >= first}
+            return replace(state, cutoff=first, stats=kept)
+
+        store.commit(cut)
     return [partition_name(day) for day in expired]
 
 
@@ -60,13 +65,12 @@ def compact(store: LogStore, table: str, before: date) -> list[date]:
     """
     spark, last = store.spark, store.last_commit()
     for day in last.compacted.get(table, {}):
-        folder = f"{store.root}/{table}/day={day}"
-        for value in map(int, paths.partition_values(spark, folder, "batch_id")):
+        for value in store.batches(table, date.fromisoformat(day)):
             if last.replaced(table, day, value):
-                paths.remove(spark, f"{folder}/batch_id={value}")
+                paths.remove(spark, f"{store.root}/{table}/day={day}/batch_id={value}")
+    # Folder names say which days hold several batches; no row is read for it.
     days = [day for day in store.days(table, last) if day < before]
-    held = store._visible(table, last, days).groupBy("day").agg(F.count_distinct("batch_id").alias("batches"))
-    crowded = sorted(row["day"] for row in held.where("batches > 1").collect())
+    crowded = [day for day in days if len(store.live_batches(table, day, last)) > 1]
     if not crowded:
         return []
     rows = store._visible(table, last, crowded)
@@ -74,6 +78,10 @@ def compact(store: LogStore, table: str, before: date) -> list[date]:
         rows = merge_deltas(rows, "day")
     batch_id, _ = store.reserve()
     store.write(table, rows, batch_id)
+    fewer: dict[str, list[int]] = {}
+    if table == "log_rollup_1s" and last.stats is not None:
+        merged = store.day_stats(batch_id)
+        fewer = {day: [0, size[1] - last.stats.get(day, [0, 0])[1]] for day, size in merged.items()}
 
     def swap(state: Commit) -> Commit | None:
         known, now = last.compacted.get(table, {}), state.compacted.get(table, {})
@@ -82,11 +90,21 @@ def compact(store: LogStore, table: str, before: date) -> list[date]:
         entry = {"upto": last.batch_id, "late": last.missing}
         live = {d: e for d, e in now.items() if state.cutoff is None or d >= state.cutoff}
         entries = {**live, **{day.isoformat(): entry for day in crowded}}
-        return replace(state.with_batch(batch_id), compacted={**state.compacted, table: entries})
+        return replace(state.with_batch(batch_id).with_stats(fewer), compacted={**state.compacted, table: entries})
 
     return crowded if store.commit(swap) else []
 
 
+def count_days(store: LogStore) -> bool:
+    """Give a store from before per-day statistics its own, by its counters. Left to the next run
+    if others commit meanwhile."""
+    last = store.last_commit()
+    if last.stats is not None:
+        return False
+    stats = store.counted(store._visible("log_rollup_1s", last))
+    return store.commit(lambda state: replace(state, stats=stats) if state.version == last.version else None) is not None
+
+
 def run_maintenance(
     store: LogStore, now: datetime, retention_days: int = DEFAULT_RETENTION_DAYS
 ) -> dict[str, object]:
@@ -95,6 +113,7 @@ def run_maintenance(
     for; rows and responses of a day are rewritten once it is over."""
     today = utc_date(now)
     steps = {
+        "counted": lambda: count_days(store),
         "dropped": lambda: drop_expired(store, now, retention_days),
         "compacted": lambda: compact(store, "log_rollup_1s", today + timedelta(days=1)),
         "rewritten": lambda: compact(store, "logs", today),

@@ -18,6 +18,7 @@ from emberlog.operators.filters import (
     time_range,
     where_all,
 )
+from emberlog.operators.numbering import numbered
 from emberlog.plans.options import SearchOptions, decode_cursor
 from emberlog.schema import LOG_COLUMNS
 
@@ -73,8 +74,7 @@ def as_page(rows: list[Row], limit: int) -> Page:
 
 
 def iterate_pages(logs: DataFrame, options: SearchOptions) -> Iterator[Page]:
-    """Follow the cursor until it is null. For a whole export write search_logs
-    with limit None instead: one sorted job in place of one job per page."""
+    """Follow the cursor until it is null, one job per page. `paged_logs` gives all pages in one."""
     while True:
         page = search_page(logs, options)
         yield page
@@ -83,6 +83,26 @@ def iterate_pages(logs: DataFrame, options: SearchOptions) -> Iterator[Page]:
         options = replace(options, cursor=decode_cursor(page.next_cursor))
 
 
+def paged_logs(logs: DataFrame, options: SearchOptions) -> DataFrame:
+    """Every page of a search at once: the matching rows with `page`, from 0, `limit` rows each in the
+    search's order, and `n`, the row's place in the whole result.
+
+    One range sort numbers the rows, whatever their count; none reach the driver. A cursor in the
+    options starts the pages behind it.
+    """
+    found = numbered(matching_logs(logs, options), F.desc("timestamp"), F.desc("id"))
+    return found.withColumn("page", F.floor(F.col("n") / options.limit).cast("int"))
+
+
+def page_starts(paged: DataFrame, limit: int) -> DataFrame:
+    """(page, cursor) of `paged_logs`: the cursor that opens each page, null for the first. With
+    them a reader goes to any page at once, without those before."""
+    last = F.col("n") % limit == limit - 1
+    behind = paged.where(last).select((F.col("page") + 1).alias("page"), cursor_column(F.col("timestamp"), F.col("id")).alias("cursor"))
+    pages = paged.where(F.col("n") % limit == 0).select("page")
+    return pages.join(behind, "page", "left")
+
+
 def newest_from_counters(
     rollup: DataFrame, options: SearchOptions, rows: int
 ) -> tuple[int, datetime | None]:

@@ -42,10 +42,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
 def read(spark: SparkSession, path: str) -> str | None:
     """Text of a small file; None if it is gone."""
     target, fs = _open(spark, path)
-    if not fs.exists(target):
-        return None
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0]["value"] if rows else None
+    try:
+        stream = fs.open(target)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+    except Py4JJavaError as failure:
+        if "FileNotFoundException" in str(failure.java_exception):
+            return None
+        raise
 
 
 def publish(spark: SparkSession, folder: str, name: str, text: str) -> bool:

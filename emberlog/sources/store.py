@@ -31,6 +31,7 @@ from emberlog.operators.search import (
     as_page,
     matching_logs,
     newest_from_counters,
+    paged_logs,
     probe_rows,
     search_logs,
 )
@@ -42,6 +43,8 @@ from emberlog.session import configure
 from emberlog.sources import paths
 
 KEPT_RECORDS = 100
+#: Rows that are scanned in about the time of one more job: below them, nothing is asked first.
+JOB_ROWS = 1_000_000
 SORT_KEYS = {
     "logs": ("timestamp", "id"),
     "log_rollup_1s": ("bucket_start", "service", "level"),
@@ -57,6 +60,8 @@ class Commit:
     writers have reserved or given up. `sources` holds the last version taken from
     each named input. `compacted` maps table to day to what a rewrite replaced:
     batches up to `upto`, but for those `late` then. Days before `cutoff` are gone.
+    `stats` maps each day to its visible log rows and counter rows; None in a record
+    written before they were kept, until maintenance counts them.
     """
 
     version: int = -1
@@ -67,6 +72,22 @@ class Commit:
     cutoff: str | None = None
     accepted: int = 0
     rejected: int = 0
+    stats: dict[str, list[int]] | None = None
+
+    def with_stats(self, added: dict[str, list[int]]) -> Commit:
+        """With these numbers added per day; unknown ones stay unknown."""
+        if self.stats is None:
+            return self
+        days = {**{d: [0, 0] for d in added}, **self.stats}
+        total = {d: [a + b for a, b in zip(n, added.get(d, (0, 0)))] for d, n in days.items()}
+        return replace(self, stats={d: n for d, n in sorted(total.items()) if any(n)})
+
+    def size(self, days: Iterable[date]) -> tuple[int, int] | None:
+        """Log rows and counter rows of these days, if known."""
+        if self.stats is None:
+            return None
+        held = [self.stats.get(day.isoformat(), (0, 0)) for day in days]
+        return sum(n[0] for n in held), sum(n[1] for n in held)
 
     def with_batch(self, batch_id: int) -> Commit:
         top = max(self.batch_id, batch_id)
@@ -104,7 +125,7 @@ class LogStore:
         return True
 
     def last_commit(self) -> Commit:
-        return Commit(**self._newest("commits"))
+        return Commit(**(self._newest("commits") or {"stats": {}}))
 
     def commit(self, change: Callable[[Commit], Commit | None]) -> Commit | None:
         """Apply a change to the newest state and make it visible; where another
@@ -203,7 +224,7 @@ class LogStore:
         and stop once the page is full: days do not overlap in time, so rows of an
         older span all follow those already found."""
         commit, probe = self.last_commit(), replace(options, limit=options.limit + 1)
-        if options.counted_by_rollup:
+        if options.counted_by_rollup or self._few_rows(commit, self._searched_days(commit, options)):
             return as_page(probe_rows(self._candidates(commit, probe), probe), options.limit)
         rows = []
         for days in self._newest_days_first("logs", commit, options):
@@ -222,6 +243,11 @@ class LogStore:
                 return
             options = replace(options, cursor=decode_cursor(page.next_cursor))
 
+    def pages(self, options: SearchOptions) -> DataFrame:
+        """paged_logs over the store: all pages of a search, numbered in one job."""
+        commit = self.last_commit()
+        return paged_logs(self._visible("logs", commit, self._searched_days(commit, options)), options)
+
     def create_views(self, prefix: str = "") -> list[str]:
         """Temporary views over the committed rows of each table, by its name."""
         for name in TABLE_SCHEMAS:
@@ -229,9 +255,22 @@ class LogStore:
         return [prefix + name for name in TABLE_SCHEMAS]
 
     def _candidates(self, commit: Commit, options: SearchOptions) -> DataFrame:
-        """Log rows that can be among the newest `limit` matches."""
+        """Log rows that can be among the newest `limit` matches.
+
+        The commit's statistics bound the days of a search without filters; where few rows are
+        left then, they are read as they are. Else counters, or the rows themselves, tell first
+        how far back to go.
+        """
         since = options.since
-        if options.limit is not None and options.counted_by_rollup:
+        days = self._searched_days(commit, options)
+        if options.limit is not None and options.counted_by_rollup and not (options.service or options.level):
+            days = self._newest_days_holding(commit, days, options)
+            if len(days) < len(self._searched_days(commit, options)):
+                since = datetime.combine(days[0], time.min, timezone.utc)
+                options = replace(options, since=since)
+        if options.limit is None or self._few_rows(commit, days):
+            pass
+        elif options.counted_by_rollup:
             missing = options.limit
             for days in self._newest_days_first("log_rollup_1s", commit, options):
                 counters = self._visible("log_rollup_1s", commit, days)
@@ -240,7 +279,7 @@ class LogStore:
                 if missing == 0:
                     since = max(second, since) if since else second
                     break
-        elif options.limit is not None:
+        else:
             # Nothing counts these; days newest first until enough rows are found.
             missing = options.limit
             for days in self._newest_days_first("logs", commit, options):
@@ -252,6 +291,30 @@ class LogStore:
         logs = self._visible("logs", commit, self._days_between("logs", commit, since, options.last_instant))
         return where_all(logs, time_range(logs, "timestamp", since, None))
 
+    def _searched_days(self, commit: Commit, options: SearchOptions) -> list[date]:
+        return self._days_between("logs", commit, options.since, options.last_instant)
+
+    @staticmethod
+    def _few_rows(commit: Commit, days: list[date]) -> bool:
+        held = commit.size(days)
+        return held is not None and held[0] <= JOB_ROWS
+
+    @staticmethod
+    def _newest_days_holding(commit: Commit, days: list[date], options: SearchOptions) -> list[date]:
+        """The newest of the days that surely hold `limit` rows of a search without filters. A day
+        that the search's bounds may cut counts for nothing."""
+        if commit.stats is None:
+            return days
+        first, last = options.since, options.last_instant
+        cut = {utc_date(first)} if first and first.astimezone(timezone.utc).time() != time.min else set()
+        cut |= {utc_date(last)} if last and last.astimezone(timezone.utc).time() != time.max else set()
+        found = 0
+        for k in range(len(days) - 1, -1, -1):
+            found += 0 if days[k] in cut else commit.size([days[k]])[0]
+            if found >= options.limit:
+                return days[k:]
+        return days
+
     def _newest_days_first(self, name: str, commit: Commit, options: SearchOptions) -> Iterator[list[date]]:
         """Days a search may touch, in spans of 1, 2, 4, ... going back."""
         days, span = self._days_between(name, commit, options.since, options.last_instant)[::-1], 1
@@ -259,16 +322,26 @@ class LogStore:
             yield days[:span]
             days, span = days[span:], span * 2
 
-    def aggregate(self, options: AggregateOptions, use_rollup: bool = True) -> DataFrame:
-        """Buckets from the counters where they can answer, with raw rows read only on
-        the days that hold the two partial seconds."""
+    def aggregate(self, options: AggregateOptions, use_rollup: bool | None = None) -> DataFrame:
+        """Buckets from the counters or from raw rows, whichever the commit's statistics say are
+        fewer to read; `use_rollup` decides otherwise. Counters need raw rows beside them, on the
+        days that hold the two partial seconds."""
         commit = self.last_commit()
+        days = self._days_between("logs", commit, options.since, last_before(options.until))
+        if use_rollup is None:
+            use_rollup = self._counters_pay(commit, days)
         if not (use_rollup and options.counted_by_rollup):
-            return aggregate_logs(self._between("logs", commit, options.since, options.until), options)
+            return aggregate_logs(self._visible("logs", commit, days), options)
         ends = {utc_date(options.since), utc_date(last_before(options.until))}
         rollup = self._between("log_rollup_1s", commit, options.since, options.until)
         return aggregate_logs(self._visible("logs", commit, ends), options, rollup)
 
+    @staticmethod
+    def _counters_pay(commit: Commit, days: list[date]) -> bool:
+        """Whether counters are so much fewer than rows that they make up for the scans beside them."""
+        held = commit.size(days)
+        return held is None or held[1] + JOB_ROWS < held[0]
+
     # -- writing ------------------------------------------------------------
 
     def append(self, requests: DataFrame, source: str | None = None, version: int | None = None) -> Commit:
@@ -317,17 +390,22 @@ class LogStore:
             "log_rollup_1s": rollup_1s(accepted, "day"),
             "responses": summarise_requests(staged).withColumn("day", F.to_date("received_at")),
         }
+        def put(name: str, rows: DataFrame) -> dict[str, list[int]]:
+            self.write(name, rows, batch_id)
+            return self.day_stats(batch_id) if name == "log_rollup_1s" and last.stats is not None else {}
+
         # Independent jobs: the small ones fill executors the large one leaves idle.
+        stats: dict[str, list[int]] = {}
         with ThreadPoolExecutor(len(outputs)) as pool:
-            write = inheritable_thread_target(self.spark)(self.write)
-            for done in [pool.submit(write, name, rows, batch_id) for name, rows in outputs.items()]:
-                done.result()
+            write = inheritable_thread_target(self.spark)(put)
+            for done in [pool.submit(write, name, rows) for name, rows in outputs.items()]:
+                stats |= done.result()
 
         def add(state: Commit) -> Commit | None:
             if taken(state):
                 return None
             return replace(
-                state.with_batch(batch_id),
+                state.with_batch(batch_id).with_stats(stats),
                 sources=state.sources if source is None else {**state.sources, source: version},
                 accepted=state.accepted + size["accepted"],
                 rejected=state.rejected + size["rejected"],
@@ -337,6 +415,30 @@ class LogStore:
         paths.remove(self.spark, staging)
         return commit or self.last_commit()
 
+    def day_stats(self, batch_id: int) -> dict[str, list[int]]:
+        """Log rows and counter rows of each day of one batch, by its counters."""
+        folder = f"{self.root}/log_rollup_1s"
+        if not any(batch_id in self.batches("log_rollup_1s", day) for day in self.folders("log_rollup_1s")):
+            return {}
+        reader = self.spark.read.schema(TABLE_SCHEMAS["log_rollup_1s"]).option("basePath", folder)
+        return self.counted(reader.parquet(f"{folder}/day=*/batch_id={batch_id}"))
+
+    @staticmethod
+    def counted(rollup: DataFrame) -> dict[str, list[int]]:
+        """Log rows and counter rows per day, one driver row a day."""
+        by_day = rollup.groupBy("day").agg(F.sum("count").alias("rows"), F.count("*").alias("counters"))
+        return {row["day"].isoformat(): [row["rows"], row["counters"]] for row in by_day.collect()}
+
+    def batches(self, table: str, day: date) -> list[int]:
+        """Batches that have a folder for the day, visible or not."""
+        return sorted(map(int, paths.partition_values(self.spark, f"{self.root}/{table}/day={day}", "batch_id")))
+
+    def live_batches(self, table: str, day: date, commit: Commit) -> list[int]:
+        """Of them, those whose rows readers of this commit see."""
+        name = day.isoformat()
+        known = (b for b in self.batches(table, day) if b <= commit.batch_id and b not in commit.missing)
+        return [b for b in known if not commit.replaced(table, name, b)]
+
     def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
         """Rows are dealt out by day and hour and sorted within, so that file statistics
         prune time ranges. Adaptive execution merges small hours and splits an hour,
