@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from emberlog import (
     validate_requests,
 )
 from emberlog.operators.aggregate import aggregate_raw, rendered_buckets
-from emberlog.operators.maintenance import compact, drop_expired, partition_name_column, run_maintenance
+from emberlog.operators.maintenance import build_coarse, compact, drop_expired, partition_name_column, run_maintenance
 from emberlog.operators.rollup import merge_deltas, rollup_1s
 from emberlog.operators.search import cursor_column, page_starts, paged_logs, rendered_logs
 from emberlog.plans.options import Cursor
@@ -40,6 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 LOG_FIELDS = ("timestamp", "level", "service", "message", "attributes")
 RANGE = {"since": "2024-01-03T04:05:06.7Z", "until": "2024-01-27T08:09:10.3Z"}
 RETENTION_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
+COARSE_BEFORE = date(2024, 1, 20)
 
 
 # -- inputs -----------------------------------------------------------------
@@ -88,6 +89,16 @@ def _store(spark: SparkSession, sf_dir: str, defects: bool = False) -> LogStore:
     return _STORES[key]
 
 
+def _coarse_store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """A store whose days before the 20th have minutes and hours, the others seconds only."""
+    key = (spark.sparkContext.applicationId, sf_dir, "coarse")
+    if key not in _STORES:
+        store = _new_store(spark, sf_dir, batches=2)
+        build_coarse(store, COARSE_BEFORE)
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def _naive(frame: DataFrame, *columns: str) -> DataFrame:
     """UTC timestamps without zone, as the SQL side has them."""
     return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
@@ -164,7 +175,18 @@ def _aggregate(params: dict[str, str]) -> Query:
 
 def _store_aggregate(params: dict[str, str], use_rollup: bool | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _naive(_store(spark, sf_dir).aggregate(parse_aggregate_params(params), use_rollup), "start")
+        store = _coarse_store(spark, sf_dir) if use_rollup else _store(spark, sf_dir)
+        return _naive(store.aggregate(parse_aggregate_params(params), use_rollup), "start")
+
+    return run
+
+
+def _coarse(table: str) -> Query:
+    """Stored minutes or hours."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        counters = _coarse_store(spark, sf_dir).table(table)
+        return _naive(counters.select("bucket_start", "service", "level", "count"), "bucket_start")
 
     return run
 
@@ -400,6 +422,9 @@ def queries() -> dict[str, Query]:
         "agg_rollup_filtered": _store_aggregate(
             {**RANGE, "bucket": "1m", "service": "svc-2", "level": "error"}, use_rollup=True
         ),
+        "agg_rollup_hours_by_level": _store_aggregate({**RANGE, "bucket": "1h", "group_by": "level", "service": "svc-4"}, use_rollup=True),
+        "rollup_minutes": _coarse("log_rollup_1m"),
+        "rollup_hours": _coarse("log_rollup_1h"),
         "store_agg_by_service": _store_aggregate({**RANGE, "bucket": "1h", "group_by": "service"}),
         "store_agg_by_level": _store_aggregate({**RANGE, "bucket": "1m", "group_by": "level"}),
         "store_agg_attr": _store_aggregate({**RANGE, "bucket": "1d", "attr.k": "42"}),
@@ -499,9 +524,9 @@ def _sql_aggregate(bucket: str, group: str | None = None, where: str = _IN_RANGE
     )
 
 
-def _sql_rollup(source: str, where: str = "TRUE") -> str:
+def _sql_rollup(source: str, where: str = "TRUE", width: str = "second") -> str:
     return (
-        "SELECT date_trunc('second', \"timestamp\") AS bucket_start, service, level, count(*) AS count "
+        f"SELECT date_trunc('{width}', \"timestamp\") AS bucket_start, service, level, count(*) AS count "
         f"FROM {source} WHERE {where} GROUP BY ALL"
     )
 
@@ -587,6 +612,9 @@ def oracle_sql() -> dict[str, str]:
         "agg_rollup_filtered": _sql_aggregate(
             "1m", None, _IN_RANGE + " AND service = 'svc-2' AND level = 'error'"
         ),
+        "agg_rollup_hours_by_level": _sql_aggregate("1h", "level", _IN_RANGE + " AND service = 'svc-4'"),
+        "rollup_minutes": _sql_rollup(_LOGS, "\"timestamp\" < TIMESTAMP '2024-01-20'", "minute"),
+        "rollup_hours": _sql_rollup(_LOGS, "\"timestamp\" < TIMESTAMP '2024-01-20'", "hour"),
         "store_agg_by_service": _sql_aggregate("1h", "service"),
         "store_agg_by_level": _sql_aggregate("1m", "level"),
         "store_agg_attr": _sql_aggregate("1d", None, _IN_RANGE + " AND attributes->>'k' = '42'"),

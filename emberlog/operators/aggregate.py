@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,20 @@ def aggregate_rollup(logs: DataFrame, rollup: DataFrame, options: AggregateOptio
     return _count_by_bucket(reduce(DataFrame.unionAll, branches), "ts", F.sum("c"), options)
 
 
+def aggregate_pieces(
+    pieces: list[tuple[DataFrame, str, list[tuple[datetime, datetime]]]], options: AggregateOptions
+) -> DataFrame:
+    """The same answer from rows and counters that together cover the range once: each piece is a
+    frame, its time column and the ranges it answers for; a frame without `count` holds raw rows."""
+    branches = []
+    for frame, ts, ranges in pieces:
+        inside = reduce(or_, [reduce(and_, time_range(frame, ts, start, end)) for start, end in ranges])
+        rows = where_all(frame, [inside, *equals(options.service, options.level)])
+        count = F.col("count") if "count" in frame.columns else F.lit(1).cast("bigint")
+        branches.append(rows.select(F.col(ts).alias("ts"), "service", "level", count.alias("c")))
+    return _count_by_bucket(reduce(DataFrame.unionAll, branches), "ts", F.sum("c"), options)
+
+
 def aggregate_logs(
     logs: DataFrame, options: AggregateOptions, rollup: DataFrame | None = None
 ) -> DataFrame:

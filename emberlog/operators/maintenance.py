@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.functions.timestamps import utc_date
-from emberlog.operators.rollup import merge_deltas
-from emberlog.schema import DEFAULT_RETENTION_DAYS, TABLE_SCHEMAS
+from emberlog.operators.rollup import coarser, merge_deltas
+from emberlog.schema import COARSE_TABLES, DEFAULT_RETENTION_DAYS, TABLE_SCHEMAS
 from emberlog.sources import paths
 from emberlog.sources.store import Commit, LogStore
 
@@ -39,7 +39,7 @@ def drop_expired(
     """
     cutoff, last = cutoff_day(now, retention_days), store.last_commit()
     if last.cutoff is not None:
-        for table in TABLE_SCHEMAS:
+        for table in (*TABLE_SCHEMAS, *COARSE_TABLES):
             for day in store.folders(table):
                 if day.isoformat() < last.cutoff:
                     paths.remove(store.spark, f"{store.root}/{table}/day={day}")
@@ -48,7 +48,8 @@ def drop_expired(
         def cut(state: Commit) -> Commit:
             first = max(state.cutoff or "", cutoff.isoformat())
             kept = state.stats and {day: size for day, size in state.stats.items() if day >= first}
-            return replace(state, cutoff=first, stats=kept)
+            coarse = {day: entry for day, entry in state.coarse.items() if day >= first}
+            return replace(state, cutoff=first, stats=kept, coarse=coarse)
 
         store.commit(cut)
     return [partition_name(day) for day in expired]
@@ -95,6 +96,45 @@ def compact(store: LogStore, table: str, before: date) -> list[date]:
     return crowded if store.commit(swap) else []
 
 
+def build_coarse(store: LogStore, before: date) -> list[date]:
+    """Minutes and hours of each earlier day whose own do not hold its rows (any more).
+
+    Seconds are read once; hours come from minutes. A day that grew meanwhile is left to the next
+    run; files of minutes and hours that others replaced go one run later.
+    """
+    last = store.last_commit()
+    if last.stats is None:
+        return []
+    for table in COARSE_TABLES:
+        for day in store.days(table, last):
+            kept = last.coarse.get(day.isoformat(), {}).get("batch")
+            for value in store.batches(table, day):
+                if kept is not None and value < kept:
+                    paths.remove(store.spark, f"{store.root}/{table}/day={day}/batch_id={value}")
+    days = [day for day in store.days("log_rollup_1s", last) if day < before and day.isoformat() in last.stats]
+    days = sorted(set(days) - set(last.coarse_days(days)))
+    if not days:
+        return []
+    batch_id, _ = store.reserve()
+    counters, held = store._visible("log_rollup_1s", last, days), {}
+    for table, width in COARSE_TABLES.items():
+        store.write(table, coarser(counters, width, "day"), batch_id)
+        counters = store.batch(table, batch_id)
+        held[table] = store.counted(counters)
+
+    def add(state: Commit) -> Commit:
+        built = {}
+        for day in map(date.isoformat, days):
+            size = last.stats[day]
+            if (state.stats or {}).get(day) == size and (state.cutoff is None or day >= state.cutoff):
+                minutes, hours = (held[table].get(day, [0, 0])[1] for table in COARSE_TABLES)
+                built[day] = {"batch": batch_id, "size": size, "minutes": minutes, "hours": hours}
+        return replace(state.with_batch(batch_id), coarse={**state.coarse, **built})
+
+    added = store.commit(add).coarse
+    return [day for day in days if added.get(day.isoformat(), {}).get("batch") == batch_id]
+
+
 def count_days(store: LogStore) -> bool:
     """Give a store from before per-day statistics its own, by its counters. Left to the next run
     if others commit meanwhile."""
@@ -116,6 +156,7 @@ def run_maintenance(
         "counted": lambda: count_days(store),
         "dropped": lambda: drop_expired(store, now, retention_days),
         "compacted": lambda: compact(store, "log_rollup_1s", today + timedelta(days=1)),
+        "coarse": lambda: build_coarse(store, today),
         "rewritten": lambda: compact(store, "logs", today),
         "responses": lambda: compact(store, "responses", today),
     }

@@ -37,3 +37,8 @@ TABLE_SCHEMAS = {
         "day DATE, batch_id BIGINT"
     ),
 }
+
+#: Counters of whole minutes and hours, built by maintenance over those of seconds: seconds in a bucket.
+COARSE_TABLES = {"log_rollup_1m": 60, "log_rollup_1h": 3600}
+TABLE_SCHEMAS_COARSE = dict.fromkeys(COARSE_TABLES, TABLE_SCHEMAS["log_rollup_1s"])
+BUCKET_SECONDS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from pyspark.util import inheritable_thread_target
 
 from emberlog.functions.timestamps import last_before, utc_date
-from emberlog.operators.aggregate import aggregate_logs
+from emberlog.operators.aggregate import aggregate_logs, aggregate_pieces
 from emberlog.operators.filters import time_range, where_all
 from emberlog.operators.search import (
     Page,
@@ -36,9 +36,9 @@ from emberlog.operators.search import (
     search_logs,
 )
 from emberlog.operators.validate import summarise_requests, validate_requests
-from emberlog.operators.rollup import rollup_1s
+from emberlog.operators.rollup import rollup_1s, split_range
 from emberlog.plans.options import AggregateOptions, SearchOptions, decode_cursor
-from emberlog.schema import PARTITION_COLUMNS, TABLE_SCHEMAS
+from emberlog.schema import BUCKET_SECONDS, COARSE_TABLES, PARTITION_COLUMNS, TABLE_SCHEMAS, TABLE_SCHEMAS_COARSE
 from emberlog.session import configure
 from emberlog.sources import paths
 
@@ -49,7 +49,10 @@ SORT_KEYS = {
     "logs": ("timestamp", "id"),
     "log_rollup_1s": ("bucket_start", "service", "level"),
     "responses": ("received_at",),
+    "log_rollup_1m": ("bucket_start", "service", "level"),
+    "log_rollup_1h": ("bucket_start", "service", "level"),
 }
+SCHEMAS = TABLE_SCHEMAS | TABLE_SCHEMAS_COARSE
 
 
 @dataclass(frozen=True)
@@ -61,7 +64,9 @@ class Commit:
     each named input. `compacted` maps table to day to what a rewrite replaced:
     batches up to `upto`, but for those `late` then. Days before `cutoff` are gone.
     `stats` maps each day to its visible log rows and counter rows; None in a record
-    written before they were kept, until maintenance counts them.
+    written before they were kept, until maintenance counts them. `coarse` says in which
+    batch each day's minutes and hours are, how many, and which `size` the day had then:
+    they hold as long as it has that size.
     """
 
     version: int = -1
@@ -73,6 +78,13 @@ class Commit:
     accepted: int = 0
     rejected: int = 0
     stats: dict[str, list[int]] | None = None
+    coarse: dict[str, dict] = field(default_factory=dict)
+
+    def coarse_days(self, days: Iterable[date]) -> list[date]:
+        """Of the days, those whose minutes and hours cover all their rows."""
+        known = self.stats or {}
+        entries = {day: self.coarse.get(day.isoformat()) for day in days}
+        return [day for day, entry in entries.items() if entry and entry["size"] == known.get(day.isoformat())]
 
     def with_stats(self, added: dict[str, list[int]]) -> Commit:
         """With these numbers added per day; unknown ones stay unknown."""
@@ -100,6 +112,11 @@ class Commit:
         return entry is not None and batch_id <= entry["upto"] and batch_id not in entry["late"]
 
 
+def _touches(day: date, ranges: list[tuple[datetime, datetime]]) -> bool:
+    """Whether a UTC day shares a moment with one of the ranges."""
+    return any(utc_date(start) <= day <= utc_date(last_before(end)) for start, end in ranges)
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = configure(spark)
@@ -171,9 +188,13 @@ class LogStore:
     def _visible(self, name: str, commit: Commit, days: Iterable[date] | None = None) -> DataFrame:
         present = self.days(name, commit)
         chosen = present if days is None else sorted(set(days) & set(present))
-        reader = self.spark.read.schema(TABLE_SCHEMAS[name]).option("basePath", f"{self.root}/{name}")
+        reader = self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.root}/{name}")
+        if name in COARSE_TABLES:
+            chosen = commit.coarse_days(chosen)
         if not chosen:
-            return self.spark.createDataFrame([], TABLE_SCHEMAS[name])
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        if name in COARSE_TABLES:
+            return reader.parquet(*[f"{self.root}/{name}/day={d}/batch_id={commit.coarse[d.isoformat()]['batch']}" for d in chosen])
         frame = reader.parquet(*[f"{self.root}/{name}/day={d}" for d in chosen])
         return where_all(frame, self._live(name, commit, chosen))
 
@@ -329,18 +350,43 @@ class LogStore:
         commit = self.last_commit()
         days = self._days_between("logs", commit, options.since, last_before(options.until))
         if use_rollup is None:
-            use_rollup = self._counters_pay(commit, days)
+            use_rollup = self._counters_pay(commit, days, options.bucket)
         if not (use_rollup and options.counted_by_rollup):
             return aggregate_logs(self._visible("logs", commit, days), options)
-        ends = {utc_date(options.since), utc_date(last_before(options.until))}
-        rollup = self._between("log_rollup_1s", commit, options.since, options.until)
-        return aggregate_logs(self._visible("logs", commit, ends), options, rollup)
+        return aggregate_pieces(self._pieces(commit, days, options), options)
+
+    def _pieces(self, commit: Commit, days: list[date], options: AggregateOptions) -> list[tuple[DataFrame, str, list]]:
+        """Frames and the ranges each answers for: hours where they fit, minutes and seconds at
+        their ends, raw rows in the partial seconds. Days whose coarse counters do not hold are
+        read by second."""
+        wide = [name for name, width in COARSE_TABLES.items() if BUCKET_SECONDS[options.bucket] % width == 0]
+        raw, seconds, *coarse = split_range(options.since, options.until, [1, *[COARSE_TABLES[name] for name in wide]])
+        covered = commit.coarse_days(days)
+        found, missing = [], sorted(set(days) - set(covered))
+        for name, ranges in zip(wide, coarse):
+            kept = [day for day in covered if _touches(day, ranges)]
+            if kept:
+                found.append((self._visible(name, commit, kept), "bucket_start", ranges))
+        within = [r for ranges in coarse for r in ranges]
+        late = [day for day in missing if _touches(day, within)]
+        if late:
+            found.append((self._visible("log_rollup_1s", commit, late), "bucket_start", within))
+        for name, ts, ranges in (("log_rollup_1s", "bucket_start", seconds), ("logs", "timestamp", raw)):
+            touched = [day for day in days if _touches(day, ranges)]
+            if touched:
+                found.append((self._visible(name, commit, touched), ts, ranges))
+        return found or [(self._visible("logs", commit, []), "timestamp", [(options.since, options.until)])]
 
     @staticmethod
-    def _counters_pay(commit: Commit, days: list[date]) -> bool:
+    def _counters_pay(commit: Commit, days: list[date], bucket: str) -> bool:
         """Whether counters are so much fewer than rows that they make up for the scans beside them."""
         held = commit.size(days)
-        return held is None or held[1] + JOB_ROWS < held[0]
+        if held is None:
+            return True
+        covered = commit.coarse_days(days)
+        kind = "hours" if BUCKET_SECONDS[bucket] % COARSE_TABLES["log_rollup_1h"] == 0 else "minutes"
+        counters = held[1] - commit.size(covered)[1] + sum(commit.coarse[day.isoformat()][kind] for day in covered)
+        return counters + JOB_ROWS < held[0]
 
     # -- writing ------------------------------------------------------------
 
@@ -417,11 +463,15 @@ class LogStore:
 
     def day_stats(self, batch_id: int) -> dict[str, list[int]]:
         """Log rows and counter rows of each day of one batch, by its counters."""
-        folder = f"{self.root}/log_rollup_1s"
-        if not any(batch_id in self.batches("log_rollup_1s", day) for day in self.folders("log_rollup_1s")):
-            return {}
-        reader = self.spark.read.schema(TABLE_SCHEMAS["log_rollup_1s"]).option("basePath", folder)
-        return self.counted(reader.parquet(f"{folder}/day=*/batch_id={batch_id}"))
+        return self.counted(self.batch("log_rollup_1s", batch_id))
+
+    def batch(self, table: str, batch_id: int) -> DataFrame:
+        """Rows of one batch, visible or not."""
+        days = [day for day in self.folders(table) if batch_id in self.batches(table, day)]
+        if not days:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        reader = self.spark.read.schema(SCHEMAS[table]).option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*[f"{self.root}/{table}/day={day}/batch_id={batch_id}" for day in days])
 
     @staticmethod
     def counted(rollup: DataFrame) -> dict[str, list[int]]:
@@ -445,7 +495,7 @@ class LogStore:
         or a single second, that holds most rows."""
         keys = SORT_KEYS[name]
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
-            *StructType.fromDDL(TABLE_SCHEMAS[name]).names, F.date_trunc("hour", keys[0]).alias("_hour")
+            *StructType.fromDDL(SCHEMAS[name]).names, F.date_trunc("hour", keys[0]).alias("_hour")
         )
         rows = rows.hint("rebalance", "day", "_hour").sortWithinPartitions(*PARTITION_COLUMNS, *keys)
         # This mode replaces the partitions written and no others, here none, as the batch number is
