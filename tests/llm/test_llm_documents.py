@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from emberlog.llm import lines
 from emberlog.llm.ctw import ContextTree, counted, gram_codes, log_kt, prepared
 from emberlog.llm.decontaminate import WuManber, find_benchmark, hit_words, words
@@ -44,7 +45,6 @@ def rows(documents):
 
 def tokens(path, text, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
@@ -274,6 +274,20 @@ def test_very_long_lines(spark):
 # -- tokens -------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("special", [True, False])
+@pytest.mark.parametrize("path,cut_at", [(LED, "led"), (DROPPED, "dropped")])
+def test_encoder_equals_the_library_on_odd_texts(path, cut_at, special):
+    """Special tokens, the encoder's own head mark, kinds of white space and marks, in any order."""
+    rng = random.Random(7)
+    bits = ["a", "The", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\x02", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>", "<|endo", "don't", "'s",
+            "123", "\u00c9", "\u65e5\u672c", "x", "!!", "<", "|>", "Word", " word", "\x00", "\u0301", "\u00df", "\u0130"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(8000)] + ["a \x02b", "say <|endoftext|> now"]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not special
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert Encoder(path, cut_at, special).encode(pa.array(texts, pa.large_string())) == want
+
+
 @pytest.mark.parametrize("path,cut_at", [(LED, "led"), (DROPPED, "dropped"), (LED, "whole")])
 def test_encoder_equals_whole_texts(path, cut_at):
     texts = [t or "" for t in llm_cases.texts()]
@@ -570,3 +584,77 @@ def test_scores_without_text(spark):
 
 def test_item_hash_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and words(b"It's 2 Words") == [b"it", b"s", b"2", b"words"]
+
+
+# -- pipeline -----------------------------------------------------------------------------
+
+
+def test_pipeline_against_plain_stages(spark):
+    """What each stage makes of all that the one before kept, against plain code on the same rows."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    items = [words((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 10]) for w in items for i in range(max(len(w) - 9, 1)) if w}
+    names = [f"_s_{n}" for n in plain_statistics("")]
+
+    def quality(rows):
+        values = np.array([list(plain_statistics(t).values()) for _, t in rows])
+        total = model.intercept + sum(weight * rule.holds(values, names) for rule, weight in model.rules)
+        return [row for row, x in zip(rows, total) if 1 / (1 + math.exp(-x)) >= 0.3]
+
+    def lined(rows):
+        return [(d, t) for d, t, _, dropped in plain_lines(rows) if not dropped or t.strip(" ")]
+
+    def near(rows):
+        rows = sorted(rows)
+        bags = [re.findall(r"[^ \t-\r]+", t.translate(LOWER)) for _, t in rows]
+        sets = [{tuple(b[i : i + 5]) for i in range(max(len(b) - 4, 1))} if b else set() for b in bags]
+        found = plain_components(sets, lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b))
+        firsts = {}
+        for row, c in zip(rows, found):
+            firsts.setdefault(c, row)
+        return list(firsts.values())
+
+    def clean(rows):
+        sizes = {len(w) for w in windows}
+        found = [(row, words((row[1] or "").encode())) for row in rows]
+        return [row for row, own in found if not any(tuple(own[i : i + n]) in windows for n in sizes for i in range(len(own) - n + 1))]
+
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (quality, lined, near, clean)):
+        docs = stage(spark, docs, sf).cache()
+        got = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+        rows = sorted(plain(rows))
+        assert got == rows, name
+    pieces = defaultdict(list)
+    used = defaultdict(list)
+    for r in corpus_pipeline.STAGES[4][1](spark, docs, sf).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    tokenizer = Tokenizer.from_file(LED)
+    assert pieces.keys() == {d for d, _ in rows}
+    for d, t in rows:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        at = 0
+        for start, length, crc, whole in sorted(pieces[d]):
+            assert (start, whole, crc) == (at, len(ids), zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()))
+            at += length
+        assert at == len(ids)
+    for parts in used.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_stages_on_odd_rows(spark, documents):
+    """Nulls in any column, empty and long texts, ties, repeated rows, more columns; and no rows."""
+    sf = "/root/testdata/sf0.001"
+    for frame in (documents, llm_cases.none(spark)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, frame, sf)
+            assert found.dtypes == frame.dtypes and found.count() <= frame.count(), name
+        packed = corpus_pipeline.pack(spark, frame, sf)
+        assert packed.where("start = 0").count() == frame.count()
+    kept = {name: {(r["doc_id"], r["text"]) for r in stage(spark, documents, sf).select("doc_id", "text").collect()} for name, stage in corpus_pipeline.STAGES[1:4]}
+    assert (0, None) in kept["lines"] & kept["near copies"] & kept["benchmark"]
+    assert any(d is None for d, _ in kept["near copies"]) and any(d is None for d, _ in kept["benchmark"])
