@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import replace
 from datetime import date, datetime, timezone
 
@@ -22,6 +23,7 @@ from emberlog import (
 )
 from emberlog.operators.aggregate import aggregate_raw, rendered_buckets
 from emberlog.operators.maintenance import build_coarse, compact, drop_expired, partition_name_column, run_maintenance
+from emberlog.operators.metrics import ingest_report
 from emberlog.operators.rollup import merge_deltas, rollup_1s
 from emberlog.operators.search import cursor_column, page_starts, paged_logs, rendered_logs
 from emberlog.plans.options import Cursor
@@ -313,6 +315,19 @@ def _two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(store.logs().select(*LOG_FIELDS), "timestamp")
 
 
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store notes of three batches of two feeds, one of them given twice and one that fails first."""
+    store = LogStore(spark, f"{scratch_dir(spark, 'attempts')}/store")
+    requests = request_bodies(spark, sf_dir, defects=True)
+    part = F.col("request_id").cast("bigint") % 3
+    with suppress(Exception):
+        store.append(requests.where(part == 0).withColumn("received_at", F.lit(None).cast("timestamp")), "left", 0)
+    for name, version, kept in (("left", 0, part == 0), ("left", 1, part == 1), ("left", 1, part == 1), ("right", 0, part == 2)):
+        store.append(requests.where(kept), name, version)
+    report = ingest_report(store.attempts())
+    return report.select("source", "committed", "replayed", "failed", "retried", "accepted", "rejected")
+
+
 def _edge_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamps of UTC year 0 and 10000 beside good ones, through ingestion."""
     events = read_events(spark, sf_dir)
@@ -439,6 +454,7 @@ def queries() -> dict[str, Query]:
         "ingest_numbers": _numbers,
         "ingest_two_sources": _two_sources,
         "ingest_edge_years": _edge_years,
+        "ingest_attempts": _attempts,
         "stream_rollup": _streamed_rollup,
         "retention_kept": _retained("logs"),
         "retention_rollup_kept": _retained("log_rollup_1s"),
@@ -645,6 +661,10 @@ def oracle_sql() -> dict[str, str]:
         "ingest_two_sources": _sql_stored(),
         "ingest_edge_years": """SELECT CASE WHEN event_id % 5 = 3 THEN '0001-01-01' WHEN event_id % 5 = 4 THEN '2024-01-01'
             ELSE 'Timestamp must be a valid ISO 8601 string' END AS day, count(*) AS rows FROM events GROUP BY ALL""",
+        "ingest_attempts": f"""SELECT CASE WHEN request_id % 3 = 2 THEN 'right' ELSE 'left' END AS source,
+            count(DISTINCT request_id % 3) AS committed, CASE WHEN max(request_id % 3) = 2 THEN 0 ELSE 1 END AS replayed,
+            CASE WHEN max(request_id % 3) = 2 THEN 0 ELSE 1 END AS failed, CASE WHEN max(request_id % 3) = 2 THEN 0 ELSE 1 END AS retried,
+            count(*) - count(reason) AS accepted, count(reason) AS rejected FROM {_VERDICTS} GROUP BY 1""",
         "compact_rollup": _sql_rollup(_LOGS),
         "compact_logs": _sql_stored(),
     }

@@ -43,6 +43,10 @@ def drop_expired(
             for day in store.folders(table):
                 if day.isoformat() < last.cutoff:
                     paths.remove(store.spark, f"{store.root}/{table}/day={day}")
+    # Attempts are kept as long as rows, by the day they were made.
+    for day in store.folders("attempts"):
+        if day < cutoff:
+            paths.remove(store.spark, f"{store.root}/attempts/day={day}")
     expired = [day for day in store.days("logs", last) if day < cutoff]
     if any(day < cutoff for table in TABLE_SCHEMAS for day in store.days(table, last)):
         def cut(state: Commit) -> Commit:

@@ -42,3 +42,9 @@ TABLE_SCHEMAS = {
 COARSE_TABLES = {"log_rollup_1m": 60, "log_rollup_1h": 3600}
 TABLE_SCHEMAS_COARSE = dict.fromkeys(COARSE_TABLES, TABLE_SCHEMAS["log_rollup_1s"])
 BUCKET_SECONDS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}
+
+#: One row per attempt to append a batch: outcome is committed, replayed (taken before) or failed.
+METRICS_SCHEMA = (
+    "source STRING, version BIGINT, batch_id BIGINT, outcome STRING, accepted BIGINT, rejected BIGINT, "
+    "started TIMESTAMP, seconds DOUBLE, error STRING, day DATE"
+)

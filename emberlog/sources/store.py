@@ -18,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, time, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,7 +39,7 @@ from emberlog.operators.search import (
 from emberlog.operators.validate import summarise_requests, validate_requests
 from emberlog.operators.rollup import rollup_1s, split_range
 from emberlog.plans.options import AggregateOptions, SearchOptions, decode_cursor
-from emberlog.schema import BUCKET_SECONDS, COARSE_TABLES, PARTITION_COLUMNS, TABLE_SCHEMAS, TABLE_SCHEMAS_COARSE
+from emberlog.schema import BUCKET_SECONDS, COARSE_TABLES, METRICS_SCHEMA, PARTITION_COLUMNS, TABLE_SCHEMAS, TABLE_SCHEMAS_COARSE
 from emberlog.session import configure
 from emberlog.sources import paths
 
@@ -396,14 +397,42 @@ class LogStore:
         Logs, counters and responses become visible together. A (source, version)
         pair already committed is skipped, so a replayed batch changes nothing.
         received_at comes with the data: the time check then gives the same
-        verdict on a replay.
+        verdict on a replay. Every attempt leaves a row in `attempts`.
         """
+        started, known = datetime.now(timezone.utc), {"source": source, "version": version}
+        try:
+            commit, size = self._append(requests, source, version)
+        except Exception as failure:
+            self._note(started, known | {"outcome": "failed", "error": f"{type(failure).__name__}: {failure}"[:500]})
+            raise
+        self._note(started, known | ({"outcome": "committed", **size} if size else {"outcome": "replayed"}))
+        return commit
+
+    def _note(self, started: datetime, row: dict) -> None:
+        """One small file per attempt, under its day; one that cannot be written is no reason to fail."""
+        seconds = (datetime.now(timezone.utc) - started).total_seconds()
+        text = json.dumps({**row, "started": started.isoformat(), "seconds": seconds})
+        folder = f"{self.root}/attempts/day={utc_date(started)}"
+        try:
+            paths.publish(self.spark, folder, f"{started:%H%M%S%f}-{uuid.uuid4().hex}.json", text)
+        except (Py4JJavaError, OSError):
+            pass
+
+    def attempts(self) -> DataFrame:
+        """Attempts to append, by METRICS_SCHEMA; see `operators.metrics.ingest_report`."""
+        if not self.folders("attempts"):
+            return self.spark.createDataFrame([], METRICS_SCHEMA)
+        return self.spark.read.schema(METRICS_SCHEMA).json(f"{self.root}/attempts")
+
+    def _append(self, requests: DataFrame, source: str | None, version: int | None) -> tuple[Commit, dict | None]:
+        """The newest commit, and what this batch added to it; None if it was taken before."""
+
         def taken(commit: Commit) -> bool:
             return source is not None and version <= commit.sources.get(source, -1)
 
         last = self.last_commit()
         if taken(last):
-            return last
+            return last, None
 
         # Parsing is the costly step and three outputs need it, so its result is
         # written once. The row number is stored with it and stays what it is
@@ -459,7 +488,9 @@ class LogStore:
 
         commit = self.commit(add)
         paths.remove(self.spark, staging)
-        return commit or self.last_commit()
+        if commit is None:
+            return self.last_commit(), None
+        return commit, {"batch_id": batch_id, "accepted": size["accepted"], "rejected": size["rejected"]}
 
     def day_stats(self, batch_id: int) -> dict[str, list[int]]:
         """Log rows and counter rows of each day of one batch, by its counters."""
