@@ -19,7 +19,7 @@ from emberlog.llm.tokens import Encoder, byte_characters, per_worker
 CACHED_PAIRS = 2_000_000
 #: Bytes of the texts aligned together (a longer text is a group of its own), and about the tokens
 #: of a lane: a text's lanes advance side by side.
-GROUP_BYTES, LANE_TOKENS = 4 << 20, 64
+GROUP_BYTES, LANE_TOKENS = 2 << 20, 64
 _ID_BITS = 20  # of an id within a pair
 _PIECES_KEPT, _PIECE_CHARS = 300_000, 40
 _LED = re.compile(r" (?<=\S )(?=\S)")
