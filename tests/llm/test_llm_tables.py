@@ -253,7 +253,9 @@ def test_run_gives_the_stages_rows(spark):
     assert found.count() > 100
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_near_dedup", "op7_line_dedup", "op8_url_filter", "op10_warc"])
+@pytest.mark.parametrize(
+    "name", ["op2_decontaminate", "op3_near_dedup", "op7_line_dedup", "op8_url_filter", "op10_warc", "op11_conversation_trie", "op13_page_articles"]
+)
 def test_query_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     good, text = compare(spark, connect(folder), name, folder)
