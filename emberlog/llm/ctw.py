@@ -6,9 +6,10 @@ estimate against those of the contexts one byte longer:
 
     P_w(s) = 1/2 P_kt(s) + 1/2 prod P_w(children of s)
 
-Contexts left out for being rare share one further child, "other", of the context they extend, so
-that all counts are in the tree. P_w of the training text fixes the weight of stopping at each
-node, and with it one probability for each decision in each context.
+P_w of the training text fixes the weight of stopping at each node, and with it one probability for
+each decision in each context. No context is left out. The tree comes apart below TRUNK bytes: the
+branch of one context of TRUNK + 1 bytes needs of all others only what the trunk hands down, so
+branches are weighed apart and a tree may be larger than any one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 
 DEPTH = 5
+TRUNK = 2  # contexts of so many bytes: at most 65,793, whatever the corpus
 START = 0x0A  # the end mark of a text, also what comes before its first byte
 
 
@@ -58,12 +60,24 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+
+
+SMALL = 64
+_SMALL_KT = _log_kt(*np.indices((SMALL, SMALL)).astype(float))
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    out = np.empty(len(zeros))
+    small = (zeros < SMALL) & (ones < SMALL)
+    out[small] = _SMALL_KT[zeros[small].astype(np.int64), ones[small].astype(np.int64)]
+    out[~small] = _log_kt(zeros[~small], ones[~small])
+    return out
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index of each key, or -1."""
     if not len(sorted_keys):
         return np.full(len(keys), -1)
@@ -75,103 +89,86 @@ def _mask(size: int) -> np.uint64:
     return np.uint64((1 << (8 * size)) - 1)
 
 
+def decisions(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (context and bits so far behind a leading one), zeros and ones of each decision that the
+    last bytes of ascending distinct codes take."""
+    keys, zeros, ones = [], [], []
+    context, byte = codes >> np.uint64(8) << np.uint64(8), codes & np.uint64(255)
+    for bit in range(8):
+        key = context | (np.uint64(1 << bit) | byte >> np.uint64(8 - bit))
+        found, total = counted(key, counts)
+        positive = counted(key, counts * (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(float))[1]
+        keys.append(found)
+        zeros.append(total - positive)
+        ones.append(positive)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate(zeros)[order].astype(float), np.concatenate(ones)[order].astype(float)
+
+
 class ContextTree:
-    """Built from the counts of (context, byte) for the contexts kept at each depth: `grams[d]` is
-    (codes of d + 1 bytes as in `gram_codes`, counts). A kept context's shorter ones are kept too.
+    """The decisions in contexts of `first` to `last` bytes, from those of `last` (see `decisions`).
+
+    A trunk ends before the longest contexts; `below` is then, for each of its last decisions, the
+    logarithm of the product of P_w over the contexts one byte longer. Branches start behind the
+    trunk: their `log_weighted` goes up to it, and `mix` takes what it hands down.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(grams) - 1
-        nodes = [self._decisions(codes, counts.astype(float)) for codes, counts in grams]
-        self.longest = grams[-1][0]  # codes with a context of full length
-        self.contexts = [np.unique(codes >> np.uint64(8)) for codes, _ in grams]
-        log_weighted, other, stop = [None] * len(nodes), [None] * len(nodes), [None] * len(nodes)
-        for d in range(self.depth, -1, -1):
-            keys, zeros, ones = nodes[d]
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, first: int = 0, last: int = DEPTH, below: np.ndarray | None = None):
+        self.first, self.last = first, last
+        self.levels, split = [], below
+        for d in range(last, first - 1, -1):
             kt = log_kt(zeros, ones)
-            if d == self.depth:
-                log_weighted[d] = kt
-                continue
-            below, below_zeros, below_ones = nodes[d + 1]
-            up = _find(keys, below & _mask(d + 1))
-            size = len(keys)
-            rest0 = zeros - np.bincount(up, below_zeros, size)
-            rest1 = ones - np.bincount(up, below_ones, size)
-            split = np.bincount(up, log_weighted[d + 1], size) + log_kt(rest0, rest1)
-            log_weighted[d] = np.logaddexp(kt, split) - np.log(2)
-            stop[d] = np.exp(kt - np.log(2) - log_weighted[d])
-            other[d] = (rest0 + 0.5) / (rest0 + rest1 + 1), (rest1 + 0.5) / (rest0 + rest1 + 1)
-        # From the root down, for both outcomes apart, so that neither is a difference of large numbers:
-        # what shorter contexts give to a one and to a zero, and the weight left for longer ones.
-        self.keys = [keys for keys, _, _ in nodes]
-        self.done: list[np.ndarray] = []  # chance of a one in a context that ends here, or minus that of a zero if that is smaller
-        self.given: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # passed on to longer contexts
-        for d, (keys, zeros, ones) in enumerate(nodes):
-            if d:
-                up = _find(nodes[d - 1][0], keys & _mask(d))
-                one, zero, left = (x[up] for x in last)
+            if split is None:
+                weighted, stop, go = kt, np.ones(len(keys)), np.zeros(len(keys))
             else:
-                one, zero, left = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
-            total = zeros + ones + 1
-            if d == self.depth:
-                last = one, zero, left
-                ends = one + left * (ones + 0.5) / total, zero + left * (zeros + 0.5) / total
+                weighted = np.logaddexp(kt, split) - np.log(2)
+                # From the difference, so that they add up to one however large the logarithms are.
+                stop, go = (1 / (1 + np.exp(np.clip(x, -700, 700))) for x in (split - kt, kt - split))
+            up = None
+            chances = (zeros + 0.5) / (zeros + ones + 1), (ones + 0.5) / (zeros + ones + 1)
+            if d > first:
+                shorter, up = np.unique(keys & _mask(d), return_inverse=True)
+            self.levels.append((keys, up, stop, go, chances))
+            if d > first:
+                size = len(shorter)
+                keys, zeros, ones, split = shorter, *(np.bincount(up, x, size) for x in (zeros, ones, weighted))
+        self.levels.reverse()
+        self.counts, self.log_weighted = (zeros, ones), weighted  # of contexts of `first` bytes
+        self.mixed: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def mix(self, trunk: ContextTree | None = None) -> ContextTree:
+        """From the root down, for both outcomes apart, so that neither is a difference of large
+        numbers: what contexts up to this one give to a zero and to a one, and the weight left for
+        longer ones, of which an unseen one gives each outcome one half."""
+        for keys, up, stop, go, chances in self.levels:
+            if up is not None:
+                zero, one, left = (x[up] for x in (zero, one, left))
+            elif trunk is not None:
+                held, *values = trunk.mixed[-1]
+                at = find(held, keys & _mask(self.first))
+                zero, one, left = (x[at] for x in values)
             else:
-                one = one + left * stop[d] * (ones + 0.5) / total
-                zero = zero + left * stop[d] * (zeros + 0.5) / total
-                left = left * (1 - stop[d])
-                last = one, zero, left
-                ends = one + left * other[d][1], zero + left * other[d][0]
-            # Half the memory for what is only looked up from here on.
-            self.done.append(np.where(ends[0] <= ends[1], ends[0], -ends[1]).astype(np.float32))
-            self.given.append(tuple(x.astype(np.float32) for x in last))
-
-    @staticmethod
-    def _decisions(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys (context and bits so far behind a leading one), zeros and ones of each decision."""
-        keys, zeros, ones = [], [], []
-        context, byte = codes >> np.uint64(8) << np.uint64(8), codes & np.uint64(255)
-        for bit in range(8):
-            key = context | (np.uint64(1 << bit) | byte >> np.uint64(8 - bit))
-            one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(float)
-            found, total = counted(key, counts)
-            _, positive = counted(key, counts * one)
-            keys.append(found)
-            zeros.append(total - positive)
-            ones.append(positive)
-        keys = np.concatenate(keys)
-        order = np.argsort(keys)
-        return keys[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
+                zero, one, left = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
+            zero, one, left = zero + left * stop * chances[0], one + left * stop * chances[1], left * go
+            self.mixed.append((keys, zero, one, left))
+        self.levels = []  # not looked up again
+        return self
+
+    def log10(self, codes: np.ndarray, trunk: ContextTree | None = None) -> np.ndarray:
         """log10 of the probability of the low byte of each code after the context in the others."""
-        reach = np.zeros(len(codes), np.int64)  # length of the longest kept context
-        for d in range(1, self.depth + 1):
-            on = np.flatnonzero(reach == d - 1)
-            held = _find(self.contexts[d], codes[on] >> np.uint64(8) & _mask(d))
-            reach[on[held >= 0]] = d
-        total = np.zeros(len(codes))
-        byte = codes & np.uint64(255)
+        known = [(d, held) for tree in (trunk, self) if tree for d, held in enumerate(tree.mixed, tree.first)]
+        total, byte = np.zeros(len(codes)), codes & np.uint64(255)
         for bit in range(8):
             prefix = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
-            chance = np.full((2, len(codes)), 0.5)  # of a zero and a one; a decision no context has seen
-            todo = np.arange(len(codes))
-            for d in range(self.depth, -1, -1):
-                rows = todo[reach[todo] >= d]
-                if not len(rows):
-                    continue
-                key = (codes[rows] >> np.uint64(8) & _mask(d)) << np.uint64(8) | prefix[rows]
-                at = _find(self.keys[d], key)
-                hit, at = rows[at >= 0], at[at >= 0]
-                ends = reach[hit] == d
-                rare = self.done[d][at].astype(float)
-                one, zero, left = (x[at].astype(float) for x in self.given[d])
-                # A longer kept context without this decision gives it one half.
-                chance[0, hit] = np.where(ends, np.where(rare < 0, -rare, 1 - rare), zero + left * 0.5)
-                chance[1, hit] = np.where(ends, np.where(rare < 0, 1 + rare, rare), one + left * 0.5)
-                found = np.zeros(len(codes), bool)
-                found[hit] = True
-                todo = todo[~found[todo]]
             one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(one, chance[1], chance[0]))
+            chance = np.full(len(codes), 0.5)  # a decision no context has seen
+            todo = np.arange(len(codes))
+            for d, (keys, zeros, ones, left) in reversed(known):
+                at = find(keys, (codes[todo] >> np.uint64(8) & _mask(d)) << np.uint64(8) | prefix[todo])
+                hit, at, todo = todo[at >= 0], at[at >= 0], todo[at < 0]
+                chance[hit] = np.where(one[hit], ones[at], zeros[at]) + left[at] / 2
+                if not len(todo):
+                    break
+            total += np.log10(chance)
         return total

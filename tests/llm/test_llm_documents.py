@@ -18,7 +18,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from emberlog.llm import lines
-from emberlog.llm.ctw import ContextTree, counted, gram_codes, log_kt, prepared
+from emberlog.llm import lm
+from emberlog.llm.common import Shared
+from emberlog.llm.ctw import ContextTree, counted, decisions, gram_codes, log_kt, prepared
 from emberlog.llm.decontaminate import WuManber, find_benchmark, hit_words, words
 from emberlog.llm.lines import dedup_lines
 from emberlog.llm.lm import score_texts
@@ -460,111 +462,87 @@ def test_context_tree_against_plain_weighting():
     texts = [b"abracadabra\n", b"abacab\n", b"cad\n"]
     depth = 2
     codes, counts = counted(gram_codes(texts, depth))
-    levels = [counted(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts) for d in range(depth + 1)]
-    tree = ContextTree(levels)
-    decisions = defaultdict(lambda: [0, 0])
+    tree = ContextTree(*decisions(codes, counts), last=depth).mix()
+    seen_at = defaultdict(lambda: [0, 0])
     for code, n in zip(codes.tolist(), counts.tolist()):
         byte = code & 255
         for d in range(depth + 1):
             context = code >> 8 & (1 << 8 * d) - 1
             for bit in range(8):
-                decisions[d, context, 1 << bit | byte >> 8 - bit][byte >> 7 - bit & 1] += n
+                seen_at[d, context, 1 << bit | byte >> 8 - bit][byte >> 7 - bit & 1] += n
 
     def kt(pair):
         return math.exp(float(log_kt(np.array([float(pair[0])]), np.array([float(pair[1])]))[0]))
 
     def weighted(d, context, prefix):
-        own = kt(decisions[d, context, prefix])
+        own = kt(seen_at[d, context, prefix])
         if d == depth:
             return own
-        below = {c for e, c, p in list(decisions) if e == d + 1 and p == prefix and c & (1 << 8 * d) - 1 == context}
+        below = {c for e, c, p in list(seen_at) if e == d + 1 and p == prefix and c & (1 << 8 * d) - 1 == context}
         return 0.5 * own + 0.5 * math.prod(weighted(d + 1, c, prefix) for c in below)
 
     def chance(d, context, prefix):
-        zeros, ones = decisions[d, context & (1 << 8 * d) - 1, prefix]
+        zeros, ones = seen_at[d, context & (1 << 8 * d) - 1, prefix]
         own = (ones + 0.5) / (zeros + ones + 1)
         if d == depth:
             return own
         stop = 0.5 * kt((zeros, ones)) / weighted(d, context & (1 << 8 * d) - 1, prefix)
-        seen = any(e == d + 1 and c == context & (1 << 8 * (d + 1)) - 1 for e, c, _ in list(decisions) if decisions[e, c, _] != [0, 0])
+        seen = any(e == d + 1 and c == context & (1 << 8 * (d + 1)) - 1 for e, c, _ in list(seen_at) if seen_at[e, c, _] != [0, 0])
         return stop * own + (1 - stop) * (chance(d + 1, context, prefix) if seen else 0.5)
 
     for context in (0x6162, 0x6261, 0x7A7A, 0x0A0A, 0x7A61):
         codes = np.array([context << 8 | b for b in range(256)], np.uint64)
         got = 10 ** tree.log10(codes)
-        assert abs(got.sum() - 1) < 1e-5
+        assert abs(got.sum() - 1) < 1e-12
         for byte in (0x61, 0x62, 0x7A, 0x0A):
             p = 1.0
             for bit in range(8):
                 one = chance(0, context, 1 << bit | byte >> 8 - bit)
                 p *= one if byte >> 7 - bit & 1 else 1 - one
-            assert got[byte] == pytest.approx(p, rel=1e-4)
+            assert got[byte] == pytest.approx(p, rel=1e-9)
 
 
 def test_decisions_that_always_went_one_way():
     """At any counts, probabilities stay above zero and add up to one, in the tree's precision."""
     codes, counts = counted(gram_codes([b"ququququququ\n"], 2))
     for scale in (1, 10**6, 10**8, 10**12):
-        tree = ContextTree([counted(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts * scale) for d in range(3)])
+        tree = ContextTree(*decisions(codes, counts * scale), last=2).mix()
         every = np.array([0x7175 << 8 | b for b in range(256)], np.uint64)
         logs = tree.log10(every)
         assert np.isfinite(logs).all() and (10**logs).sum() == pytest.approx(1, abs=1e-5)
         assert logs[0x61] < -math.log10(scale) and logs[0x61] > -8 * (math.log10(scale) + 2)
 
 
-def test_counts_of_contexts_left_out_are_in_the_tree():
-    """A context that is not kept passes its counts to the "other" child of the one it extends."""
-    codes, counts = counted(gram_codes([b"abracadabra\n", b"abacab\n", b"xyxzxy\n"], 2))
-    levels = [counted(codes & np.uint64((1 << 8 * (d + 1)) - 1), counts) for d in range(3)]
-    keep = [np.ones(len(levels[0][0]), bool), *[(levels[d][0] >> np.uint64(8) & np.uint64(255)) == 0x61 for d in (1, 2)]]
-    tree = ContextTree([(c[k], n[k]) for (c, n), k in zip(levels, keep)])
-    decisions, kept = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for d, ((level, numbers), k) in enumerate(zip(levels, keep)):
-        for code, n, held in zip(level.tolist(), numbers.tolist(), k.tolist()):
-            for bit in range(8):
-                byte, key = code & 255, (d, code >> 8, 1 << bit | (code & 255) >> 8 - bit)
-                decisions[key][byte >> 7 - bit & 1] += n
-                if held:
-                    kept[key][byte >> 7 - bit & 1] += n
-
-    def kt(pair):
-        return math.exp(float(log_kt(np.array([float(pair[0])]), np.array([float(pair[1])]))[0]))
-
-    def parts(d, context, prefix):
-        below = [c for e, c, p in kept if e == d + 1 and p == prefix and c & (1 << 8 * d) - 1 == context]
-        rest = [decisions[d, context, prefix][x] - sum(kept[d + 1, c, prefix][x] for c in below) for x in (0, 1)]
-        return below, rest
-
-    def weighted(d, context, prefix):
-        own = kt(kept[d, context, prefix])
-        if d == 2:
-            return own
-        below, rest = parts(d, context, prefix)
-        return 0.5 * own + 0.5 * kt(rest) * math.prod(weighted(d + 1, c, prefix) for c in below)
-
-    def chance(d, context, prefix):
-        here = context & (1 << 8 * d) - 1
-        zeros, ones = kept[d, here, prefix]
-        if d == 2:
-            return (ones + 0.5) / (zeros + ones + 1)
-        longer = context & (1 << 8 * (d + 1)) - 1
-        stop = 0.5 * kt((zeros, ones)) / weighted(d, here, prefix)
-        own = (ones + 0.5) / (zeros + ones + 1)
-        if not any(e == d + 1 and c == longer for e, c, _ in list(kept)):
-            rest = parts(d, here, prefix)[1]
-            return stop * own + (1 - stop) * (rest[1] + 0.5) / (sum(rest) + 1)
-        return stop * own + (1 - stop) * (chance(d + 1, context, prefix) if (d + 1, longer, prefix) in kept else 0.5)
-
-    for context in (0x6161, 0x6261, 0x7861, 0x6178):
-        got = 10 ** tree.log10(np.array([context << 8 | b for b in range(256)], np.uint64))
-        assert got.sum() == pytest.approx(1, abs=1e-5)
-        for byte in (0x61, 0x62, 0x78, 0x7A):
-            p = 1.0
-            for bit in range(8):
-                prefix = 1 << bit | byte >> 8 - bit
-                one = chance(0, context, prefix) if (0, 0, prefix) in kept else 0.5
-                p *= one if byte >> 7 - bit & 1 else 1 - one
-            assert got[byte] == pytest.approx(p, rel=1e-4)
+def _training(rows) -> list[bytes]:
+    """What the model learns from."""
+    return [prepared((t or "").encode())[1] for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
+
+
+@pytest.mark.parametrize("broadcast", [0, 50, 10**6])
+def test_scores_equal_the_whole_tree(documents, rows, monkeypatch, broadcast):
+    """Branches weighed in many tasks, and grams broadcast or joined, give what one tree of all
+    training text gives; no context is left out."""
+    monkeypatch.setattr(lm, "PART_GRAMS", 300)
+    monkeypatch.setattr(lm, "FREQUENT_GRAMS", broadcast)
+    tree = ContextTree(*decisions(*counted(gram_codes(_training(rows))))).mix()
+    expected = sorted((repr(d), float(tree.log10(gram_codes([prepared((t or "").encode())[1]])).sum())) for d, t in rows)
+    found = sorted((repr(r["doc_id"]), r["score"]) for r in score_texts(documents).collect())
+    assert [d for d, _ in found] == [d for d, _ in expected]
+    assert np.allclose([s for _, s in found], [s for _, s in expected], rtol=1e-9)
+
+
+def test_grams_met_and_not_met(spark, monkeypatch):
+    """Also grams whose context the tree does not have at all, at counts of 10^8."""
+    monkeypatch.setattr(lm, "PART_GRAMS", 5)
+    codes, counts = counted(gram_codes([b"abracadabra\n", b"abacab\n", b"xyxzxy\n"]))
+    counts = counts * 10**8
+    asked = np.unique(np.r_[codes, gram_codes([b"abraxas \xff\xfe\n", b"zzzzz\n"])])
+    grams = spark.createDataFrame(list(zip(codes.astype(np.int64).tolist(), counts.tolist())), "key BIGINT, n BIGINT")
+    wanted = spark.createDataFrame([(k,) for k in asked.astype(np.int64).tolist()], "key BIGINT")
+    trunk = Shared(spark.sparkContext, lm.fit_trunk(grams, len(codes)))
+    found = dict(lm.gram_logs(grams, wanted, trunk, len(codes) + len(asked)).collect())
+    whole = ContextTree(*decisions(codes, counts)).mix().log10(asked)
+    assert np.allclose([found[k] for k in asked.tolist()], whole, rtol=1e-9) and np.isfinite(whole).all()
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):
