@@ -22,7 +22,7 @@ from emberlog import (
     validate_requests,
 )
 from emberlog.operators.aggregate import aggregate_raw, rendered_buckets
-from emberlog.operators.maintenance import build_coarse, compact, drop_expired, partition_name_column, run_maintenance
+from emberlog.operators.maintenance import build_coarse, build_filters, compact, drop_expired, partition_name_column, run_maintenance
 from emberlog.operators.metrics import ingest_report
 from emberlog.operators.rollup import merge_deltas, rollup_1s
 from emberlog.operators.search import cursor_column, page_starts, paged_logs, rendered_logs
@@ -101,6 +101,16 @@ def _coarse_store(spark: SparkSession, sf_dir: str) -> LogStore:
     return _STORES[key]
 
 
+def _filtered_store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """A store of two batches, whose files have filters on the days before the 20th."""
+    key = (spark.sparkContext.applicationId, sf_dir, "filtered")
+    if key not in _STORES:
+        store = _new_store(spark, sf_dir, batches=2)
+        build_filters(store, COARSE_BEFORE)
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def _naive(frame: DataFrame, *columns: str) -> DataFrame:
     """UTC timestamps without zone, as the SQL side has them."""
     return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
@@ -165,6 +175,17 @@ def _store_search(params: dict[str, str], all_rows: bool = False) -> Query:
     return run
 
 
+def _filtered_search(params: dict[str, str]) -> Query:
+    """A whole search that leaves out files by their filters."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = replace(parse_search_params(params), limit=None)
+        found = _filtered_store(spark, sf_dir).search(options, use_filters=True)
+        return _naive(found.select(*LOG_FIELDS), "timestamp")
+
+    return run
+
+
 # -- aggregation ------------------------------------------------------------
 
 
@@ -425,6 +446,9 @@ def queries() -> dict[str, Query]:
         "store_search_service_level": _store_search({"service": "svc-5", "level": "warn", "limit": "50"}),
         "store_search_until": _store_search({"until": "2024-01-15T12:30:15.25Z", "level": "error"}),
         "store_search_attr": _store_search({"attr.k": "42"}, all_rows=True),
+        "store_filters_attr": _filtered_search({"attr.k": "42"}),
+        "store_filters_message": _filtered_search({"q": "ChAsE BY u_er 4"}),
+        "store_filters_both": _filtered_search({"q": "sign", "attr.k": "7"}),
         "agg_attr_and_q": _aggregate(
             {"since": "2024-01-03", "until": "2024-01-27", "bucket": "1d", "group_by": "service",
              "attr.k": "69", "q": "ERR"}
@@ -615,6 +639,9 @@ def oracle_sql() -> dict[str, str]:
             "level = 'error' AND \"timestamp\" < TIMESTAMP '2024-01-15 12:30:15.25'", 100
         ),
         "store_search_attr": _sql_stored("attributes = '{\"k\":42}'"),
+        "store_filters_attr": _sql_stored("attributes = '{\"k\":42}'"),
+        "store_filters_message": _sql_stored("message ILIKE '%chase by u_er 4%'"),
+        "store_filters_both": _sql_stored("message ILIKE '%sign%' AND attributes = '{\"k\":7}'"),
         "agg_attr_and_q": _sql_aggregate(
             "1d", "service",
             "\"timestamp\" >= TIMESTAMP '2024-01-03' AND \"timestamp\" < TIMESTAMP '2024-01-27' "

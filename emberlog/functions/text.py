@@ -22,3 +22,16 @@ def contains_pattern(q: str, literal: bool = False) -> str:
         out.append(pattern[i])
         i += 1
     return "".join(out)
+
+
+def literal_parts(pattern: str) -> list[str]:
+    """The texts between the wildcards of a LIKE pattern; each stands in every match as it is."""
+    parts, i = [""], 0
+    while i < len(pattern):
+        if pattern[i] in "%_":
+            parts.append("")
+        else:
+            i += pattern[i] == "\\"
+            parts[-1] += pattern[i]
+        i += 1
+    return [part for part in parts if part]

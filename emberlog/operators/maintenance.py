@@ -39,7 +39,7 @@ def drop_expired(
     """
     cutoff, last = cutoff_day(now, retention_days), store.last_commit()
     if last.cutoff is not None:
-        for table in (*TABLE_SCHEMAS, *COARSE_TABLES):
+        for table in (*TABLE_SCHEMAS, *COARSE_TABLES, "log_filters"):
             for day in store.folders(table):
                 if day.isoformat() < last.cutoff:
                     paths.remove(store.spark, f"{store.root}/{table}/day={day}")
@@ -139,6 +139,22 @@ def build_coarse(store: LogStore, before: date) -> list[date]:
     return [day for day in days if added.get(day.isoformat(), {}).get("batch") == batch_id]
 
 
+def build_filters(store: LogStore, before: date) -> list[date]:
+    """Filters over messages and attributes for the files of each earlier day that have none, and
+    none any more for batches that a rewrite has replaced. A day's rows are read once for them."""
+    last, missing = store.last_commit(), {}
+    for day in (day for day in store.days("logs", last) if day < before):
+        live, held = store.live_batches("logs", day, last), store.batches("log_filters", day)
+        for value in held:
+            if last.replaced("logs", day.isoformat(), value):
+                paths.remove(store.spark, f"{store.root}/log_filters/day={day}/batch_id={value}")
+        if set(live) - set(held):
+            missing[day] = sorted(set(live) - set(held))
+    if missing:
+        store.write_filters(missing)
+    return list(missing)
+
+
 def count_days(store: LogStore) -> bool:
     """Give a store from before per-day statistics its own, by its counters. Left to the next run
     if others commit meanwhile."""
@@ -162,6 +178,7 @@ def run_maintenance(
         "compacted": lambda: compact(store, "log_rollup_1s", today + timedelta(days=1)),
         "coarse": lambda: build_coarse(store, today),
         "rewritten": lambda: compact(store, "logs", today),
+        "filters": lambda: build_filters(store, today),
         "responses": lambda: compact(store, "responses", today),
     }
     report: dict[str, object] = {"errors": {}}

@@ -43,6 +43,10 @@ COARSE_TABLES = {"log_rollup_1m": 60, "log_rollup_1h": 3600}
 TABLE_SCHEMAS_COARSE = dict.fromkeys(COARSE_TABLES, TABLE_SCHEMAS["log_rollup_1s"])
 BUCKET_SECONDS = {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}
 
+#: Filters over the messages and attributes of each file of `logs`, built by maintenance under the
+#: day and batch of the file.
+FILTER_SCHEMA = "file STRING, kind STRING, slices BIGINT, slice BIGINT, bits BINARY, day DATE, batch_id BIGINT"
+
 #: One row per attempt to append a batch: outcome is committed, replayed (taken before) or failed.
 METRICS_SCHEMA = (
     "source STRING, version BIGINT, batch_id BIGINT, outcome STRING, accepted BIGINT, rejected BIGINT, "

@@ -38,8 +38,9 @@ from emberlog.operators.search import (
 )
 from emberlog.operators.validate import summarise_requests, validate_requests
 from emberlog.operators.rollup import rollup_1s, split_range
+from emberlog.operators.terms import asked_terms, file_column, file_filters, files_without
 from emberlog.plans.options import AggregateOptions, SearchOptions, decode_cursor
-from emberlog.schema import BUCKET_SECONDS, COARSE_TABLES, METRICS_SCHEMA, PARTITION_COLUMNS, TABLE_SCHEMAS, TABLE_SCHEMAS_COARSE
+from emberlog.schema import BUCKET_SECONDS, COARSE_TABLES, FILTER_SCHEMA, METRICS_SCHEMA, PARTITION_COLUMNS, TABLE_SCHEMAS, TABLE_SCHEMAS_COARSE
 from emberlog.session import configure
 from emberlog.sources import paths
 
@@ -236,10 +237,11 @@ class LogStore:
 
     # -- queries ------------------------------------------------------------
 
-    def search(self, options: SearchOptions) -> DataFrame:
-        """search_logs over the store, with the scan bounded by the counters."""
+    def search(self, options: SearchOptions, use_filters: bool | None = None) -> DataFrame:
+        """search_logs over the store, with the scan bounded by the counters, and by the filters
+        over messages and attributes where the days hold many rows; `use_filters` decides otherwise."""
         commit = self.last_commit()
-        return search_logs(self._candidates(commit, options), options)
+        return search_logs(self._candidates(commit, options, use_filters), options)
 
     def search_page(self, options: SearchOptions) -> Page:
         """One page. Filters the counters cannot answer walk the days newest first
@@ -251,7 +253,7 @@ class LogStore:
         rows = []
         for days in self._newest_days_first("logs", commit, options):
             missing = replace(probe, limit=probe.limit - len(rows))
-            rows += probe_rows(self._visible("logs", commit, days), missing)
+            rows += probe_rows(self._holding(commit, days, missing), missing)
             if len(rows) == probe.limit:
                 break
         return as_page(rows, options.limit)
@@ -268,7 +270,7 @@ class LogStore:
     def pages(self, options: SearchOptions) -> DataFrame:
         """paged_logs over the store: all pages of a search, numbered in one job."""
         commit = self.last_commit()
-        return paged_logs(self._visible("logs", commit, self._searched_days(commit, options)), options)
+        return paged_logs(self._holding(commit, self._searched_days(commit, options), options), options)
 
     def create_views(self, prefix: str = "") -> list[str]:
         """Temporary views over the committed rows of each table, by its name."""
@@ -276,7 +278,46 @@ class LogStore:
             self.table(name).createOrReplaceTempView(prefix + name)
         return [prefix + name for name in TABLE_SCHEMAS]
 
-    def _candidates(self, commit: Commit, options: SearchOptions) -> DataFrame:
+    def _holding(
+        self, commit: Commit, days: list[date], options: SearchOptions | AggregateOptions, use_filters: bool | None = None
+    ) -> DataFrame:
+        """Log rows of these days, without the files that the filters say hold no match. Files
+        without filters are read."""
+        logs = self._visible("logs", commit, days)
+        if use_filters is None:
+            use_filters = not self._few_rows(commit, days)
+        if not use_filters or options.counted_by_rollup:
+            return logs
+        found = self.files_without_match(days, options)
+        return logs.where(~file_column().isin(found)) if found else logs
+
+    def files_without_match(self, days: list[date], options: SearchOptions | AggregateOptions) -> list[str]:
+        """Files (day, batch and name) of these days that the filters rule out: names only, as the
+        file listing of the scan itself has them on the driver."""
+        filters = self.filters(days)
+        asked = asked_terms(self.spark, options) if filters is not None else {}
+        return sorted(row["file"] for row in files_without(filters, asked).collect()) if asked else []
+
+    def filters(self, days: Iterable[date] | None = None) -> DataFrame | None:
+        """Filters over the files of these days, also of batches since replaced; None without any."""
+        known = self.folders("log_filters")
+        chosen = known if days is None else sorted(set(days) & set(known))
+        if not chosen:
+            return None
+        reader = self.spark.read.schema(FILTER_SCHEMA).option("basePath", f"{self.root}/log_filters")
+        return reader.parquet(*[f"{self.root}/log_filters/day={day}" for day in chosen])
+
+    def write_filters(self, batches: dict[date, list[int]]) -> None:
+        """Filters of the files of these batches of each day, whose files never change. The folder
+        of a batch is put in place whole, so it holds all its files' filters or is not there."""
+        folders = [f"{self.root}/logs/day={day}/batch_id={batch}" for day, held in batches.items() for batch in held]
+        logs = self.spark.read.schema(SCHEMAS["logs"]).option("basePath", f"{self.root}/logs").parquet(*folders)
+        rows = file_filters(logs).select(*StructType.fromDDL(FILTER_SCHEMA).names).hint("rebalance", *PARTITION_COLUMNS)
+        rows = rows.sortWithinPartitions(*PARTITION_COLUMNS, "kind", "slices", "slice")
+        output = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        output.partitionBy(*PARTITION_COLUMNS).parquet(f"{self.root}/log_filters")
+
+    def _candidates(self, commit: Commit, options: SearchOptions, use_filters: bool | None = None) -> DataFrame:
         """Log rows that can be among the newest `limit` matches.
 
         The commit's statistics bound the days of a search without filters; where few rows are
@@ -305,12 +346,12 @@ class LogStore:
             # Nothing counts these; days newest first until enough rows are found.
             missing = options.limit
             for days in self._newest_days_first("logs", commit, options):
-                missing -= matching_logs(self._visible("logs", commit, days), options).limit(missing).count()
+                missing -= matching_logs(self._holding(commit, days, options, use_filters), options).limit(missing).count()
                 if missing == 0:
                     first = datetime.combine(days[-1], time.min, timezone.utc)
                     since = max(first, since) if since else first
                     break
-        logs = self._visible("logs", commit, self._days_between("logs", commit, since, options.last_instant))
+        logs = self._holding(commit, self._days_between("logs", commit, since, options.last_instant), options, use_filters)
         return where_all(logs, time_range(logs, "timestamp", since, None))
 
     def _searched_days(self, commit: Commit, options: SearchOptions) -> list[date]:
@@ -353,7 +394,7 @@ class LogStore:
         if use_rollup is None:
             use_rollup = self._counters_pay(commit, days, options.bucket)
         if not (use_rollup and options.counted_by_rollup):
-            return aggregate_logs(self._visible("logs", commit, days), options)
+            return aggregate_logs(self._holding(commit, days, options), options)
         return aggregate_pieces(self._pieces(commit, days, options), options)
 
     def _pieces(self, commit: Commit, days: list[date], options: AggregateOptions) -> list[tuple[DataFrame, str, list]]:
