@@ -22,7 +22,7 @@ from emberlog import (
     validate_requests,
 )
 from emberlog.operators.aggregate import aggregate_raw, rendered_buckets
-from emberlog.operators.maintenance import build_coarse, build_filters, compact, drop_expired, partition_name_column, run_maintenance
+from emberlog.operators.maintenance import build_coarse, build_filters, compact, drop_expired, partition_name_column, rebuild_counters, run_maintenance
 from emberlog.operators.metrics import ingest_report
 from emberlog.operators.rollup import merge_deltas, rollup_1s
 from emberlog.operators.search import cursor_column, page_starts, paged_logs, rendered_logs
@@ -407,6 +407,16 @@ def _compacted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(store.logs().select(*LOG_FIELDS), "timestamp")
 
 
+def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters rebuilt from rows, on days that got a part of their counters twice."""
+    store = _new_store(spark, sf_dir, batches=2)
+    batch_id, _ = store.reserve()
+    store.write("log_rollup_1s", store.rollup().where("day >= '2024-01-10' AND level = 'warn'"), batch_id)
+    store.commit(lambda state: state.with_batch(batch_id))
+    rebuild_counters(store, RETENTION_NOW.date())
+    return _naive(merge_deltas(store.rollup()), "bucket_start")
+
+
 # -- registry ---------------------------------------------------------------
 
 COMBINED = {
@@ -486,6 +496,7 @@ def queries() -> dict[str, Query]:
         "partition_names": _partitions,
         "compact_rollup": _compacted,
         "compact_logs": _compacted_logs,
+        "counters_mended": _mended,
     }
     for bucket in ("1m", "5m", "1h", "1d"):
         found[f"agg_{bucket}"] = _aggregate({**RANGE, "bucket": bucket})
@@ -694,6 +705,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) - count(reason) AS accepted, count(reason) AS rejected FROM {_VERDICTS} GROUP BY 1""",
         "compact_rollup": _sql_rollup(_LOGS),
         "compact_logs": _sql_stored(),
+        "counters_mended": _sql_rollup(_LOGS),
     }
     for bucket in _INTERVALS:
         found[f"agg_{bucket}"] = _sql_aggregate(bucket)

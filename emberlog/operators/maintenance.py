@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.functions.timestamps import utc_date
-from emberlog.operators.rollup import coarser, merge_deltas
+from emberlog.operators.rollup import coarser, merge_deltas, rollup_1s
 from emberlog.schema import COARSE_TABLES, DEFAULT_RETENTION_DAYS, TABLE_SCHEMAS
 from emberlog.sources import paths
 from emberlog.sources.store import Commit, LogStore
@@ -88,16 +88,61 @@ def compact(store: LogStore, table: str, before: date) -> list[date]:
         merged = store.day_stats(batch_id)
         fewer = {day: [0, size[1] - last.stats.get(day, [0, 0])[1]] for day, size in merged.items()}
 
+    return crowded if _swap(store, table, last, crowded, batch_id, fewer) else []
+
+
+def _swap(
+    store: LogStore, table: str, last: Commit, days: list[date], batch_id: int, sizes: dict[str, list[int]], recount: bool = False
+) -> bool:
+    """Let readers see a batch in place of what these days held at `last`, unless another rewrite
+    of one of them came first. `sizes` are added to those of the days; after a recount the minutes
+    and hours of the days hold no more."""
+
     def swap(state: Commit) -> Commit | None:
         known, now = last.compacted.get(table, {}), state.compacted.get(table, {})
-        if any(known.get(day.isoformat()) != now.get(day.isoformat()) for day in crowded):
+        if any(known.get(day.isoformat()) != now.get(day.isoformat()) for day in days):
             return None
         entry = {"upto": last.batch_id, "late": last.missing}
         live = {d: e for d, e in now.items() if state.cutoff is None or d >= state.cutoff}
-        entries = {**live, **{day.isoformat(): entry for day in crowded}}
-        return replace(state.with_batch(batch_id).with_stats(fewer), compacted={**state.compacted, table: entries})
+        entries = {**live, **{day.isoformat(): entry for day in days}}
+        gone = {day.isoformat() for day in days} if recount else set()
+        coarse = {d: e for d, e in state.coarse.items() if d not in gone}
+        return replace(state.with_batch(batch_id).with_stats(sizes), compacted={**state.compacted, table: entries}, coarse=coarse)
+
+    return store.commit(swap) is not None
+
+
+def damaged_days(store: LogStore, before: date, commit: Commit | None = None) -> list[date]:
+    """Earlier days whose counters are not those of their log rows: too many, too few or of other
+    seconds, services or levels. Both tables are read as of one commit."""
+    last = commit or store.last_commit()
+    days = [day for day in sorted({*store.days("logs", last), *store.days("log_rollup_1s", last)}) if day < before]
+    counted = rollup_1s(store._visible("logs", last, days), "day")
+    held = store._visible("log_rollup_1s", last, days).select(*counted.columns)
+    both = counted.unionByName(held.withColumn("count", -F.col("count")))
+    wrong = both.groupBy("day", "bucket_start", "service", "level").agg(F.sum("count").alias("off")).where("off <> 0")
+    return sorted(row["day"] for row in wrong.select("day").distinct().collect())
+
+
+def rebuild_counters(store: LogStore, before: date) -> list[date]:
+    """Count the damaged ones of the earlier days anew from their log rows; gives the days mended.
 
-    return crowded if store.commit(swap) else []
+    The new counters take the place of the old by one commit. Batches that others commit meanwhile
+    bring their own, and a day that a compaction rewrites meanwhile is left to the next run. Minutes
+    and hours of a mended day are built again by the next maintenance.
+    """
+    last = store.last_commit()
+    days = damaged_days(store, before, last)
+    if not days:
+        return []
+    batch_id, _ = store.reserve()
+    store.write("log_rollup_1s", rollup_1s(store._visible("logs", last, days), "day"), batch_id)
+    sizes: dict[str, list[int]] = {}
+    if last.stats is not None:
+        made = store.day_stats(batch_id)
+        for day in map(date.isoformat, days):
+            sizes[day] = [new - old for new, old in zip(made.get(day, [0, 0]), last.stats.get(day, [0, 0]))]
+    return days if _swap(store, "log_rollup_1s", last, days, batch_id, sizes, recount=True) else []
 
 
 def build_coarse(store: LogStore, before: date) -> list[date]:
