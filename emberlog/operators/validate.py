@@ -136,8 +136,9 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return validate_entries(explode_requests(requests))
 
 
-def summarise_requests(entries: DataFrame) -> DataFrame:
-    """One response row per request: accepted count, rejections by index, status.
+def summarise_requests(entries: DataFrame, *kept: str) -> DataFrame:
+    """One response row per request: accepted count, rejections by index, status, and those of
+    REQUEST_COLUMNS that are named.
 
     The collected list is bounded by one request body, which already is one cell.
     """
@@ -156,5 +157,6 @@ def summarise_requests(entries: DataFrame) -> DataFrame:
             "accepted",
             "rejected",
             "error",
+            *kept,
         )
     )

@@ -55,6 +55,18 @@ SORT_KEYS = {
     "log_rollup_1h": ("bucket_start", "service", "level"),
 }
 SCHEMAS = TABLE_SCHEMAS | TABLE_SCHEMAS_COARSE
+#: About the bytes of a row while a task sorts it; rows of a few bytes in a file or shuffle may take hundreds.
+COUNTER_BYTES = "160 + octet_length(service)"
+ROW_BYTES = dict.fromkeys(SCHEMAS, COUNTER_BYTES) | {
+    "logs": "200 + octet_length(service) + octet_length(message) + 4 * octet_length(attributes)",
+    "responses": "160 + octet_length(request_id) + coalesce(octet_length(error), 0)"
+    " + aggregate(rejected, 0L, (n, r) -> n + 64 + octet_length(r.reason))",
+}
+#: The same of a response, by its staged entries.
+RESPONSE_BYTES = """CASE WHEN coalesce(index, 0) = 0 THEN 160 + coalesce(octet_length(request_id), 0) + coalesce(octet_length(error), 0)
+    ELSE 0 END + coalesce(64 + octet_length(reason), 0)"""
+#: Such bytes that one task of a write sorts.
+TASK_BYTES = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -495,6 +507,11 @@ class LogStore:
             F.coalesce(F.max(row) + 1, F.lit(0)).alias("stride"),
             F.count_if(F.col("timestamp").isNotNull()).alias("accepted"),
             F.count_if(F.col("reason").isNotNull()).alias("rejected"),
+            # The other columns of a rejected entry are null, and so is its size.
+            *[
+                F.coalesce(F.sum(F.expr(e)), F.lit(0)).alias(n)
+                for n, e in {"logs": ROW_BYTES["logs"], "log_rollup_1s": COUNTER_BYTES, "responses": RESPONSE_BYTES}.items()
+            ],
         )
         observed.write.parquet(staging)
         size = seen.get
@@ -504,10 +521,11 @@ class LogStore:
         outputs = {
             "logs": accepted.withColumn("id", F.lit(first_id) + task * size["stride"] + row),
             "log_rollup_1s": rollup_1s(accepted, "day"),
-            "responses": summarise_requests(staged).withColumn("day", F.to_date("received_at")),
+            "responses": summarise_requests(staged, "request_number").withColumn("day", F.to_date("received_at")),
         }
+
         def put(name: str, rows: DataFrame) -> dict[str, list[int]]:
-            self.write(name, rows, batch_id)
+            self.write(name, rows, batch_id, size[name], "request_number" if name == "responses" else None)
             return self.day_stats(batch_id) if name == "log_rollup_1s" and last.stats is not None else {}
 
         # Independent jobs: the small ones fill executors the large one leaves idle.
@@ -561,16 +579,27 @@ class LogStore:
         known = (b for b in self.batches(table, day) if b <= commit.batch_id and b not in commit.missing)
         return [b for b in known if not commit.replaced(table, name, b)]
 
-    def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
+    def write(self, name: str, rows: DataFrame, batch_id: int, size: int | None = None, unique: str | None = None) -> None:
         """Rows are dealt out by day and hour and sorted within, so that file statistics
         prune time ranges. Adaptive execution merges small hours and splits an hour,
-        or a single second, that holds most rows."""
-        keys = SORT_KEYS[name]
+        or a single second, that holds most rows; it goes by compressed bytes. Where rows
+        take more than TASK_BYTES to sort, they are dealt out in that order by their number
+        instead, equal ones by `unique` or all their values. `size` is at least about what
+        they take; else it is counted."""
+        keys, columns = SORT_KEYS[name], StructType.fromDDL(SCHEMAS[name]).names
+        if size is None:
+            size = rows.agg(F.sum(F.expr(ROW_BYTES[name]))).first()[0] or 0
+        tie = F.col(unique) if unique else F.xxhash64(*[c for c in rows.columns if not c.startswith("attr_")])
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
-            *StructType.fromDDL(SCHEMAS[name]).names, F.date_trunc("hour", keys[0]).alias("_hour")
+            *columns, F.date_trunc("hour", keys[0]).alias("_hour"), tie.alias("_tie")
         )
-        rows = rows.hint("rebalance", "day", "_hour").sortWithinPartitions(*PARTITION_COLUMNS, *keys)
+        tasks = -(-size // TASK_BYTES)
+        if tasks > 1:
+            rows = rows.repartitionByRange(tasks, "day", "_hour", "_tie")
+        else:
+            rows = rows.drop("_tie").hint("rebalance", "day", "_hour")
+        rows = rows.sortWithinPartitions(*PARTITION_COLUMNS, *keys).select(*columns)
         # This mode replaces the partitions written and no others, here none, as the batch number is
         # new. Unlike plain appends it keeps a job's files apart from those of other writers.
-        output = rows.drop("_hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        output = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         output.partitionBy(*PARTITION_COLUMNS).parquet(f"{self.root}/{name}")
