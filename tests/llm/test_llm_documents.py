@@ -253,6 +253,62 @@ def test_a_bucket_of_several_groups(spark):
     assert sorted(r[0] for r in found.where("n_dropped = 0").collect()) == [0, 1]
 
 
+def _random_words(rng, n):
+    return ["".join(rng.choices("abcdefgh", k=rng.randrange(4, 9))) for _ in range(n)]
+
+
+def test_lines_around_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """Lines that hold one passage share bands, and are not similar."""
+    rng, made = random.Random(5), {}
+    passage = _random_words(rng, 70)
+    texts = [" ".join(_random_words(rng, 30) + passage + _random_words(rng, 30)) for _ in range(80)]
+
+    def counted(frame, purpose, f=lines.stored):
+        made.setdefault(purpose, []).append(f(frame, purpose))
+        return made[purpose][-1]
+
+    monkeypatch.setattr(lines, "stored", counted)
+    frame = spark.createDataFrame(list(enumerate([*texts, texts[0] + " end"])), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(frame).collect()} == dict.fromkeys(range(80), 0) | {80: 1}
+    assert sum(f.count() for f in made["more-pairs"]) <= 80
+
+
+@pytest.mark.parametrize("direct", [2, 1000])
+def test_crowded_bands_give_every_pair_of_like_sketches(spark, monkeypatch, direct):
+    """Each pair of sketches with enough equal parts, whether its band is made longer or not."""
+    monkeypatch.setattr(lines, "DIRECT", direct)
+    rng, own = random.Random(6), 5
+    parts = [[rng.randrange(2) for _ in range(16)] for _ in range(60)]
+    for p in parts:
+        p[2 * own : 2 * own + 2] = 3, 4
+    signed = lambda p: int.from_bytes(sum(x << 4 * i for i, x in enumerate(p)).to_bytes(8, "little"), "little", signed=True)
+    rows = spark.createDataFrame([(1600 + own, n, signed(p)) for n, p in enumerate(parts)], "band bigint, line bigint, sig bigint")
+    found = spark.createDataFrame([(n, 0) for n in range(10)], "node bigint, component bigint")
+    profiles = lines.line_profiles(spark.createDataFrame([], "line bigint, _line string"))
+    got = sorted(map(tuple, lines._strays(rows, found, profiles, 80).collect()))
+    alike = [(a, b) for b in range(60) for a in range(b) if b >= 10 and sum(x == y for x, y in zip(parts[a], parts[b])) >= lines.AGREEING_LONGER]
+    assert got == sorted(alike) and alike
+
+
+def test_profiles_rule_out_no_similar_pair(spark):
+    rng = random.Random(7)
+    words = _random_words(rng, 60)
+    near = [" ".join(words[:k] + _random_words(rng, 60 - k)) for k in range(30, 61)]
+    texts = spark.createDataFrame(list(enumerate([*near, "short", "ab " * 300, "ab " * 290 + "cd"])), "line bigint, _line string")
+    pairs = texts.select(F.col("line").alias("a")).crossJoin(texts.select(F.col("line").alias("b"))).where("a < b")
+    plain = set(map(tuple, lines.linked(pairs, texts, 80).collect()))
+    assert set(map(tuple, lines.linked(pairs, texts, 80, lines.line_profiles(texts)).collect())) == plain and len(plain) > 10
+
+
+def test_near_copies_of_a_line_that_repeats_a_word(spark):
+    rng = random.Random(8)
+    texts = [f"{' '.join([w] * 3000)} {' '.join(tail)}" for w in _random_words(rng, 6) for tail in [_random_words(rng, 12)]]
+    frame = spark.createDataFrame(list(enumerate([*texts, *[t + " ab" for t in texts]])), "doc_id bigint, text string")
+    source = frame.select(F.col("doc_id").alias("_doc"), F.col("doc_id").alias("_row"), F.col("text").alias("_text"))
+    assert lines.line_sketches(source).where("sig <> 0").count() == 12
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(frame).collect()} == {n: int(n >= 6) for n in range(12)}
+
+
 def test_lines_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(lines, "LONG_CHARS", 700)
     rng = random.Random(6)
