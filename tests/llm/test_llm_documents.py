@@ -273,6 +273,41 @@ def test_lines_around_a_common_passage_make_few_pairs(spark, monkeypatch):
     assert sum(f.count() for f in made["more-pairs"]) <= 80
 
 
+def test_lines_beside_a_large_group_make_few_pairs(spark, monkeypatch):
+    """Lines that hold most of what a group of near copies holds, and are not similar to any of it."""
+    rng, made = random.Random(11), {}
+    passage = _random_words(rng, 70)
+    group = [" ".join([*passage[:k], *_random_words(rng, 1), *passage[k + 1 :]]) for k in range(5, 65)]
+    beside = [" ".join(passage + _random_words(rng, 17)) for _ in group]
+
+    def counted(frame, purpose, f=lines.stored):
+        made.setdefault(purpose, []).append(f(frame, purpose))
+        return made[purpose][-1]
+
+    monkeypatch.setattr(lines, "DIRECT", 20)
+    monkeypatch.setattr(lines, "stored", counted)
+    rows = list(enumerate([*group, *beside, beside[-1] + " end"]))
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_dropped").collect()) == sorted(plain_lines(rows))
+    assert sum(f.count() for f in made["more-pairs"]) <= len(group)
+
+
+def test_shared_shingles_give_every_similar_pair(spark):
+    """Every similar pair of different components, whatever the lines' lengths and common parts."""
+    rng, frame = random.Random(12), _random_words(random.Random(13), 30)
+    texts = []
+    for _ in range(120):
+        line = [*frame[: rng.randrange(31)], *_random_words(rng, rng.randrange(8))]
+        texts += [" ".join(line), " ".join(line[:-1]), " ".join(line + _random_words(rng, 1))]
+    texts = sorted({t for t in texts if t})
+    sets = [{t[i : i + 9] for i in range(max(len(t) - 8, 1))} for t in texts]
+    similar = {(a, b) for b in range(len(texts)) for a in range(b) if a % 40 != b % 40 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    held = spark.createDataFrame(list(enumerate(texts)), "line bigint, _line string")
+    inside = held.select("line", (F.col("line") % 40).alias("component"))
+    got = set(map(tuple, lines._sharing(inside, held, lines.line_profiles(held), 80).collect()))
+    assert similar <= got and len(similar) > 100 and len(got) < 2 * len(similar)
+
+
 @pytest.mark.parametrize("direct", [2, 1000])
 def test_crowded_bands_give_every_pair_of_like_sketches(spark, monkeypatch, direct):
     """Each pair of sketches with enough equal parts, whether its band is made longer or not."""
