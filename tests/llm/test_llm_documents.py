@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -308,6 +309,22 @@ def test_shared_shingles_give_every_similar_pair(spark):
     assert similar <= got and len(similar) > 100 and len(got) < 2 * len(similar)
 
 
+def test_shuffle_files_go_with_the_write(spark):
+    """Nothing is left of the shuffles of a stored frame, and the session's own setting is as before."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    assert spark.conf.get(key) == "false"
+    held = spark.range(100_000).groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("n"))
+    kept = lines.stored(held.groupBy((F.col("h") % 1000).alias("h")).agg(F.sum("n").alias("n")), "shuffled")
+    for _ in range(50):
+        if not {f for f in files() - before if f.startswith("shuffle_")}:
+            break
+        time.sleep(0.2)
+    assert not {f for f in files() - before if f.startswith("shuffle_")}
+    assert kept.agg(F.sum("n")).first()[0] == 100_000 and spark.conf.get(key) == "false"
+
+
 @pytest.mark.parametrize("direct", [2, 1000])
 def test_crowded_bands_give_every_pair_of_like_sketches(spark, monkeypatch, direct):
     """Each pair of sketches with enough equal parts, whether its band is made longer or not."""
