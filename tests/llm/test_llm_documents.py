@@ -309,6 +309,33 @@ def test_shared_shingles_give_every_similar_pair(spark):
     assert similar <= got and len(similar) > 100 and len(got) < 2 * len(similar)
 
 
+def test_shingles_in_parts_give_every_similar_pair(spark, monkeypatch):
+    """Strays of many shingles beside the corpus meet part by part, each with few of the shingles."""
+    rng, made = random.Random(14), {}
+    texts = []
+    for _ in range(100):
+        line = _random_words(rng, rng.randrange(1, 40))
+        texts += [" ".join(line), " ".join(line[:-1] + _random_words(rng, 1)), " ".join(line + _random_words(rng, 1))]
+    texts = sorted(set(texts))
+    sets = [{t[i : i + 9] for i in range(max(len(t) - 8, 1))} for t in texts]
+    similar = {(a, b) for b in range(len(texts)) for a in range(b) if a % 40 != b % 40 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+    def counted(frame, purpose, f=lines.stored):
+        made.setdefault(purpose, []).append(f(frame, purpose))
+        return made[purpose][-1]
+
+    monkeypatch.setattr(lines, "stored", counted)
+    for name, value in (("CHARS_PER_GRAM", 6), ("PART_GRAMS", 1), ("LINE_GRAMS", 4)):
+        monkeypatch.setattr(lines, name, value)
+    held = spark.createDataFrame(list(enumerate(texts)), "line bigint, _line string")
+    inside = held.select("line", (F.col("line") % 40).alias("component"))
+    found = lines._sharing(inside, held, lines.line_profiles(held), 80, held.withColumnRenamed("_line", "_text"))
+    assert similar <= set(map(tuple, found.collect())) and len(similar) > 50
+    assert len(made["first-grams"]) in (6, 7)
+    grams = [{r["band"] for r in f.select("band").distinct().collect()} for f in made["first-grams"]]
+    assert all(grams) and sum(map(len, grams)) == len(set().union(*grams))
+
+
 def test_shuffle_files_go_with_the_write(spark):
     """Nothing is left of the shuffles of a stored frame, and the session's own setting is as before."""
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
