@@ -135,6 +135,8 @@ class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = configure(spark)
         self.root = root.rstrip("/")
+        #: Bytes that rows about to be written take to sort, by (table, batch number), where they were counted before.
+        self._sizes: dict[tuple[str, int], int] = {}
 
     # -- records ------------------------------------------------------------
 
@@ -525,7 +527,11 @@ class LogStore:
         }
 
         def put(name: str, rows: DataFrame) -> dict[str, list[int]]:
-            self.write(name, rows, batch_id, size[name], "request_number" if name == "responses" else None)
+            self._sizes[name, batch_id] = size[name]
+            try:
+                self.write(name, rows, batch_id)
+            finally:
+                del self._sizes[name, batch_id]
             return self.day_stats(batch_id) if name == "log_rollup_1s" and last.stats is not None else {}
 
         # Independent jobs: the small ones fill executors the large one leaves idle.
@@ -579,17 +585,21 @@ class LogStore:
         known = (b for b in self.batches(table, day) if b <= commit.batch_id and b not in commit.missing)
         return [b for b in known if not commit.replaced(table, name, b)]
 
-    def write(self, name: str, rows: DataFrame, batch_id: int, size: int | None = None, unique: str | None = None) -> None:
+    def write(self, name: str, rows: DataFrame, batch_id: int) -> None:
         """Rows are dealt out by day and hour and sorted within, so that file statistics
         prune time ranges. Adaptive execution merges small hours and splits an hour,
         or a single second, that holds most rows; it goes by compressed bytes. Where rows
         take more than TASK_BYTES to sort, they are dealt out in that order by their number
-        instead, equal ones by `unique` or all their values. `size` is at least about what
-        they take; else it is counted."""
+        instead, equal ones by their request's number or all their values. What they take is
+        counted, unless it is known."""
         keys, columns = SORT_KEYS[name], StructType.fromDDL(SCHEMAS[name]).names
+        size = self._sizes.get((name, batch_id))
         if size is None:
             size = rows.agg(F.sum(F.expr(ROW_BYTES[name]))).first()[0] or 0
-        tie = F.col(unique) if unique else F.xxhash64(*[c for c in rows.columns if not c.startswith("attr_")])
+        if name == "responses" and "request_number" in rows.columns:
+            tie = F.col("request_number")
+        else:
+            tie = F.xxhash64(*[c for c in rows.columns if not c.startswith("attr_")])
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
             *columns, F.date_trunc("hour", keys[0]).alias("_hour"), tie.alias("_tie")
         )
